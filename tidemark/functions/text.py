@@ -139,27 +139,35 @@ def signatures(c: Column | str) -> Column:
     return F.struct(base_signature(c).alias("base"), as_col(c).alias("full"))
 
 
-def parameterized_pattern(sigs: Column | str) -> Column:
-    """Distinct argument lists of one method -> ``method({arg0}, {arg1})``.
+CALL = r"^(.*)\((.*)\)"
+
+
+def call_pattern(first: Column | str, varied: Column) -> Column:
+    """Pattern of a method from its first signature and whether its argument lists vary.
 
-    The first signature in sorted order gives the placeholder count, so that the
-    result does not depend on row order.
+    Both come from a partial aggregate (min, and min <> max of the arguments), so a
+    method called a billion times never has its signatures collected.
     """
-    s = F.array_sort(F.array_distinct(as_col(sigs)))
-    first = F.element_at(s, 1)
-    base = F.regexp_extract(first, r"^(.*)\((.*)\)", 1)
-    args = F.array_distinct(F.transform(s, lambda x: F.regexp_extract(x, r"^(.*)\((.*)\)", 2)))
-    first_args = F.regexp_extract(first, r"^(.*)\((.*)\)", 2)
-    count = F.size(F.split(first_args, ",", -1))
-    holes = F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat(F.lit("{arg"), i, F.lit("}"))), ", ")
-    is_call = F.rlike(first, F.lit(r"^(.*)\((.*)\)"))
+    sig = as_col(first)
+    base, args = F.regexp_extract(sig, CALL, 1), F.regexp_extract(sig, CALL, 2)
+    holes = F.transform(F.sequence(F.lit(0), F.size(F.split(args, ",", -1)) - 1), lambda i: F.concat(F.lit("{arg"), i.cast("string"), F.lit("}")))
     return (
-        F.when(~is_call, F.concat(first, F.lit("()")))
-        .when(F.size(args) <= 1, F.concat(base, F.lit("("), first_args, F.lit(")")))
-        .otherwise(F.concat(base, F.lit("("), holes, F.lit(")")))
+        F.when(~F.rlike(sig, F.lit(CALL)), F.concat(sig, F.lit("()")))
+        .when(varied, F.concat(base, F.lit("("), F.array_join(holes, ", "), F.lit(")")))
+        .otherwise(F.concat(base, F.lit("("), args, F.lit(")")))
     )
 
 
+def call_args(c: Column | str) -> Column:
+    return F.regexp_extract(as_col(c), CALL, 2)
+
+
+def parameterized_pattern(sigs: Column | str) -> Column:
+    """Array form of :func:`call_pattern`; the first signature in sorted order gives the placeholder count."""
+    s = F.array_sort(F.array_distinct(as_col(sigs)))
+    return call_pattern(F.element_at(s, 1), F.size(F.array_distinct(F.transform(s, call_args))) > 1)
+
+
 def placeholder_regex(pattern: str) -> str:
     """``Foo({x})`` -> regex where each ``{name}`` matches any shortest text. Driver side, for rule rows."""
     return ".+?".join(re.escape(p) for p in re.split(r"\{[A-Za-z_][A-Za-z0-9_]*\}", pattern))
