@@ -233,6 +233,12 @@ def screaming_snake(c: Column | str) -> Column:
     return F.upper(F.regexp_replace(as_col(c), r"([^A-Z])([A-Z])", "$1_$2"))
 
 
+def half_even(c: Column | str, digits: int) -> Column:
+    """Round to ``digits`` places, ties to even, on the scaled double (not on its decimal text)."""
+    scale = float(10**digits)
+    return F.rint(as_col(c) * scale) / scale
+
+
 def clamp(c: Column | str, lo: int = 0, hi: int = 100) -> Column:
     return F.least(F.greatest(as_col(c), F.lit(lo)), F.lit(hi))
 

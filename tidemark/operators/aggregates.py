@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import clamp, trim_all
+from tidemark.functions.text import clamp, half_even, trim_all
 from tidemark.operators.joins import family
 from tidemark.operators.lines import is_active_line
 from tidemark.operators.ranking import rank_of, top_k, top_k_per
@@ -66,8 +66,8 @@ def quality_level(runs: DataFrame) -> DataFrame:
     """Coverage, densities (half-even) and the quality level of a run."""
     total = F.col("mapped") + F.col("unmapped")
     tests = F.greatest(F.col("total_tests"), F.lit(1))
-    coverage = F.when(total == 0, F.lit(100.0)).otherwise(F.bround(F.col("mapped") * 100.0 / total, 2))
-    per_test = lambda c: F.bround(F.col(c) * 1.0 / tests, 2)
+    coverage = F.when(total == 0, F.lit(100.0)).otherwise(half_even(F.col("mapped") * 100.0 / total, 2))
+    per_test = lambda c: half_even(F.col(c) * 1.0 / tests, 2)
     measured = runs.withColumns({"coverage": coverage, "todo_per_test": per_test("todo"), "unsupported_per_test": per_test("unsupported")})
     clean = (F.col("unsupported") == 0) & (F.col("unmapped") == 0) & (F.col("todo") == 0)
     level = (
@@ -116,7 +116,7 @@ def reuse_ratio(rules: DataFrame, hits: DataFrame, by: Sequence[str], rule_id: s
     """Share of rules with at least one hit, per layer (or overall with no ``by``)."""
     used = hits.select(rule_id).distinct().withColumn("_used", F.lit(1))
     agg = rules.join(used, rule_id, "left").groupBy(*by).agg(n().alias("rules"), F.count("_used").alias("matched"))
-    score = F.when(F.col("rules") == 0, 0.0).otherwise(F.bround(100.0 * F.col("matched") / F.col("rules"), 1))
+    score = F.when(F.col("rules") == 0, 0.0).otherwise(half_even(100.0 * F.col("matched") / F.col("rules"), 1))
     verdict = F.when(F.col("score") >= 70, REUSE_LEVELS[0][1]).when(F.col("score") >= 40, REUSE_LEVELS[1][1]).when(F.col("score") > 0, "low-reuse").otherwise("no-signal")
     return agg.withColumn("score", score).withColumn("verdict", verdict)
 
@@ -190,7 +190,7 @@ def helper_families(helpers: DataFrame, by: str = "name", top: int = 8) -> DataF
     """
     keyed = helpers.withColumn("_k", F.lower(F.col(by)))
     fam = keyed.groupBy("_k").agg(
-        F.min(by).alias("name"), n().alias("occurrences"), F.bround(F.avg("confidence"), 2).alias("confidence"),
+        F.min(by).alias("name"), n().alias("occurrences"), half_even(F.avg("confidence"), 2).alias("confidence"),
         _first_present("semantics", SEMANTICS_PRIORITY).alias("semantics"), _first_present("risk", RISK_PRIORITY).alias("risk"),
     )
     counts = keyed.select("_k", F.explode("evidence").alias("label")).groupBy("_k", "label").agg(n().alias("c"))
@@ -373,7 +373,7 @@ def method_stats(lines: DataFrame, by: Sequence[str], test_col: str = "test", li
         F.count_if(has(r"Locator\(", "GetBy", r"locator\(", "getBy")).alias("locators"),
     )
     executable = F.col("active_lines") + F.col("todo_lines")
-    ratio = F.when(executable == 0, 0.0).otherwise(F.bround(F.col("active_lines") / executable, 2))
+    ratio = F.when(executable == 0, 0.0).otherwise(half_even(F.col("active_lines") / executable, 2))
     staged = agg.withColumn("active_ratio", ratio)
     level = (
         F.when((F.col("todo_lines") == 0) & (F.col("assertions") > 0), 5).when((F.col("todo_lines") == 0) & (F.col("active_lines") > 0), 4)
