@@ -376,7 +376,7 @@ ROOT_RULES = (("blocked-symbol", r"unresolved symbol (\w+)", 1), ("source-only",
 def a24(spark, sf):
     todos = L.extract_todos(code_lines(spark, sf)).withColumnRenamed("doc_id", "file").withColumn("line_no", F.col("line_no").cast("bigint"))
     out = A.root_causes(todos, ROOT_RULES)
-    return out.withColumn("files", F.array_join(F.transform("files", lambda x: x.cast("string")), ","))
+    return out.drop("file_count").withColumn("files", F.array_join(F.transform("files", lambda x: x.cast("string")), ","))
 
 
 HEADER_SQL = r"nullif(regexp_extract(line, 'Task (\w+)\(\)', 1), '')"

@@ -354,8 +354,9 @@ def root_causes(todos: DataFrame, key_rules: Sequence[tuple[str, str, int]], by:
     groups = keyed.groupBy(*by, "group_key").agg(n().alias("n"), F.min(F.struct(file_col, ord_col)).alias("_e"))
     files = keyed.select(*by, "group_key", file_col).distinct()
     lead = top_k_per(files, [*by, "group_key"], examples, file_col).groupBy(*by, "group_key").agg(F.array_sort(F.collect_list(file_col)).alias("files"))
-    joined = groups.join(lead, [*by, "group_key"])
-    return joined.select(*by, "group_key", "n", F.col(f"_e.{file_col}").alias("example_file"), F.col(f"_e.{ord_col}").alias("example_line"), "files")
+    touched = files.groupBy(*by, "group_key").agg(n().alias("file_count"))
+    joined = groups.join(lead, [*by, "group_key"]).join(touched, [*by, "group_key"])
+    return joined.select(*by, "group_key", "n", "file_count", F.col(f"_e.{file_col}").alias("example_file"), F.col(f"_e.{ord_col}").alias("example_line"), "files")
 
 
 def method_stats(lines: DataFrame, by: Sequence[str], test_col: str = "test", line_col: str = "line") -> DataFrame:

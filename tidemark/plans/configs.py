@@ -89,7 +89,7 @@ def apply_policy(rules: DataFrame, policy: Column | str, section_col: str = "sec
 # Target kinds, match modes and placeholders with a meaning of their own.
 TARGET_KINDS = ("TestId", "Locator", "Text", "PageObjectProperty", "RawExpression", "CssSelector", "TestIdBeginning", "ClassNameBeginning")
 MATCH_MODES = ("First", "Nth")
-SPECIAL_PLACEHOLDERS = r"^(?:result|TARGET|(?:T|type|genericType|typeArgument)\d*|(?:arg|argument)\d+)$"
+SPECIAL_PLACEHOLDERS = r"^(?:result|TARGET|T|type|genericType|typeArgument|(?:T|type|genericType|arg|argument)\d+)$"
 PLACEHOLDER = r"\{(\w+)\}"
 
 
