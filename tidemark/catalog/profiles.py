@@ -87,14 +87,14 @@ SUPPORT = {"en": "production-ready", "fr": "preview-only", "de": "preview-only"}
 @query(
     "c28_framework_portfolio",
     "WITH w(label, needle, weight) AS (VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in LANG_WEIGHTS)
-    + """), s AS (SELECT source || '/' || (doc_id % 8) AS project, label, sum(weight)::BIGINT AS score FROM documents, w WHERE contains(text, needle) GROUP BY 1, 2),
+    + """), s AS (SELECT source || '/' || lang AS project, label, sum(weight)::BIGINT AS score FROM documents, w WHERE contains(text, needle) GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, label) AS rn, coalesce(lead(score) OVER (PARTITION BY project ORDER BY score DESC, label), 0) AS runner_up FROM s),
     d AS (SELECT project, CASE WHEN score < 30 THEN 'unknown' WHEN score - runner_up < 12 THEN 'ambiguous' ELSE label END AS framework, score FROM r WHERE rn = 1),
-    e AS (SELECT p.project, coalesce(framework, 'unknown') AS framework, score FROM (SELECT DISTINCT source || '/' || (doc_id % 8) AS project FROM documents) p LEFT JOIN d USING (project))
+    e AS (SELECT p.project, coalesce(framework, 'unknown') AS framework, score FROM (SELECT DISTINCT source || '/' || lang AS project FROM documents) p LEFT JOIN d USING (project))
     SELECT framework, CASE framework WHEN 'en' THEN 'production-ready' WHEN 'fr' THEN 'preview-only' WHEN 'de' THEN 'preview-only' ELSE 'manual' END AS readiness, count(*) AS projects, max(score) AS top_score FROM e GROUP BY 1, 2""",
 )
 def c28(spark, sf):
-    project = F.concat("source", F.lit("/"), (F.col("doc_id") % 8).cast("string")).alias("project")
+    project = F.concat("source", F.lit("/"), F.col("lang")).alias("project")
     return portfolio.framework_portfolio(table(spark, sf, "documents").select(project, "text"), ["project"], LANG_WEIGHTS, SUPPORT)
 
 
