@@ -113,24 +113,24 @@ def c37(spark, sf):
     return D.runbook_candidates(docs, "path", 10, PILOT_SIGNALS).select("path", "tests", "locators", "line_count", "pilot_score")
 
 
-PILOT_CATS = (("page-object", r"(?i)license|copyright"), ("table-filter", r"\bof the\b"), ("waits", r"\bwas\b"), ("custom-helper", None))
+PILOT_CATS = (("page-object", r"(?i)license|copyright"), ("table-filter", r"\bof the\b"), ("waits", " was "), ("custom-helper", None))
 
 
 @query(
     "c37_pilot_candidates",
     r"""SELECT doc_id, greatest(1, least(len(regexp_extract_all(text, '\b[Tt]he\b')), 25))::BIGINT AS tests,
-        (10 * (CASE WHEN len(regexp_extract_all(text, '\bon\b')) <= 3 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)license|copyright') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '\bof the\b') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '\bwas\b') THEN 1 ELSE 0 END
+        (10 * (CASE WHEN len(regexp_extract_all(text, ' on ')) <= 3 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)license|copyright') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '\bof the\b') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, ' was ') THEN 1 ELSE 0 END
           + CASE WHEN len(regexp_extract_all(text, '\b([A-Z][A-Za-z0-9_]*)\s*\(', 1)) > 0 THEN 1 ELSE 0 END) + len(regexp_extract_all(text, 'tion')) + len(regexp_extract_all(text, ' der ')))::BIGINT AS score FROM documents""",
 )
 def c37b(spark, sf):
-    out = D.pilot_candidates(table(spark, sf, "documents"), "source", "text", r"\b[Tt]he\b", ("tion", " der "), PILOT_CATS, ("simple-smoke", r"\bon\b", 3))
+    out = D.pilot_candidates(table(spark, sf, "documents"), "source", "text", r"\b[Tt]he\b", ("tion", " der "), PILOT_CATS, ("simple-smoke", " on ", 3))
     return out.select("doc_id", "tests", "score")
 
 
 @query("c37_pilot_select")
 def c37c(spark, sf):
     """Covering slice per project over the candidates; checked against the plain loop in the tests."""
-    cand = D.pilot_candidates(table(spark, sf, "documents").withColumn("file", F.col("doc_id").cast("string")), "source", "text", r"\b[Tt]he\b", ("tion", " der "), PILOT_CATS, ("simple-smoke", r"\bon\b", 3))
+    cand = D.pilot_candidates(table(spark, sf, "documents").withColumn("file", F.col("doc_id").cast("string")), "source", "text", r"\b[Tt]he\b", ("tion", " der "), PILOT_CATS, ("simple-smoke", " on ", 3))
     return D.pilot_select(cand.select("source", "file", "tests", "score", "categories"), ["source"], P.CATEGORY_ORDER, 15)
 
 
