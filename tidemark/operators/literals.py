@@ -53,29 +53,30 @@ def _anchored(rules: DataFrame, rule_cols: list[str], key: Column) -> DataFrame:
 
 
 def _candidates(texts: DataFrame, id_col: str, text: Column, rules: DataFrame, rule_id: str) -> DataFrame:
-    toks = texts.select(F.col(id_col), _tokens(text).alias("_t"))
-    triples = toks.select(id_col, F.explode(F.array_distinct(_triples(F.col("_t")))).alias("_triple"))
-    by_triple = triples.join(rules.where(F.col("_n") >= 3).select(rule_id, "_triple"), "_triple").select(id_col, rule_id)
-    words = toks.select(id_col, F.explode(F.array_distinct("_t")).alias("_token"))
-    by_token = words.join(rules.where(F.col("_n").between(1, 2)).select(rule_id, "_token"), "_token").select(id_col, rule_id)
+    """Candidate (text, rule) pairs, each at most once: a rule has one anchor, a text offers each anchor once.
+
+    A class of rules that does not occur switches its pass over the texts off: the
+    EXISTS test is answered before the scan starts.
+    """
+    of = lambda low, high: rules.where(F.col("_n").between(low, high))
+    needed = lambda low, high: texts.where(of(low, high).select(F.lit(1)).exists())
+    most = 2**31 - 1
+    triples = needed(3, most).select(F.col(id_col), _tokens(text).alias("_t")).select(id_col, F.explode(F.array_distinct(_triples(F.col("_t")))).alias("_triple"))
+    by_triple = triples.join(of(3, most).select(rule_id, "_triple"), "_triple").select(id_col, rule_id)
+    words = needed(1, 2).select(F.col(id_col), F.explode(F.array_distinct(_tokens(text))).alias("_token"))
+    by_token = words.join(of(1, 2).select(rule_id, "_token"), "_token").select(id_col, rule_id)
     # Short keys: find the vocabulary runs that contain the key's longest run through a
-    # shared first gram, then the texts that use those runs.
-    runs = texts.select(F.col(id_col), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)))).alias("_word"))
-    gram_len = F.least(F.length("_run"), F.lit(3))
-    short = rules.where(F.col("_n") == 0).select(rule_id, "_run", F.left(F.col("_run"), gram_len).alias("_gram"))
-    vocab = runs.select("_word").distinct()
+    # shared first gram, then the texts that use those runs. Keys with the same run go together.
+    runs = needed(0, 0).select(F.col(id_col), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)))).alias("_word"))
+    short = of(0, 0).select("_run").distinct().withColumn("_gram", F.left(F.col("_run"), F.least(F.length("_run"), F.lit(3))))
     sizes = F.explode(F.sequence(F.lit(1), F.least(F.length("_word"), F.lit(3)))).alias("_g")
-    grams = vocab.select("_word", sizes).select(
-        "_word",
-        F.explode(
-            F.array_distinct(
-                F.transform(F.sequence(F.lit(1), F.length("_word") - F.col("_g") + 1), lambda i: F.substring(F.col("_word"), i, F.col("_g")))
-            )
-        ).alias("_gram"),
+    starts = F.sequence(F.lit(1), F.length("_word") - F.col("_g") + 1)
+    grams = runs.select("_word").distinct().select("_word", sizes).select(
+        "_word", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_word"), i, F.col("_g"))))).alias("_gram")
     )
-    words_of = grams.join(short, "_gram").where(F.contains(F.col("_word"), F.col("_run"))).select("_word", rule_id).distinct()
-    by_run = runs.join(words_of, "_word").select(id_col, rule_id)
-    return by_triple.unionByName(by_token).unionByName(by_run).distinct()
+    words_of = grams.join(short, "_gram").where(F.contains(F.col("_word"), F.col("_run"))).select("_word", "_run")
+    by_run = runs.join(words_of, "_word").select(id_col, "_run").distinct().join(of(0, 0).select(rule_id, "_run"), "_run").select(id_col, rule_id)
+    return by_triple.unionByName(by_token).unionByName(by_run)
 
 
 def literal_hits(

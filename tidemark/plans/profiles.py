@@ -14,6 +14,7 @@ from tidemark.operators.joins import coverage
 from tidemark.operators.linking import score_catalogue
 from tidemark.operators.literals import identifier_hits, literal_hits, placeholder_hits
 from tidemark.operators.ranking import top_k, top_k_per
+from tidemark.session import cut_lineage
 
 # Sections whose keys are whole identifiers, and report sizes.
 IDENTIFIER_SECTIONS = ("Identifier", "KnownTypes", "SourceOnly")
@@ -42,7 +43,9 @@ def profile_match(rules: DataFrame, files: DataFrame, lines: DataFrame, file_id:
 
     rules(rule_id, layer, section, key); lines are the masked lines of the same files.
     """
-    hits = rule_hits(rules, files, file_id, text_col)
+    # Four reports read the hits: they are written once to the checkpoint folder instead of
+    # searching all texts for each.
+    hits = cut_lineage(rule_hits(rules, files, file_id, text_col))
     used = hits.groupBy("rule_id").agg(F.sum("hits").alias("hits"), F.min(F.struct(F.col(file_id).alias("f"), F.col("first_line").alias("l"))).alias("_e"))
     matched = rules.join(used, "rule_id").select("layer", "section", "key", "hits", F.col("_e.f").alias("example_file"), F.col("_e.l").alias("example_line"))
     signals = count_with_example(extract_expressions(lines), ["expression"], [file_id, "line_no"])

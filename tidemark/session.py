@@ -42,6 +42,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores when it has fewer splits than there are.
+
+    Text work costs far more CPU per byte than reading; one file with one row group
+    would keep a single core busy. A scan that already fills the cluster is left alone,
+    so large inputs are never shuffled for this.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder (survives lost executors)."""
     spark = df.sparkSession
