@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query, table
 from tidemark.plans import configs as C
+from tidemark.session import spread
 
 CUSTOMER_RULES_SQL = """r AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'UiTargets' WHEN 1 THEN 'Methods' ELSE 'ParameterizedMethods' END AS section, CASE WHEN c_custkey % 19 = 0 THEN '' ELSE 'k' || c_nationkey || '(' || '{a' || (c_custkey % 4) || '})' END AS key,
     CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS target, CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 11 = 0 THEN 'Odd' ELSE 'TestId' END AS kind, CASE WHEN c_custkey % 13 = 0 THEN 'Nth' WHEN c_custkey % 17 = 0 THEN 'Last' END AS mode,
@@ -51,7 +52,7 @@ SHAPE = {"$": (("schemaVersion", "id", "tags", "source", "project", "qualityBudg
     UNION ALL SELECT k, 'MIGRATION_FILES_MISSING', '' FROM e WHERE k % 101 <> 0 AND k % 43 = 0 AND k % 3 <> 0""",
 )
 def c23(spark, sf):
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events"))
     k = F.col("event_id")
     part = lambda cond, text: F.when(cond, F.lit(text)).otherwise(F.lit(""))
     files = F.concat(
