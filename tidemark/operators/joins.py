@@ -87,7 +87,7 @@ def loss_checks(src: DataFrame, tgt: DataFrame, keys: Sequence[str]) -> DataFram
 
 # Order in which sections cover an expression.
 COVERAGE_ORDER = {"UiTargets": 1, "Tables": 2, "Pagination": 3, "Methods": 4, "ParameterizedMethods": 5, "Scoped UiTargets": 6}
-DOTTED = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+"
+DOTTED = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)++"
 
 
 def _covered_texts(section: Column, key: Column) -> Column:

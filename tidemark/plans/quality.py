@@ -124,9 +124,8 @@ def preservation_check(src: DataFrame, tgt: DataFrame, keys: Sequence[str], src_
 
 # --- left-overs in generated lines ------------------------------------------------------------------
 
-# A placeholder counts as resolved when it lies inside an interpolated string that opens
-# before it, without a plain quote between, and closes after it.
-INTERPOLATED = r"\$\"[^\"]*\{NAME\}(?:[^\"{]|\{[^}]*\})*(?:\"|$)"
+# A placeholder counts as resolved when the nearest quote before it opens an interpolated string.
+INTERPOLATED = r"\$\"[^\"]*\{NAME\}"
 
 
 def placeholder_leftovers(lines: DataFrame, placeholders: Sequence[str], line_col: str = "line") -> DataFrame:
