@@ -1,9 +1,9 @@
 """Rule keys found literally in texts, as equi joins instead of a rules x texts scan.
 
 A key that occurs in a text brings every token that is complete inside the key, in
-order. So a key is anchored on one hash: its longest run of three complete tokens,
-else its longest complete token, else (a key inside one or two tokens) on the run of
-the corpus vocabulary that contains it. Texts offer the same hashes, the join is on
+order. So a key is anchored on one hash: three of its complete tokens in a row, else
+its longest complete token, else (two cut tokens) the junction between them, else (a
+key inside one token) the run of the corpus vocabulary that contains it. Texts offer the same hashes, the join is on
 the hash, and every candidate pair is verified on the whole text, which makes the
 result exact. The rule side is joined by size: the engine broadcasts it while it is
 small and shuffles both sides by hash beyond that, splitting hot anchors.
@@ -34,6 +34,21 @@ def _triples(tokens: Column) -> Column:
     )
 
 
+JUNCTION = -1
+
+
+def _junction(left: Column, sep: Column, right: Column) -> Column:
+    """Hash of what surrounds a separator: two characters before, the separator, two after."""
+    return F.xxhash64(F.right(left, F.lit(2)), sep, F.left(right, F.lit(2)))
+
+
+def _junctions(runs: Column) -> Column:
+    """Junctions of a text cut into alternating tokens and separators."""
+    first = F.when(F.rlike(F.get(runs, F.lit(0)), F.lit(rf"^{TOKEN}")), 2).otherwise(3)
+    at = F.when(F.size(runs) > first, F.sequence(first, F.size(runs) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: _junction(F.element_at(runs, i - 1), F.element_at(runs, i), F.element_at(runs, i + 1)))
+
+
 def _anchored(rules: DataFrame, rule_cols: list[str], key: Column) -> DataFrame:
     """Rules with their complete tokens, the triple or token anchor, and the longest run for short keys."""
     held = F.col("_key")
@@ -44,10 +59,14 @@ def _anchored(rules: DataFrame, rule_cols: list[str], key: Column) -> DataFrame:
     complete = F.when(inner > 0, F.slice(every, opens + 1, inner)).otherwise(F.array().cast("array<string>"))
     longest = lambda arr: F.array_max(F.transform(arr, lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))["t"]
     base = rules.select(*rule_cols, key.alias("_key")).where(F.length("_key") > 0)
+    runs = F.col("_runs")
+    piece = lambda i: F.get(runs, F.lit(i))
+    cut_pair = (F.size(runs) == 3) & (opens + closes == 2) & (F.length(piece(0)) >= 2) & (F.length(piece(2)) >= 2)
     return base.select(
-        *rule_cols, "_key", complete.alias("_complete"), longest(F.regexp_extract_all(held, F.lit(RUN), F.lit(0))).alias("_run")
+        *rule_cols, "_key", complete.alias("_complete"), F.regexp_extract_all(held, F.lit(RUN), F.lit(0)).alias("_runs")
     ).select(
-        *rule_cols, "_key", "_run", F.size("_complete").alias("_n"), longest(F.col("_complete")).alias("_token"),
+        *rule_cols, "_key", longest(runs).alias("_run"), F.when(cut_pair, _junction(piece(0), piece(1), piece(2))).alias("_junction"),
+        F.when(cut_pair, F.lit(JUNCTION)).otherwise(F.size("_complete")).alias("_n"), longest(F.col("_complete")).alias("_token"),
         F.element_at(_triples(F.col("_complete")), F.greatest(F.lit(1), (F.size("_complete") - 1) / 2).cast("int")).alias("_triple"),
     )
 
@@ -65,7 +84,11 @@ def _candidates(texts: DataFrame, id_col: str, text: Column, rules: DataFrame, r
     by_triple = triples.join(of(3, most).select(rule_id, "_triple"), "_triple").select(id_col, rule_id)
     words = needed(1, 2).select(F.col(id_col), F.explode(F.array_distinct(_tokens(text))).alias("_token"))
     by_token = words.join(of(1, 2).select(rule_id, "_token"), "_token").select(id_col, rule_id)
-    # Short keys: find the vocabulary runs that contain the key's longest run through a
+    joints = needed(JUNCTION, JUNCTION).select(F.col(id_col), F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("_r")).select(
+        id_col, F.explode(F.array_distinct(_junctions(F.col("_r")))).alias("_junction")
+    )
+    by_junction = joints.join(of(JUNCTION, JUNCTION).select(rule_id, "_junction"), "_junction").select(id_col, rule_id)
+    # Keys inside one token: find the vocabulary runs that contain the key's longest run through a
     # shared first gram, then the texts that use those runs. Keys with the same run go together.
     runs = needed(0, 0).select(F.col(id_col), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)))).alias("_word"))
     short = of(0, 0).select("_run").distinct().withColumn("_gram", F.left(F.col("_run"), F.least(F.length("_run"), F.lit(3))))
@@ -76,7 +99,7 @@ def _candidates(texts: DataFrame, id_col: str, text: Column, rules: DataFrame, r
     )
     words_of = grams.join(short, "_gram").where(F.contains(F.col("_word"), F.col("_run"))).select("_word", "_run")
     by_run = runs.join(words_of, "_word").select(id_col, "_run").distinct().join(of(0, 0).select(rule_id, "_run"), "_run").select(id_col, rule_id)
-    return by_triple.unionByName(by_token).unionByName(by_run)
+    return by_triple.unionByName(by_token).unionByName(by_junction).unionByName(by_run)
 
 
 def literal_hits(
