@@ -4,9 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import encode_and_decode
+from tidemark.llm.chat import chat_documents
+from tidemark.llm.common import fresh_folder
+from tidemark.llm.fingerprints import edited_fingerprints
+from tidemark.llm.langid import predict_languages
 from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.quality import quality_rules
+from tidemark.llm.secret_scan import scan_secrets
+from tidemark.llm.token_files import read_token_files, write_token_files
+from tidemark.llm.url_filter import host_of, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,10 +34,96 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+@query("op1_fingerprints")
+def op1_fingerprints(spark, sf):
+    return edited_fingerprints(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query("op2_packing")
+def op2_packing(spark, sf):
+    return pack_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "doc_id", "text", end_id=2, capacity=1024)
+
+
+#: The rules of the query, and labels of hosts whose pages are its list of unwanted URLs.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+LISTED_LABELS = r"(^|\.)(cheap-pills|adult-x|free-bets|spam-farm)\."
+
+CANONICAL_SQL = r"""
+  parts AS (SELECT page_id, url,
+      translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path,
+      array_to_string(list_sort(list_filter(string_split(coalesce(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), ''), '&'), f -> f <> '' AND NOT starts_with(f, 'utm_') AND NOT starts_with(f, 'ref='))), '&') AS kept
+    FROM pages),
+  named AS (SELECT page_id, host, path, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS canonical FROM parts),
+  listed AS (SELECT DISTINCT canonical FROM named WHERE regexp_matches(host, '(^|\.)(cheap-pills|adult-x|free-bets|spam-farm)\.') AND canonical <> '')
+"""
+
+
+@query(
+    "op3_url_filter",
+    f"""WITH {CANONICAL_SQL},
+  ruled AS (SELECT *, CASE
+      WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+      WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM named)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+       WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled""",
+)
+def op3_url_filter(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return judge_urls(pages, URL_RULES, pages.where(host_of(F.col("url")).rlike(LISTED_LABELS)).select("url"))
+
+
+@query(
+    "op4_chat",
+    """WITH messages AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+  turns AS (SELECT conv_id, turn, string_agg(coalesce(length(role) || ':' || role, 'N') || '/' || coalesce(length(text) || ':' || text, 'N'), chr(30) ORDER BY role, text) AS said FROM messages GROUP BY ALL),
+  prefixes AS (SELECT conv_id, turn, string_agg(turn || '=' || said, chr(31)) OVER (PARTITION BY conv_id ORDER BY turn) AS so_far, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL AS last FROM turns),
+  ends AS (SELECT so_far, min(conv_id) AS conv_id, count(*) AS copies FROM prefixes WHERE last GROUP BY so_far),
+  kept AS (SELECT conv_id, copies FROM ends WHERE so_far NOT IN (SELECT so_far FROM prefixes WHERE NOT last))
+SELECT conv_id, turn // 1024 AS segment, count(DISTINCT turn) AS n_turns, any_value(copies) AS copies,
+  string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+FROM messages JOIN kept USING (conv_id) GROUP BY conv_id, turn // 1024""",
+)
+def op4_chat(spark, sf):
+    return chat_documents(table(spark, sf, "conversations"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark, sf):
+    return predict_languages(table(spark, sf, "documents"), "doc_id", "text", "lang", spans=False)
+
+
+@query("op6_secret_scan")
+def op6_secret_scan(spark, sf):
+    found = scan_secrets(table(spark, sf, "documents"), "doc_id", "text")
+    return found.select("doc_id", "word_no", F.char_length("value").cast("long").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), F.round("probability", 6).alias("probability"), "is_secret")
+
+
+@query("op7_token_files")
+def op7_token_files(spark, sf):
+    folder = fresh_folder(spark, "token-files")
+    write_token_files(table(spark, sf, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), 49_408, id_col="doc_id", text_col="text", end_id=1)
+    return read_token_files(spark, folder)
+
+
+@query("op8_byte_bpe")
+def op8_byte_bpe(spark, sf):
+    return encode_and_decode(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "doc_id", "text")
 
 
 @query("op9_near_dedup")
 def op9_near_dedup(spark, sf):
-    return near_duplicates(documents(spark, sf), "doc_id", "text", width=5, percent=85)
+    return near_duplicates(table(spark, sf, "documents"), "doc_id", "text", width=5, percent=85)
+
+
+@query("op10_quality")
+def op10_quality(spark, sf):
+    return quality_rules(table(spark, sf, "documents"), "doc_id", "text")
