@@ -15,6 +15,8 @@ from tidemark.llm.wordhash import shingle_set, word_hashes
 #: Texts of a batch are worked on in slices of so many bytes, which bounds the memory of a task.
 SLICE_BYTES = 2 << 20
 UNIVERSE_BITS = 20
+#: Shingles of one side of a block of comparisons: some 8 MB of hashes.
+BLOCK_SHINGLES = 1 << 20
 
 
 class CirculantMinHash:
@@ -91,16 +93,97 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
     return cols.mapInArrow(work, "node long, shingles array<long>")
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def _at_least(shared, one, two, percent: int):
+    return 100 * shared >= percent * (one + two - shared)
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose whole shingle sets have 100 * intersection >= ``percent`` * union."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).join(nodes, "node", "left_semi")
-    sets = checkpointed(shingle_sets(wanted, "node", "text", width))
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
     shared = F.array_size(F.array_intersect("of_a", "of_b"))
     checked = both.select("a", "b", F.array_size("of_a").alias("n_a"), F.array_size("of_b").alias("n_b"), shared.alias("shared"))
-    return checked.where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b").distinct()
+    return checked.where(_at_least(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
+
+
+def joining_links(nodes: list[int], parts: list[int], sets: list[np.ndarray], asked: list[bool], percent: int) -> list[tuple[int, int]]:
+    """Links from asked rows to all others that join different parts, as few as join them; exact, by products of 0/1 matrices."""
+    query = [i for i, q in enumerate(asked) if q]
+    base = [i for i, q in enumerate(asked) if not q]
+    if not query or not base:
+        return []
+    names, places = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    line = np.zeros(len(sets), dtype=np.int64)
+    line[query], line[base] = np.arange(len(query)), np.arange(len(base))
+    is_query = np.array(asked)[row]
+    shared = np.zeros((len(query), len(base)), dtype=np.float32)
+    step = max(256, (4 << 20) // (len(query) + len(base)))
+    for at in range(0, len(names), step):
+        inside = (places >= at) & (places < at + step)
+        one, two = np.zeros((len(query), step), dtype=np.float32), np.zeros((len(base), step), dtype=np.float32)
+        one[line[row[inside & is_query]], places[inside & is_query] - at] = 1
+        two[line[row[inside & ~is_query]], places[inside & ~is_query] - at] = 1
+        shared += one @ two.T
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    count = shared.astype(np.int64)
+    part = np.array(parts)
+    linked = _at_least(count, size[query][:, None], size[base][None, :], percent) & (part[query][:, None] != part[base][None, :])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
+
+    out = []
+    for q, b in zip(*np.nonzero(linked)):
+        x, y = find(parts[query[q]]), find(parts[base[b]])
+        if x != y:
+            root[x] = y
+            out.append((nodes[query[q]], nodes[base[b]]))
+    return out
+
+
+def links_across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: links that join different components inside a bucket of ``rows(bucket, node, n, component)``.
+
+    The members outside a bucket's largest component are compared with all its members, in blocks of bounded
+    shingles each, so that a crowded bucket spreads over tasks and no pair is ever a row.
+    """
+    by_part = rows.groupBy("bucket", "component").agg(F.count("*").alias("members"), F.sum("n").alias("held"))
+    plan = by_part.groupBy("bucket").agg(F.max_by("component", F.struct("members", -F.col("component"))).alias("main"), F.sum("held").alias("held"), F.max_by("held", F.struct("members", -F.col("component"))).alias("main_held"), F.count("*").alias("parts"))
+    plan = plan.where("parts > 1").select("bucket", "main", F.ceil((F.col("held") - F.col("main_held")) / BLOCK_SHINGLES).alias("q_blocks"), F.ceil(F.col("held") / BLOCK_SHINGLES).alias("b_blocks"))
+    known = rows.join(plan, "bucket")
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    as_base = known.select("bucket", "node", "component", F.lit(False).alias("asked"), own("b_blocks").alias("b_block"), F.explode(upto("q_blocks")).alias("q_block"))
+    as_query = known.where("component <> main").select("bucket", "node", "component", F.lit(True).alias("asked"), F.explode(upto("b_blocks")).alias("b_block"), own("q_blocks").alias("q_block"))
+    dealt = as_base.unionByName(as_query).join(sets, "node").repartition("bucket", "q_block", "b_block").sortWithinPartitions("bucket", "q_block", "b_block")
+
+    def work(batches):
+        key, held = None, []
+
+        def settle():
+            found = joining_links(*map(list, zip(*held)), percent) if held else []
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            nodes, parts, asked = (batch.column(k).to_pylist() for k in (3, 4, 5))
+            lists = batch.column(6)
+            flat, edge = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for i, now in enumerate(keys):
+                if now != key:
+                    if held:
+                        yield settle()
+                    key = now
+                held.append((nodes[i], parts[i], flat[edge[i] : edge[i + 1]].copy(), asked[i]))
+        if held:
+            yield settle()
+
+    return dealt.select("bucket", "q_block", "b_block", "node", "component", "asked", "shingles").mapInArrow(work, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, bands: int = 24, rows: int = 6) -> DataFrame:
@@ -110,33 +193,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest id reachable and ``kept`` marks the rows that carry it.
 
     Texts with equal sets are first one node (their smallest id), so copies in any number never meet in a
-    bucket. In every bucket all nodes are compared with its smallest node: rows grow with the members, not
-    with their pairs, and the links found join most buckets into one component. Of the buckets that still
-    hold several components, the pairs of nodes of different components and of compatible sizes are compared
-    too, so no link between different texts found by any band is lost. Every comparison is exact, on whole sets.
+    bucket. In every bucket all nodes are compared with one of them, the one that shares buckets with most
+    others and so lies at the centre: rows grow with the members, not with their pairs, and the links found
+    join most buckets into one component. In buckets that still hold several components, the nodes outside the
+    largest are compared with all members in blocks (``links_across``), so no link between different texts that
+    any band found is lost. Every comparison is exact, on whole sets.
 
     Null or wordless texts have no shingles and link with nothing. Rows with a null id link by their text and
     never lend it to a component; without any other id in their component, that is null and they are kept.
     Rows that repeat an id are each judged by their own text. An empty table gives an empty result.
     """
     marks = checkpointed(shingle_marks(docs, id_col, text_col, width, CirculantMinHash(bands, rows)))
-    sets = marks.where("n_shingles > 0")
-    classes = sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").cast("int").alias("n"), F.first("buckets").alias("buckets"))
+    with_words = marks.where("n_shingles > 0")
+    classes = with_words.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").cast("int").alias("n"), F.first("buckets").alias("buckets"))
     members = classes.where("node IS NOT NULL").select("node", "n", F.explode("buckets").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
-    crowded = checkpointed(members.join(shared, "bucket").select("bucket", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), "size"))
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    stars = crowded.where((F.col("node") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    linked = checkpointed(similar_pairs(checkpointed(stars), docs, id_col, text_col, width, percent))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    crowded = checkpointed(members.join(sizes, "bucket"))
+    company = crowded.groupBy("node").agg(F.sum("size").alias("company"))
+    ranked = crowded.join(company, "node")
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"), "n")).alias("p")).select("bucket", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pivot_n"))
+    fits = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
+    stars = checkpointed(crowded.join(pivots, "bucket").where((F.col("node") != F.col("pivot")) & fits).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+
+    wanted = crowded.select("node").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).join(wanted, "node", "left_semi")
+    sets = checkpointed(shingle_sets(texts, "node", "text", width))
+    linked = checkpointed(similar_pairs(stars, sets, percent))
     found = components(linked)
-
-    open_rows = crowded.where("size > 2").select("bucket", "node", "n", "pivot").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = open_rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    rest = checkpointed(open_rows.where("node <> pivot").join(mixed, "bucket", "left_semi"))
-    left, right = rest.alias("l"), rest.alias("r")
-    across = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component")) & fits(F.col("l.n"), F.col("r.n")))
-    pairs = checkpointed(across.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct())
-    more = similar_pairs(pairs, docs, id_col, text_col, width, percent)
+    open_rows = checkpointed(crowded.where("size > 2").select("bucket", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    more = checkpointed(links_across(open_rows, sets, percent))
     whole = components(linked.unionByName(more))
 
     named = classes.select("set_a", "set_b", "node").join(whole, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("found"))
