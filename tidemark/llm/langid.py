@@ -222,3 +222,19 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), held_out(id_col).alias("held_out"))
     model = learn(own.where(~F.col("held_out")), "text", "lang", F.col("doc_id"))
     return identify(own, model, ["doc_id", "held_out"], "text", spans)
+
+
+#: A text with less than this share of its letters in its own main language is rejected as mixed.
+MIN_SCORE = 0.5
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language is identified with at least ``min_score``, with all their columns.
+
+    Where no row has a language to learn from, the rows that have a letter stay.
+    """
+    model = learn(docs.where(~held_out(id_col)), text_col, lang_col, F.col(id_col))
+    if not model.langs:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    return identify(own, model, ["row"], "text", spans=False).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")

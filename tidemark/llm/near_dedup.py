@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import U64, checkpointed, mix64, slices
@@ -228,3 +228,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows_out = marks.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
     return rows_out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns; of rows with equal id and text one stays."""
+    kept = near_duplicates(docs, id_col, text_col, **settings).where("kept").select(F.struct("doc_id").alias("__kept")).distinct()
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.struct(F.col(id_col).cast("long").alias("doc_id")).alias("__kept"))
+    found = rows.join(kept, "__kept", "left_semi")
+    once = Window.partitionBy("__kept", F.xxhash64(f"row.{text_col}")).orderBy(F.lit(0))
+    return found.withColumn("__n", F.row_number().over(once)).where("__n = 1").select("row.*")

@@ -77,29 +77,39 @@ def compression(text: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, i
     return ratio, len(ratios), sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in ratios)
 
 
-def text_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id`` and the columns of ``FIELDS`` for each row; a null text counts as empty."""
+def text_statistics(docs: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
+    """``id_cols`` and the columns of ``FIELDS`` for each row; a null text counts as empty."""
+    names = [f.split()[0] for f in FIELDS.split(", ")]
 
     def work(batches):
         packer = zstandard.ZstdCompressor(level=LEVEL)
         keep = bytes(set(range(256)) - set(SYMBOLS))
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for at, end in slices(texts, SLICE_BYTES):
-                raw = [(t or "").encode() for t in texts[at:end].to_pylist()]
+            last = batch.num_columns - 1
+            for at, end in slices(batch.column(last), SLICE_BYTES):
+                raw = [(t or "").encode() for t in batch.column(last)[at:end].to_pylist()]
                 hashes, bounds = word_hashes(raw)
                 rows = []
                 for i, text in enumerate(raw):
                     words = hashes[bounds[i] : bounds[i + 1]]
-                    # continuation bytes of UTF-8 are no code points of their own
                     chars = len(text.decode()) - sum(map(text.count, (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")))
                     rows.append((len(words), chars, len(text.translate(None, keep)), duplicate_lines(text), repeated_words(words), *compression(text, packer)))
-                columns = list(zip(*rows))
                 kinds = [pa.int64()] * 5 + [pa.float64()] + [pa.int64()] * 2
-                yield pa.RecordBatch.from_arrays([ids[at:end], *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *(f.split()[0] for f in FIELDS.split(", "))])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[at:end] for k in range(last)), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], [*batch.schema.names[:last], *names])
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return cols.mapInArrow(work, f"doc_id long, {FIELDS}")
+    carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*id_cols).schema)
+    return docs.select(*id_cols, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).mapInArrow(work, f"{carried}, {FIELDS}")
+
+
+def with_verdicts(stats: DataFrame) -> DataFrame:
+    """``stats`` with ``base_failed`` and ``kept``."""
+    size = F.col("word_chars")
+    low, high = F.lit(WHOLE_BANDS[-1][1]), F.lit(WHOLE_BANDS[-1][2])
+    for limit, lo, hi in reversed(WHOLE_BANDS[:-1]):
+        low, high = F.when(size < limit, lo).otherwise(low), F.when(size < limit, hi).otherwise(high)
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    in_band = F.col("zstd_ratio").between(low, high) & (F.col("chunks_out") <= CHUNK_SHARE * F.col("chunks"))
+    return stats.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & in_band)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,11 +123,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null, empty and wordless texts have no words and fail. Rows with equal texts get equal verdicts, null ids
     are carried through, an empty table gives an empty result.
     """
-    stats = text_statistics(docs, id_col, text_col)
-    size = F.col("word_chars")
-    low, high = F.lit(WHOLE_BANDS[-1][1]), F.lit(WHOLE_BANDS[-1][2])
-    for limit, lo, hi in reversed(WHOLE_BANDS[:-1]):
-        low, high = F.when(size < limit, lo).otherwise(low), F.when(size < limit, hi).otherwise(high)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    in_band = F.col("zstd_ratio").between(low, high) & (F.col("chunks_out") <= CHUNK_SHARE * F.col("chunks"))
-    return stats.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & in_band)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return with_verdicts(text_statistics(own, ["doc_id"], "text"))
+
+
+def keep_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    return with_verdicts(text_statistics(own, ["row"], "text")).where("kept").select("row.*")

@@ -134,7 +134,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every accepted value of a row's document replaced by ``mark``, the longest first."""
+    """``docs`` with every accepted value of a row's document replaced by ``mark``, the longest first.
+
+    Rows without an id, or without a finding, stay as they are.
+    """
     values = findings.where("is_secret").groupBy("doc_id").agg(F.collect_set("value").alias("__values"))
     longest_first = F.array_sort("__values", lambda a, b: F.length(b) - F.length(a))
     joined = docs.join(values.withColumnRenamed("doc_id", "__of"), F.col(id_col) == F.col("__of"), "left")
