@@ -55,23 +55,23 @@ def encode_short(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, RESULT)
 
 
-def overlapping_chunks(docs: DataFrame) -> DataFrame:
-    """``(row, doc_id, k, chunk)``: chunk k holds the code points from k * CHUNK on, and OVERLAP more, spread over all tasks."""
+def overlapping_chunks(docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``(row, doc_id, k, chunk)``: chunk k holds the code points from k * chunk on, and an overlap more, spread over all tasks."""
 
     def work(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 text = batch.column(2)[i].as_py()
-                n = -(-len(text) // CHUNK)
+                n = -(-len(text) // chunk)
                 head = [[batch.column(c)[i].as_py()] for c in (0, 1)]
                 for k in range(n):
-                    yield pa.RecordBatch.from_arrays([pa.array(head[0], pa.int64()), pa.array(head[1], pa.int64()), pa.array([k], pa.int32()), pa.array([text[k * CHUNK : (k + 1) * CHUNK + OVERLAP]])], ["row", "doc_id", "k", "chunk"])
+                    yield pa.RecordBatch.from_arrays([pa.array(head[0], pa.int64()), pa.array(head[1], pa.int64()), pa.array([k], pa.int32()), pa.array([text[k * chunk : (k + 1) * chunk + overlap]])], ["row", "doc_id", "k", "chunk"])
 
     return docs.select("row", "doc_id", "text").mapInArrow(work, "row long, doc_id long, k int, chunk string").repartition("row", "k")
 
 
-def stitch_points(chunks: DataFrame, pattern: str) -> DataFrame:
-    """``(row, k, begin, end, piece)``: what of each chunk is its own, in places of the chunk, and the piece it belongs to.
+def stitch_points(chunks: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN) -> DataFrame:
+    """``(row, k, begin, end, piece, alone)``: what of each chunk is its own, the piece it belongs to, and whether it is all of that.
 
     Every chunk is pre-tokenised alone. In the overlap of neighbours the first boundary that both found is
     where they resynchronise: from there on they agree, and there the text is cut. A chunk that does not
@@ -86,8 +86,9 @@ def stitch_points(chunks: DataFrame, pattern: str) -> DataFrame:
             heads, tails, sizes = [], [], []
             for text in batch.column(2).to_pylist():
                 found = safe_boundaries(text, matcher)
-                heads.append([0] + [b for b in found if b < OVERLAP])
-                tails.append([b - CHUNK for b in found if CHUNK <= b < CHUNK + OVERLAP - MARGIN and len(text) == CHUNK + OVERLAP] + [b - CHUNK for b in found if CHUNK <= b < len(text) < CHUNK + OVERLAP])
+                heads.append([0] + [b for b in found if b < overlap])
+                cut_off = len(text) == chunk + overlap  # else the text ends here
+                tails.append([b - chunk for b in found if chunk <= b < len(text) - (margin if cut_off else 0)])
                 sizes.append(len(text))
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(heads, ints), pa.array(tails, ints)], ["row", "k", "size", "heads", "tails"])
@@ -98,16 +99,16 @@ def stitch_points(chunks: DataFrame, pattern: str) -> DataFrame:
     cuts = marks.withColumn("cut", F.when(F.col("k") == 0, 0).otherwise(cut))
     cuts = cuts.withColumn("good", F.min(F.col("cut").isNotNull()).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     cuts = cuts.withColumn("next_good", F.lead("good").over(order)).withColumn("next_cut", F.lead("cut").over(order))
-    end = F.when(F.col("next_good").isNull(), F.col("size")).when(F.col("next_good"), F.col("next_cut") + CHUNK).otherwise(F.lit(CHUNK))
+    end = F.when(F.col("next_good").isNull(), F.col("size")).when(F.col("next_good"), F.col("next_cut") + chunk).otherwise(F.lit(chunk))
     piece = F.count(F.when(F.col("good"), 1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     whole = F.coalesce(F.col("good"), F.lit(False)) & F.coalesce(F.col("next_good"), F.lit(True))
     return cuts.select("row", "k", F.when(F.col("good"), F.col("cut")).otherwise(0).alias("begin"), end.alias("end"), piece.alias("piece"), whole.alias("alone"))
 
 
-def encode_long(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def encode_long(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN) -> DataFrame:
     """``RESULT`` of texts of more than one chunk: stitch, encode the pieces in parallel, join their ids by row."""
-    chunks = overlapping_chunks(docs)
-    parts = chunks.join(stitch_points(chunks, pattern), ["row", "k"])
+    chunks = overlapping_chunks(docs, chunk, overlap)
+    parts = chunks.join(stitch_points(chunks, pattern, chunk, overlap, margin), ["row", "k"])
 
     def encode(batches):
         encoding = load_encoding(ranks_path, pattern)
@@ -140,12 +141,12 @@ def encode_long(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return grouped.select("doc_id", "parts").mapInArrow(join, RESULT)
 
 
-def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN) -> DataFrame:
     """``RESULT`` of each row of ``docs``: digests of the ids of its whole text and of the bytes they decode to.
 
-    Texts of up to CHUNK code points are one piece. A null text is empty and has no ids; repeated rows and null
+    Texts of up to ``chunk`` code points are one piece. A null text is empty and has no ids; repeated rows and null
     ids are rows like any other; an empty table gives an empty result.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    is_long = F.char_length("text") > CHUNK
-    return encode_short(own.where(~is_long), ranks_path, pattern).unionByName(encode_long(own.where(is_long), ranks_path, pattern))
+    is_long = F.char_length("text") > chunk
+    return encode_short(own.where(~is_long), ranks_path, pattern).unionByName(encode_long(own.where(is_long), ranks_path, pattern, chunk, overlap, margin))

@@ -47,7 +47,7 @@ def token_blocks(docs: DataFrame, tokenizer_path: str, vocabulary: int, id_col:
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     bounds = quantile_bounds(own, "doc_id", shuffle_parts(docs.sparkSession))
-    dealt = own.withColumn("part", F.coalesce(part_of(F.col("doc_id"), bounds), F.lit(0)) if bounds else F.lit(0))
+    dealt = own.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part_of(F.col("doc_id"), bounds)))
     ordered = dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     bits = bits_for(vocabulary)
 
