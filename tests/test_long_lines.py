@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import facts, lines as L
-from tidemark.operators.rules import ACTION_RULES, extract_actions
+from tidemark.operators.statements import DIALECTS, extract_actions
 from tidemark.plans import failures, quality
 
 LONG = [
@@ -18,8 +18,8 @@ def test_long_lines(spark):
     assert facts.extract_locators(df).count() == 1
     assert df.select(F.sum(F.length(facts.mask_code("line")))).first()[0] == sum(map(len, LONG))
     assert facts.extract_expressions(df).count() >= 1
-    for make in ACTION_RULES.values():
-        extract_actions(df, make()).count()
+    for language in DIALECTS:
+        extract_actions(df, language).count()
     assert L.extract_todos(df).count() == 1
     assert L.scan_issue_lines(df).count() >= 1
     assert quality.placeholder_leftovers(df, ["name"]).count() == 0

@@ -8,7 +8,7 @@ from tidemark.catalog.registry import CODE_SQL, LINES_SQL, code_lines, doc_lines
 from tidemark.functions import paths, predicates as P
 from tidemark.functions.text import source_line
 from tidemark.operators import facts, lines as L
-from tidemark.operators.rules import ACTION_RULES, extract_actions
+from tidemark.operators.statements import extract_actions
 
 TRIM = sql_trim
 
@@ -280,24 +280,37 @@ shaped_base AS (SELECT doc_id, source, line_no, replace(line, '"', '') AS x, 'w'
 shaped AS (SELECT *, CASE (doc_id + line_no) % {n} {cases} END AS line FROM shaped_base)"""
 
 
+# What each shape says, written by hand: kind, confidence, target and value in SQL over x and w.
+SAID = {
+    "java": (
+        ("click-direct", "Semantic", "x", "''"), ("send-keys-direct", "Semantic", "x", "w"), ("clear-stored", "Semantic", "w || 'Field'", "''"), ("assert-text-direct", "Semantic", "w", "x"),
+        ("assert-contains-stored", "Semantic", "w || 'Box'", "x"), ("navigation", "Semantic", "'https://host/' || w", "''"), ("wait-direct", "Semantic", "x", "''"), ("element-declaration", "Semantic", "x", "''"),
+        ("assert-that-text-variable", "Semantic", "w", "x"), ("click-variable", "Semantic", "w", "''"), ("page-object", "Semantic", "'LoginPage'", "''"),
+    ),
+    "python": (
+        ("click-direct", "Semantic", "x", "''"), ("send-keys-direct", "Semantic", "x", "w"), ("clear-direct", "Semantic", "x", "''"), ("assert-text-direct", "Semantic", "w", "x"),
+        ("assert-contains-variable", "Semantic", "w", "x"), ("navigation", "Semantic", "x", "''"), ("wait-direct", "Semantic", "x", "''"), ("assert-text-variable", "Semantic", "'self.' || w", "x"),
+        ("click-variable", "Semantic", "w", "''"), ("element-declaration", "Semantic", "x", "''"), ("setup-super", "Semantic", "''", "''"),
+    ),
+    "csharp": (
+        ("click", "Semantic", "x", "''"), ("send-keys", "Semantic", "x", "w"), ("table-row-text", "Semantic", "'0'", "''"), ("table-count", "Semantic", "'Be'", "'3'"), ("table-row", "Semantic", "'i'", "''"),
+        ("pagination-forward", "Semantic", "''", "''"), ("open-page", "Semantic", "x", "''"), ("navigation", "Semantic", "x", "''"), ("find-element", "Semantic", "x", "''"), ("assertion", "Semantic", "'That'", "''"),
+        ("find-element-dynamic", "SyntaxFallback", "w || ' + i'", "''"),
+    ),
+}
+
+
 def actions_sql(language):
-    """The rule table as one CASE: rules are data, so both engines read the same table."""
-    rules = ACTION_RULES[language]()
-    esc = lambda p: p.replace("'", "''").replace(")*+", ")*")  # noqa: E731  (the SQL engine knows no possessive loops)
-    first = "CASE " + " ".join(f"WHEN regexp_matches(line, '{esc(r.pattern)}') THEN {i}" for i, r in enumerate(rules)) + " END"
-    pick = lambda f: "CASE rule_ord " + " ".join(f"WHEN {i} THEN {f(r)}" for i, r in enumerate(rules)) + " END"
-    group = lambda r, g: f"regexp_extract(line, '{esc(r.pattern)}', {g})" if g else "''"
-    return f"""WITH {shaped_sql(language)},
-    ruled AS (SELECT *, {first} AS rule_ord FROM shaped)
-    SELECT doc_id, line_no::BIGINT AS line_no, {pick(lambda r: f"'{r.label}'")} AS kind, {pick(lambda r: f"'{r.confidence}'")} AS confidence,
-           {pick(lambda r: group(r, r.target))} AS target, {pick(lambda r: group(r, r.value))} AS value
-    FROM ruled WHERE rule_ord IS NOT NULL"""
+    pick = lambda k: "CASE (doc_id + line_no) % 12 " + " ".join(f"WHEN {i} THEN " + (f"'{said[k]}'" if k < 2 else said[k]) for i, said in enumerate(SAID[language])) + " END"
+    return f"""WITH {shaped_sql(language)}
+    SELECT doc_id, line_no::BIGINT AS line_no, {pick(0)} AS kind, {pick(1)} AS confidence, {pick(2)} AS target, {pick(3)} AS value
+    FROM shaped WHERE (doc_id + line_no) % 12 < 11"""
 
 
 def _actions(number, language):
     @query(f"p{number}_extract_actions_{language}", actions_sql(language))
     def run(spark, sf):
-        return extract_actions(shaped_lines(spark, sf, language), ACTION_RULES[language]()).select(
+        return extract_actions(shaped_lines(spark, sf, language), language).select(
             "doc_id", F.col("line_no").cast("bigint").alias("line_no"), "kind", "confidence", "target", "value"
         )
 

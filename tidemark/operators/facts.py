@@ -9,68 +9,59 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import as_col, trim_all
 
-# Locator factories of the three source languages and their common kind names.
-CALL_SELECTOR = (
-    r"\bBy\.(Id|CssSelector|XPath|Name|ClassName|TagName|LinkText|PartialLinkText"
-    r"|id|cssSelector|xpath|name|className|tagName|linkText|partialLinkText)\s*\(\s*\"([^\"\\]*(?:\\.[^\"\\]*)*+)\"\s*\)"
-)
-TUPLE_SELECTOR = (
-    r"\bBy\.(ID|CSS_SELECTOR|XPATH|NAME|CLASS_NAME|TAG_NAME|LINK_TEXT|PARTIAL_LINK_TEXT)\s*,\s*\"([^\"]*)\""
-)
-TEST_ID_SELECTOR = r"\b(ByTId|ByTestId|ByDataTid)\s*\(\s*\"([^\"\\]*(?:\\.[^\"\\]*)*+)\"\s*\)"
+# Quoted text as runs between escapes in a possessive loop: the JVM matches it without recursion.
+LITERAL = r"\"[^\"\\]*(?:\\.[^\"\\]*)*+\""
+#: A name with ``By`` at its front, its member if any, and the quoted text handed to it.
+NAMED_LITERAL = rf"(?<![A-Za-z0-9_])(By[A-Za-z]*)\s*(?:\.\s*([A-Za-z_]+)\s*)?[(,]\s*({LITERAL})"
+# Names of the locator factories in lower case without underscores, and their common kinds.
 SELECTOR_KINDS = {
     "id": "Id", "cssselector": "CssSelector", "xpath": "XPath", "name": "Name", "classname": "ClassName", "tagname": "TagName",
     "linktext": "LinkText", "partiallinktext": "PartialLinkText", "bytid": "TestId", "bytestid": "TestId", "bydatatid": "TestId",
 }
-ASSIGNED_NAME = r"((?:this\.|self\.|cls\.)?[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)?)\s*(?:=>|=)\s*[^=]*$"
-GENERATED_LOCATOR = r"\b([Pp]age\.(Locator|GetByTestId|GetByText|GetByRole)\s*\(([^;\n]+)\))"
-FIRST_STRING = r"\"([^\"\\]*(?:\\.[^\"\\]*)*+)\"|'([^'\\]*(?:\\.[^'\\]*)*+)'"
+# Methods of generated code that make a locator.
+LOCATOR_CALLS = ("Locator", "GetByTestId", "GetByText", "GetByRole")
+FIRST_STRING = rf"{LITERAL}|'[^'\\]*(?:\\.[^'\\]*)*+'"
 
 
 def unescape_quotes(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit('\\"'), F.lit('"')), F.lit("\\'"), F.lit("'"))
 
 
-def common_kind(c: Column) -> Column:
+def common_kind(name: Column) -> Column:
+    """Common kind of a locator factory, null for other names."""
     lookup = F.create_map(*[F.lit(x) for kv in SELECTOR_KINDS.items() for x in kv])
-    return F.coalesce(F.try_element_at(lookup, F.lower(F.replace(c, F.lit("_"), F.lit("")))), c)
+    return F.try_element_at(lookup, F.lower(F.replace(name, F.lit("_"), F.lit(""))))
 
 
-def extract_selectors(lines: DataFrame, line_col: str = "line", patterns: Sequence[str] = (CALL_SELECTOR, TUPLE_SELECTOR, TEST_ID_SELECTOR)) -> DataFrame:
-    """Selector facts: kind, value and the name the selector is assigned to. Each pattern has (kind, value) groups."""
-    line = F.col(line_col)
+def assigned_name(before: Column) -> Column:
+    """The name that stands left of the last assignment of ``before``, at most two names deep, else empty."""
+    left = F.when(F.contains(before, F.lit("=")), F.regexp_replace(before, r"=[^=]*$", "")).otherwise("")
+    return F.regexp_extract(left, r"((?:(?:this|self|cls)\.)?[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?)\s*$", 1)
+
 
-    def found(p: str) -> Column:
-        return F.transform(
-            F.arrays_zip(
-                F.regexp_extract_all(line, F.lit(p), F.lit(0)).alias("m"),
-                F.regexp_extract_all(line, F.lit(p), F.lit(1)).alias("k"),
-                F.regexp_extract_all(line, F.lit(p), F.lit(2)).alias("v"),
-            ),
-            lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), x["v"].alias("v")),
-        )
-
-    hits = lines.where(F.contains(line, F.lit("By"))).select(*lines.columns, F.explode(F.concat(*[found(p) for p in patterns])).alias("_f"))
-    before = F.substring(line, F.lit(1), F.position(F.col("_f.m"), line) - 1)
-    kind, value = common_kind(F.col("_f.k")), unescape_quotes(F.col("_f.v"))
-    name = F.regexp_extract(before, ASSIGNED_NAME, 1)
+def extract_selectors(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """Selector facts: kind, value and the name the selector is assigned to."""
+    line = F.col(line_col)
+    parts = F.arrays_zip(*[F.regexp_extract_all(line, F.lit(NAMED_LITERAL), F.lit(g)).alias(n) for g, n in enumerate(("m", "by", "member", "v"))])
+    kind = lambda x: common_kind(F.when(x["member"] != "", x["member"]).otherwise(x["by"]))
+    known = F.filter(F.transform(parts, lambda x: F.struct(x["m"].alias("m"), x["v"].alias("v"), kind(x).alias("kind"))), lambda x: x["kind"].isNotNull())
+    hits = lines.where(F.contains(line, F.lit("By"))).select(*lines.columns, F.explode(known).alias("_f"))
+    name = assigned_name(F.substring(line, F.lit(1), F.position(F.col("_f.m"), line) - 1))
+    value = unescape_quotes(F.substring(F.col("_f.v"), F.lit(2), F.length("_f.v") - 2))
     return hits.select(
         *lines.columns,
-        kind.alias("kind"),
+        F.col("_f.kind").alias("kind"),
         value.alias("value"),
-        F.when(name != "", name).otherwise(F.concat(F.lit("selector:"), kind, F.lit(":"), value)).alias("source_expr"),
+        F.when(name != "", name).otherwise(F.concat(F.lit("selector:"), F.col("_f.kind"), F.lit(":"), value)).alias("source_expr"),
     )
 
 
 def extract_locators(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """Generated locator facts: the locator text, its method and the value it looks for."""
-    line = F.col(line_col)
-    hits = lines.where(F.contains(F.lower(line), F.lit("page."))).select(
-        *lines.columns,
-        F.explode(
-            F.arrays_zip(*[F.regexp_extract_all(line, F.lit(GENERATED_LOCATOR), F.lit(g)).alias(n) for g, n in ((1, "l"), (2, "m"), (3, "a"))])
-        ).alias("_f"),
-    )
+    """Generated locator facts: the locator text up to the end of its statement, its method and the value it looks for."""
+    statements = F.filter(F.split(F.col(line_col), ";"), lambda s: F.contains(s, F.lit("age.")))
+    chain = lambda s, g: F.regexp_extract(s, rf"(?<![A-Za-z0-9_])([Pp]age\.({'|'.join(LOCATOR_CALLS)})\s*\((.+)\))", g)
+    cut = F.filter(F.transform(statements, lambda s: F.struct(chain(s, 1).alias("l"), chain(s, 2).alias("m"), chain(s, 3).alias("a"))), lambda x: x["l"] != "")
+    hits = lines.where(F.contains(F.lower(F.col(line_col)), F.lit("page."))).select(*lines.columns, F.explode(cut).alias("_f"))
     args = F.col("_f.a")
     quoted = F.regexp_extract(args, FIRST_STRING, 0)
     text = F.when(quoted != "", unescape_quotes(F.substring(quoted, F.lit(2), F.length(quoted) - 2))).otherwise(trim_all(args))
