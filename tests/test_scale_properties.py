@@ -165,3 +165,19 @@ def test_evidence_match_ignores_row_order(spark):
         return sorted(tuple(str(x) for x in r) for r in out.collect())
 
     assert run(1, 1) == run(5, 2)
+
+
+def test_identifiers_of_several_tokens(spark):
+    import re
+
+    keys = ["Foo.Bar", "a[0]", "List<Page>", "Foo", "x$y", r"p\Eq", "a b"]
+    texts = ["Foo.Bar Foo.Bars aFoo.Bar (Foo.Bar)\nFoo", "a[0] ba[0] a[0]b\na[0]", "new List<Page>() List<Pages>", "x$y $x$y", r"p\Eq", "a  b", "", "a b.a b"]
+    rules = spark.createDataFrame(list(enumerate(keys)), "rid int, key string")
+    got = {(r.rid, r.id): (r.hits, r.first_line) for r in identifier_hits(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text", rules, "rid", "key").collect()}
+    want = {}
+    for k, key in enumerate(keys):
+        for i, text in enumerate(texts):
+            found = list(re.finditer(rf"(?<!\w){re.escape(key)}(?!\w)", text))
+            if found:
+                want[k, i] = (len(found), text[: found[0].start()].count("\n") + 1)
+    assert got == want

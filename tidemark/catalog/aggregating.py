@@ -156,12 +156,11 @@ def a09(spark, sf):
 
 @query(
     "a10_readiness",
-    f"""WITH {GROUPS_SQL}, s AS (SELECT user_id, least(greatest(100 - sum(w * least(n, 10) * 4) - CASE WHEN bool_or(category = 'environment/flaky-infra') THEN 25 ELSE 0 END - CASE WHEN user_id % 2 = 0 THEN 15 ELSE 0 END - CASE WHEN user_id % 3 = 0 THEN 5 ELSE 0 END, 0), 100)::BIGINT AS score FROM
-         (SELECT * FROM sv WHERE n <= 12) GROUP BY user_id)
+    f"""WITH {GROUPS_SQL}, s AS (SELECT user_id, least(greatest(100 - sum(w * least(n, 10) * 4) - CASE WHEN bool_or(category = 'environment/flaky-infra') THEN 25 ELSE 0 END - CASE WHEN user_id % 2 = 0 THEN 15 ELSE 0 END - CASE WHEN user_id % 3 = 0 THEN 5 ELSE 0 END, 0), 100)::BIGINT AS score FROM sv GROUP BY user_id)
     SELECT user_id, score, CASE WHEN score >= 85 THEN 'ready' WHEN score >= 65 THEN 'nearly-ready' WHEN score >= 40 THEN 'needs-targeted-fixes' ELSE 'blocked' END AS level FROM s""",
 )
 def a10(spark, sf):
-    groups = A.failure_groups(failure_obs(spark, sf), ["user_id"])[0].where("n <= 12")
+    groups = A.failure_groups(failure_obs(spark, sf), ["user_id"])[0]
     return A.readiness(groups, ["user_id"], F.col("user_id") % 2, F.col("user_id") % 3)
 
 
@@ -189,7 +188,7 @@ def helpers(spark, sf):
        min(list_position(['RequiredSideEffect','ProjectWaitHelper','AssertionHelper','UnknownUnsafe','ReadOnlyProbe','SafeWaitElide'], semantics)) AS s, min(list_position(['high','medium','unknown','low'], risk)) AS r FROM h GROUP BY 1),
      ev AS (SELECT k, label, c, row_number() OVER (PARTITION BY k ORDER BY c DESC, label) AS rn FROM (SELECT lower(name) AS k, label, count(*) AS c FROM (SELECT name, unnest(evidence) AS label FROM h) GROUP BY 1, 2))
     SELECT name, occurrences, confidence, ['RequiredSideEffect','ProjectWaitHelper','AssertionHelper','UnknownUnsafe','ReadOnlyProbe','SafeWaitElide'][s] AS semantics, ['high','medium','unknown','low'][r] AS risk,
-      (SELECT string_agg(label || ' (' || c || ')', '; ' ORDER BY rn) FROM ev WHERE ev.k = fam.k AND rn <= 8) AS top_evidence FROM fam""",
+      (SELECT string_agg(label || ' (' || c || ')', '; ' ORDER BY rn) FROM ev WHERE ev.k = fam.k) AS top_evidence FROM fam""",
 )
 def a11(spark, sf):
     return A.helper_families(helpers(spark, sf)).withColumn("top_evidence", F.array_join("top_evidence", "; "))
@@ -357,11 +356,11 @@ WORD_CLUSTERS = (("the", r"\b[Tt]he \w+"), ("of", r"\bof \w+"), ("der", r"\bder
     "a23_pattern_clusters",
     rf"""WITH {LINES_SQL}, h AS (SELECT 'the' AS category, regexp_extract(line, '\b[Tt]he \w+', 0) AS text FROM lines UNION ALL SELECT 'of', regexp_extract(line, '\bof \w+', 0) FROM lines
        UNION ALL SELECT 'der', regexp_extract(line, '\bder \w+', 0) FROM lines UNION ALL SELECT 'caps', regexp_extract(line, '^\w+', 0) FROM lines),
-    c AS (SELECT category, text, count(*) AS occurrences FROM h WHERE text <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY occurrences DESC, text) AS rn FROM c)
-    SELECT category, text, occurrences FROM r WHERE rn <= 12 ORDER BY occurrences DESC, category, text LIMIT 12""",
+    c AS (SELECT category, text, count(*) AS occurrences FROM h WHERE text <> '' GROUP BY 1, 2)
+    SELECT category, text, occurrences FROM c ORDER BY occurrences DESC, category, text""",
 )
 def a23(spark, sf):
-    return A.pattern_clusters(doc_lines(spark, sf), 12, WORD_CLUSTERS)
+    return A.pattern_clusters(doc_lines(spark, sf), patterns=WORD_CLUSTERS)
 
 
 ROOT_RULES = (("blocked-symbol", r"unresolved symbol (\w+)", 1), ("source-only", r"source-only identifier (\w+)", 1))

@@ -62,8 +62,8 @@ def c31(spark, sf):
     "c31_learn_pack",
     f"""WITH {PACK_SQL}, p AS (SELECT kind, value, count(*) AS n FROM (SELECT regexp_extract(q, '(\\w+)="', 1) AS kind, regexp_extract(q, '="([^"]+)"', 1) AS value FROM (SELECT unnest(regexp_extract_all(text, '(\\w+)="([^"]+)"')) AS q FROM ev WHERE kind = 'selector-evidence')) GROUP BY 1, 2),
     pk AS (SELECT min(kind) AS kind, min(value) AS value, sum(n)::BIGINT AS n FROM p GROUP BY lower(kind), lower(value))
-    SELECT 'candidate' AS part, source AS key, target, score::BIGINT AS score FROM (SELECT * FROM m WHERE safety <> 'manual-only' ORDER BY score DESC, tier, ord, pos LIMIT 20)
-    UNION ALL SELECT 'candidate', kind, value, 75 FROM (SELECT * FROM pk WHERE contains(lower(value), 'utf') ORDER BY n DESC, kind, value LIMIT 6)
+    SELECT 'candidate' AS part, source AS key, target, score::BIGINT AS score FROM (SELECT * FROM m WHERE safety <> 'manual-only')
+    UNION ALL SELECT 'candidate', kind, value, 75 FROM (SELECT * FROM pk WHERE contains(lower(value), 'utf'))
     UNION ALL SELECT 'finding', 'manual-selector-review', '', 0 UNION ALL SELECT 'finding', 'missing-verify-evidence', '', 0""",
 )
 def c31b(spark, sf):
@@ -81,7 +81,7 @@ def c31b(spark, sf):
 @query(
     "c32_author_config",
     """WITH m AS (SELECT DISTINCT p_name AS key FROM part WHERE p_size < 3), u AS (SELECT p_name AS key, count(*) AS n FROM part WHERE p_name NOT IN (SELECT key FROM m) GROUP BY 1), h AS (SELECT p_name || '.' || p_type AS key, count(*) AS n FROM part WHERE p_name || '.' || p_type NOT IN (SELECT key FROM m) GROUP BY 1)
-    SELECT 1 AS kind_ord, 'UiTargets' AS area, key, n, 'review-required' AS safety FROM (SELECT * FROM u ORDER BY n DESC, key LIMIT 8) UNION ALL SELECT 2, 'ParameterizedMethods', key, n, 'manual-only' FROM (SELECT * FROM h ORDER BY n DESC, key LIMIT 8)""",
+    SELECT 1 AS kind_ord, 'UiTargets' AS area, key, n, 'review-required' AS safety FROM u UNION ALL SELECT 2, 'ParameterizedMethods', key, n, 'manual-only' FROM h""",
 )
 def c32(spark, sf):
     p = table(spark, sf, "part")

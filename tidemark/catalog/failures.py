@@ -37,7 +37,7 @@ HEADER_SQL = rf"""CASE WHEN contains({T}, ' › ') OR starts_with(lower({T}), 'f
     OR regexp_matches({T}, '(?:^|[^\p{{L}}\p{{N}}_])[a-zA-Z_][a-zA-Z0-9_<>]*\([^)]*\)') THEN {T} END"""
 OBS_SQL = LOG_SQL + f""",
 marked AS (SELECT doc_id, source, line_no, line, CASE WHEN length({T}) > 0 THEN {cascade_sql(P.FAILURE_RULES)} END AS category,
-  last_value({HEADER_SQL} IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 18 PRECEDING AND CURRENT ROW) AS test,
+  last_value({HEADER_SQL} IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS test,
   string_agg(rtrim(line), chr(10)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING) AS snippet FROM log),
 obs AS (SELECT doc_id, line_no, category, test, {T} AS message, md5(snippet) AS snippet FROM marked WHERE category IS NOT NULL
   UNION ALL SELECT doc_id, 1, 'unclassified-runtime-failure', NULL, 'failure text without a known pattern', NULL FROM marked GROUP BY doc_id

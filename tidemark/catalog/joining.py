@@ -380,35 +380,33 @@ def j17(spark, sf):
 
 @query(
     "j18_link_failures",
-    r"""WITH f AS (SELECT doc_id AS obs, lower(w) AS tok FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]{9,}'))) AS w FROM documents)),
-    g AS (SELECT conv_id * 100 + turn AS file, lower(w) AS tok FROM (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]{9,}'))) AS w FROM conversations)),
-    m AS (SELECT DISTINCT obs, file FROM f JOIN g USING (tok))
-    SELECT obs, min(file) AS generated FROM m GROUP BY obs""",
+    r"""WITH f AS (SELECT doc_id AS obs, lower(w) AS tok FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[\p{L}\p{N}_]{4,}'))) AS w FROM documents)),
+    g AS (SELECT conv_id, turn, lower(w) AS tok FROM (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(text, '[\p{L}\p{N}_]{4,}'))) AS w FROM conversations)),
+    m AS (SELECT DISTINCT obs, conv_id, turn FROM f JOIN g USING (tok))
+    SELECT obs, min((conv_id, turn))[1] AS conv_id, min((conv_id, turn))[2] AS turn FROM m GROUP BY obs""",
 )
 def j18(spark, sf):
     from tidemark.operators.linking import link_by_tokens
 
     obs = table(spark, sf, "documents").select(F.col("doc_id").alias("obs"), "text")
-    files = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("file"), F.col("text").alias("body"))
-    return link_by_tokens(obs, "obs", "text", files, "file", "body").withColumnRenamed("file", "generated")
+    files = table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("file"), F.col("text").alias("body"))
+    return link_by_tokens(obs, "obs", "text", files, "file", "body").select("obs", "file.conv_id", "file.turn")
 
 
 @query(
     "j20_score_profiles",
     """WITH sig AS (SELECT n_nationkey, n_regionkey, n_name FROM nation), prof AS (SELECT r_regionkey, r_name FROM region)
-    SELECT n_nationkey, r_name AS profile, least(greatest(100 - CASE WHEN n_regionkey <> r_regionkey THEN 45 ELSE 0 END - CASE WHEN length(n_name) % 2 <> length(r_name) % 2 THEN 20 ELSE 0 END, 0), 100)::BIGINT AS score FROM sig, prof""",
+    SELECT n_nationkey, r_name AS profile, (100 - CASE WHEN length(n_name) % 2 <> length(r_name) % 2 THEN 20 ELSE 0 END)::BIGINT AS score FROM sig JOIN prof ON n_regionkey = r_regionkey
+    UNION ALL SELECT n_nationkey, NULL, 55 FROM sig""",
 )
 def j20(spark, sf):
-    """Every profile is scored for every project: the catalogue is folded into one array per project and exploded, no cross join."""
+    """Profiles of a project's region are scored by an equi join; one row stands for all others."""
     from tidemark.operators.linking import score_catalogue
 
     catalogue = table(spark, sf, "region").select("r_regionkey", "r_name")
     projects = table(spark, sf, "nation").select("n_nationkey", "n_regionkey", "n_name")
-    penalties = [
-        (45, lambda p: F.col("n_regionkey") != p["r_regionkey"]),
-        (20, lambda p: F.length("n_name") % 2 != F.length(p["r_name"]) % 2),
-    ]
-    out = score_catalogue(projects, catalogue, penalties)
+    penalties = [(20, lambda p: F.length("n_name") % 2 != F.length(p["r_name"]) % 2)]
+    out = score_catalogue(projects, catalogue, (F.col("n_regionkey"), F.col("r_regionkey")), 45, penalties)
     return out.select("n_nationkey", F.col("profile.r_name").alias("profile"), F.col("score").cast("bigint").alias("score"))
 
 
@@ -511,10 +509,11 @@ def u04(spark, sf):
 
 @query(
     "u05_distinct_trimmed",
-    f"""WITH {LINES_SQL} SELECT source, trim(v) AS word, min(doc_id * 100000 + line_no)::BIGINT AS position FROM (SELECT source, doc_id, line_no, ' ' || regexp_extract(line, '[A-Za-z]*', 0) || '  ' AS v FROM lines)
+    f"""WITH {LINES_SQL} SELECT source, trim(v) AS word, min((doc_id, line_no))[1] AS doc_id, min((doc_id, line_no))[2]::BIGINT AS line_no FROM (SELECT source, doc_id, line_no, ' ' || regexp_extract(line, '[A-Za-z]*', 0) || '  ' AS v FROM lines)
         WHERE trim(v) <> '' GROUP BY 1, 2""",
 )
 def u05(spark, sf):
     v = F.concat(F.lit(" "), F.regexp_extract("line", "[A-Za-z]*", 0), F.lit("  "))
-    lines = doc_lines(spark, sf).select("source", v.alias("word"), (F.col("doc_id") * 100000 + F.col("line_no")).alias("ord"))
-    return sets.distinct_trimmed(lines, "word", "ord", ["source"])
+    lines = doc_lines(spark, sf).select("source", v.alias("word"), F.struct("doc_id", "line_no").alias("ord"))
+    found = sets.distinct_trimmed(lines, "word", "ord", ["source"])
+    return found.select("source", "word", "position.doc_id", F.col("position.line_no").cast("bigint").alias("line_no"))

@@ -98,10 +98,10 @@ def c35b(spark, sf):
 @query(
     "c36_research_clusters",
     rf"""WITH {CODE_SQL}, h AS (SELECT 'todoClusters' AS category, trim(regexp_extract(line, '(?i)\bTODO\b.*', 0)) AS text FROM code), c AS (SELECT category, text, count(*) AS occurrences FROM h WHERE text <> '' GROUP BY 1, 2)
-    SELECT category, text, occurrences FROM c ORDER BY occurrences DESC, category, text LIMIT 20""",
+    SELECT category, text, occurrences FROM c ORDER BY occurrences DESC, category, text""",
 )
 def c36(spark, sf):
-    return A.pattern_clusters(code_lines(spark, sf), 20)
+    return A.pattern_clusters(code_lines(spark, sf))
 
 
 @query(
@@ -118,7 +118,7 @@ PILOT_CATS = (("page-object", r"(?i)license|copyright"), ("table-filter", r"\bof
 
 @query(
     "c37_pilot_candidates",
-    r"""SELECT doc_id, greatest(1, least(len(regexp_extract_all(text, '\b[Tt]he\b')), 25))::BIGINT AS tests,
+    r"""SELECT doc_id, greatest(1, len(regexp_extract_all(text, '\b[Tt]he\b')))::BIGINT AS tests,
         (10 * (CASE WHEN len(regexp_extract_all(text, ' on ')) <= 3 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)license|copyright') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '\bof the\b') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, ' was ') THEN 1 ELSE 0 END
           + CASE WHEN len(regexp_extract_all(text, '\b([A-Z][A-Za-z0-9_]*)\s*\(', 1)) > 0 THEN 1 ELSE 0 END) + len(regexp_extract_all(text, 'tion')) + len(regexp_extract_all(text, ' der ')))::BIGINT AS score FROM documents""",
 )
@@ -176,7 +176,7 @@ def c39b(spark, sf):
 
 @query(
     "c39_smoke_plan",
-    f"""WITH {TEST_SQL} SELECT doc_id, test, level::BIGINT AS level, assertions FROM stats WHERE level >= 3 AND doc_id NOT IN (SELECT doc_id FROM code WHERE contains(line, 'Page.TODO_')) ORDER BY level DESC, assertions DESC, ratio DESC, test, doc_id LIMIT 10""",
+    f"""WITH {TEST_SQL} SELECT doc_id, test, level::BIGINT AS level, assertions FROM stats WHERE level >= 3 AND doc_id NOT IN (SELECT doc_id FROM code WHERE contains(line, 'Page.TODO_')) ORDER BY level DESC, assertions DESC, ratio DESC, test, doc_id""",
 )
 def c39c(spark, sf):
     errors = code_lines(spark, sf).where(F.contains("line", F.lit("Page.TODO_"))).select("doc_id")

@@ -514,13 +514,13 @@ SENSITIVE = (("credential", r"(?i)\b(?:licensed|copyright)\b"), ("bearer", r"[0-
 @query(
     "p24_screen_sensitive",
     r"""SELECT doc_id,
-          CASE WHEN octet_length(encode(text)) > 12000 THEN 'size'
-               WHEN regexp_matches(text, '(?i)\b(?:licensed|copyright)\b') THEN 'credential' WHEN regexp_matches(text, '[0-9]{3}-[0-9]{4}') THEN 'bearer' END AS reason
+          concat_ws(',', CASE WHEN octet_length(encode(text)) > 12000 THEN 'size' END,
+               CASE WHEN regexp_matches(text, '(?i)\b(?:licensed|copyright)\b') THEN 'credential' END, CASE WHEN regexp_matches(text, '[0-9]{3}-[0-9]{4}') THEN 'bearer' END) AS reasons
         FROM documents""",
 )
 def p24(spark, sf):
     docs = table(spark, sf, "documents").withColumn("path", F.col("source"))
-    return P.screen_sensitive(docs, patterns=SENSITIVE, max_bytes=12000).select("doc_id", "reason")
+    return P.screen_sensitive(docs, patterns=SENSITIVE, max_bytes=12000).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(

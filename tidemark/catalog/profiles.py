@@ -26,7 +26,7 @@ sig AS (SELECT expression, count(*) AS n FROM expr WHERE split_part(expression,
 @query(
     "c03_profile_match",
     f"""WITH {PROFILE_SQL} SELECT 'layer' AS part, layer AS key, rules AS n, round_even(100.0::DOUBLE * matched / rules, 1)::DOUBLE AS score, hits FROM layers
-    UNION ALL SELECT 'gap', expression, n, 0, 0 FROM (SELECT * FROM sig ORDER BY n DESC, expression LIMIT 75) ORDER BY part DESC, n DESC, key LIMIT 24""",
+    UNION ALL SELECT 'gap', expression, n, 0, 0 FROM sig""",
 )
 def c03(spark, sf):
     b = table(spark, sf, "benchmark").withColumn("w", F.split("text", " ", -1))
@@ -41,8 +41,7 @@ def c03(spark, sf):
         F.expr("CASE item_id % 3 WHEN 0 THEN 'UiTargets' WHEN 1 THEN 'TargetKnownIdentifiers' ELSE 'ParameterizedMethods' END").alias("section"), key.alias("key"),
     )
     m = P.profile_match(rules, table(spark, sf, "documents"), expression_lines(spark, sf), "doc_id", "text")
-    hits = m["matched"].groupBy("layer").agg(F.sum("hits").alias("hits"))
-    layers = m["layers"].join(hits, "layer", "left").select(F.lit("layer").alias("part"), F.col("layer").alias("key"), F.col("rules").alias("n"), "score", F.coalesce("hits", F.lit(0).cast("bigint")).alias("hits"))
+    layers = m["layers"].select(F.lit("layer").alias("part"), F.col("layer").alias("key"), F.col("rules").alias("n"), "score", "hits")
     gaps = m["gaps"].select(F.lit("gap").alias("part"), F.col("expression").alias("key"), "n", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("hits"))
     return layers.unionByName(gaps)
 
@@ -59,10 +58,10 @@ COUNTED = {"data_tid": r"\b[Tt]he\b", "data_testid": r"\bder\b", "pom": "tion",
     """WITH s AS (SELECT source, sum(len(regexp_extract_all(text, '\\b[Tt]he\\b')))::BIGINT AS data_tid, sum(len(regexp_extract_all(text, '\\bder\\b')))::BIGINT AS data_testid, count(*) FILTER (len(regexp_extract_all(text, 'tion')) > 40) AS pom_files,
        count(*) FILTER (len(regexp_extract_all(text, 'keit')) > 20) AS helper_files, sum(len(regexp_extract_all(text, 'heron'))) AS nunit, sum(len(regexp_extract_all(text, '\\bthat\\b'))) AS xunit, min_by(lang, n_chars * 1000000 + doc_id) AS language FROM documents GROUP BY 1),
     f AS (SELECT *, CASE WHEN nunit < 2 THEN 'unknown' WHEN nunit * 8 > xunit THEN 'nunit' ELSE 'xunit' END AS framework, CASE WHEN length(source) = 4 THEN 'nunit' ELSE '' END AS target, CASE WHEN helper_files > 1 THEN 'low' ELSE 'high' END AS confidence FROM s),
-    z AS (SELECT source, id, least(greatest(100 - CASE WHEN p.language <> f.language THEN 45 ELSE 0 END - CASE WHEN f.framework = 'unknown' THEN 8 WHEN p.framework <> f.framework THEN 30 ELSE 0 END - CASE WHEN target <> '' AND target <> target_framework THEN 20 ELSE 0 END
-       + CASE WHEN data_tid > data_testid THEN CASE WHEN tid THEN 8 ELSE -6 END ELSE CASE WHEN tid THEN -10 ELSE 0 END END - CASE WHEN pom_files >= 3 THEN 8 ELSE 0 END - CASE WHEN helper_files >= 3 THEN 8 ELSE 0 END - CASE WHEN confidence = 'low' THEN 8 ELSE 0 END, 0), 100)::BIGINT AS score FROM f, """
+    z AS (SELECT source, id, least(greatest(100 - CASE WHEN f.framework = 'unknown' THEN 8 WHEN p.framework <> f.framework THEN 30 ELSE 0 END - CASE WHEN target <> '' AND target <> target_framework THEN 20 ELSE 0 END
+       + CASE WHEN data_tid > data_testid THEN CASE WHEN tid THEN 8 ELSE -6 END ELSE CASE WHEN tid THEN -10 ELSE 0 END END - CASE WHEN pom_files >= 3 THEN 8 ELSE 0 END - CASE WHEN helper_files >= 3 THEN 8 ELSE 0 END - CASE WHEN confidence = 'low' THEN 8 ELSE 0 END, 0), 100)::BIGINT AS score FROM f JOIN """
     + CATALOGUE_SQL
-    + """) SELECT source, id AS profile_id, score, CASE WHEN score >= 85 THEN 'strong' WHEN score >= 65 THEN 'usable' WHEN score >= 40 THEN 'review-required' ELSE 'poor' END AS level FROM z""",
+    + """ ON p.language = f.language UNION ALL SELECT source, NULL, 55 FROM f) SELECT source, id AS profile_id, score, CASE WHEN score >= 85 THEN 'strong' WHEN score >= 65 THEN 'usable' WHEN score >= 40 THEN 'review-required' ELSE 'poor' END AS level FROM z""",
 )
 def c27(spark, sf):
     docs = signal_counts(table(spark, sf, "documents"), COUNTED)

@@ -87,7 +87,7 @@ HEADER_SQL = r"nullif(regexp_extract(line, 'Task (\w+)\(\)', 1), '')"
 
 @query(
     "w05_enclosing_test",
-    f"""WITH {CODE_SQL} SELECT doc_id, line_no::BIGINT AS line_no, last_value({HEADER_SQL} IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 18 PRECEDING AND CURRENT ROW) AS test FROM code""",
+    f"""WITH {CODE_SQL} SELECT doc_id, line_no::BIGINT AS line_no, last_value({HEADER_SQL} IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS test FROM code""",
 )
 def w05(spark, sf):
     header = F.nullif(F.regexp_extract("line", r"Task (\w+)\(\)", 1), F.lit(""))

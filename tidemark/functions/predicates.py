@@ -83,9 +83,9 @@ NO_HELPERS = ("assert", "by", "wait", "thread")
 
 
 def potential_helpers(c: Column | str) -> Column:
-    """Distinct called names that start with a capital, ignoring case, without the well-known ones; at most 25 count."""
+    """Distinct called names that start with a capital, ignoring case, without the well-known ones."""
     names = F.array_distinct(F.transform(F.regexp_extract_all(as_col(c), F.lit(HELPER_CALL), F.lit(1)), F.lower))
-    return F.least(F.size(F.array_except(names, F.array(*[F.lit(n) for n in NO_HELPERS]))), F.lit(25))
+    return F.size(F.array_except(names, F.array(*[F.lit(n) for n in NO_HELPERS])))
 
 
 def tag_categories(
@@ -197,7 +197,6 @@ SENSITIVE_CONTENT = (
     ("account-key", r"(?i)AccountKey=|SharedAccessKey="),
     ("cloud-key", r"(?i)aws_access_key_id|aws_secret_access_key"),
 )
-MAX_BUNDLE_BYTES = 5 * 1024 * 1024
 
 
 def screen_sensitive(
@@ -205,12 +204,12 @@ def screen_sensitive(
     path_col: str = "path",
     text_col: str = "text",
     patterns: Sequence[tuple[str, str]] = SENSITIVE_CONTENT,
-    max_bytes: int = MAX_BUNDLE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """Adds ``reason``: null for a file that may be shared, else why it is excluded (first reason wins)."""
-    cascade = [("name", F.rlike(file_name(path_col), F.lit(SENSITIVE_NAME))), ("size", F.octet_length(text_col) > max_bytes)]
-    cascade += [(label, F.rlike(F.col(text_col), F.lit(p))) for label, p in patterns]
-    return files.withColumn("reason", first_flag(cascade))
+    """Adds ``reasons``: all why a file is excluded, none for one that may be shared. Size is one where ``max_bytes`` is given."""
+    flags = [("name", F.rlike(file_name(path_col), F.lit(SENSITIVE_NAME))), *([] if max_bytes is None else [("size", F.octet_length(text_col) > max_bytes)])]
+    flags += [(label, F.rlike(F.col(text_col), F.lit(p))) for label, p in patterns]
+    return files.withColumn("reasons", matching_labels(flags))
 
 
 def allowed_path(path: Column | str, roots: Sequence[str]) -> Column:

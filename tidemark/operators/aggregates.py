@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import clamp, half_even, trim_all
@@ -112,10 +112,11 @@ def frequency_confidence(facts: DataFrame, by: Sequence[str], weight: str, high:
 REUSE_LEVELS = ((70, "high-reuse"), (40, "partial-reuse"))
 
 
-def reuse_ratio(rules: DataFrame, hits: DataFrame, by: Sequence[str], rule_id: str) -> DataFrame:
-    """Share of rules with at least one hit, per layer (or overall with no ``by``)."""
-    used = hits.select(rule_id).distinct().withColumn("_used", F.lit(1))
-    agg = rules.join(used, rule_id, "left").groupBy(*by).agg(n().alias("rules"), F.count("_used").alias("matched"))
+def reuse_ratio(rules: DataFrame, hits: DataFrame, by: Sequence[str], rule_id: str, count_col: str | None = None) -> DataFrame:
+    """Share of rules with at least one hit, per layer (or overall with no ``by``), and with ``count_col`` the hits."""
+    counted = F.sum(count_col) if count_col else F.lit(None).cast("bigint")
+    used = hits.groupBy(rule_id).agg(F.lit(1).alias("_used"), counted.alias("_hits"))
+    agg = rules.join(used, rule_id, "left").groupBy(*by).agg(n().alias("rules"), F.count("_used").alias("matched"), *([F.coalesce(F.sum("_hits"), F.lit(0)).alias("hits")] if count_col else []))
     score = F.when(F.col("rules") == 0, 0.0).otherwise(half_even(100.0 * F.col("matched") / F.col("rules"), 1))
     verdict = F.when(F.col("score") >= 70, REUSE_LEVELS[0][1]).when(F.col("score") >= 40, REUSE_LEVELS[1][1]).when(F.col("score") > 0, "low-reuse").otherwise("no-signal")
     return agg.withColumn("score", score).withColumn("verdict", verdict)
@@ -182,11 +183,11 @@ def _first_present(col: str, labels: Sequence[str]) -> Column:
     return F.get(names, F.min(rank_of(col, ranks, len(labels) - 1)))
 
 
-def helper_families(helpers: DataFrame, by: str = "name", top: int = 8) -> DataFrame:
-    """Families of helpers by name, ignoring case: count, mean confidence, worst semantics and risk, top evidence.
+def helper_families(helpers: DataFrame, by: str = "name", top: int | None = None) -> DataFrame:
+    """Families of helpers by name, ignoring case: count, mean confidence, worst semantics and risk, evidence by frequency.
 
-    Evidence counts are aggregated per (family, label) and limited per family before
-    they are gathered, so the array never exceeds ``top`` entries.
+    Evidence labels are a small vocabulary of kinds and are counted per (family, label) before they are gathered;
+    ``top`` keeps the most frequent of a family.
     """
     keyed = helpers.withColumn("_k", F.lower(F.col(by)))
     fam = keyed.groupBy("_k").agg(
@@ -194,7 +195,8 @@ def helper_families(helpers: DataFrame, by: str = "name", top: int = 8) -> DataF
         _first_present("semantics", SEMANTICS_PRIORITY).alias("semantics"), _first_present("risk", RISK_PRIORITY).alias("risk"),
     )
     counts = keyed.select("_k", F.explode("evidence").alias("label")).groupBy("_k", "label").agg(n().alias("c"))
-    lead = top_k_per(counts, ["_k"], top, F.col("c").desc(), "label")
+    lead = counts.withColumn("rank", F.row_number().over(Window.partitionBy("_k").orderBy(F.col("c").desc(), "label")))
+    lead = lead if top is None else lead.where(F.col("rank") <= top)
     evidence = lead.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("rank", "label", "c"))).alias("_e"))
     text = F.transform("_e", lambda e: F.concat(e["label"], F.lit(" ("), e["c"].cast("string"), F.lit(")")))
     return fam.join(evidence, "_k", "left").withColumn("top_evidence", F.coalesce(text, F.array().cast("array<string>"))).drop("_k", "_e")
@@ -325,8 +327,8 @@ CLUSTER_PATTERNS = (
 )
 
 
-def pattern_clusters(lines: DataFrame, k: int, patterns: Sequence[tuple[str, str]] = CLUSTER_PATTERNS, line_col: str = "line") -> DataFrame:
-    """Repeated texts per category: each category's top k, of these the top k overall."""
+def pattern_clusters(lines: DataFrame, k: int | None = None, patterns: Sequence[tuple[str, str]] = CLUSTER_PATTERNS, line_col: str = "line") -> DataFrame:
+    """Repeated texts per category, most frequent first; with ``k`` the first k overall."""
     found = F.array(
         *[
             F.when(F.rlike(F.col(line_col), F.lit(p)), F.struct(F.lit(c).alias("category"), trim_all(F.regexp_extract(line_col, p, 0)).alias("text")))
@@ -335,8 +337,7 @@ def pattern_clusters(lines: DataFrame, k: int, patterns: Sequence[tuple[str, str
     )
     hits = lines.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("h")).select("h.*").where(F.length("text") > 0)
     counts = hits.groupBy("category", "text").agg(n().alias("occurrences"))
-    lead = top_k_per(counts, ["category"], k, F.col("occurrences").desc(), "text").drop("rank")
-    return top_k(lead, k, F.col("occurrences").desc(), "category", "text")
+    return top_k(counts, k, F.col("occurrences").desc(), "category", "text")
 
 
 def root_causes(todos: DataFrame, key_rules: Sequence[tuple[str, str, int]], by: Sequence[str] = (), examples: int = 5, file_col: str = "file", ord_col: str = "line_no") -> DataFrame:

@@ -105,10 +105,10 @@ def scan_issue_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
     )
 
 
-def with_sample(df: DataFrame, n_chars: int, text_col: str = "text", max_chars: int | None = None) -> DataFrame:
-    """The bounded head of each text that detection looks at; longer files than ``max_chars`` drop out first."""
+def with_sample(df: DataFrame, n_chars: int | None = None, text_col: str = "text", max_chars: int | None = None) -> DataFrame:
+    """What detection looks at: the whole text, or its head of ``n_chars``; with ``max_chars`` longer files drop out first."""
     kept = df if max_chars is None else df.where(F.length(text_col) <= max_chars)
-    return kept.withColumn("sample", F.substring(text_col, 1, n_chars))
+    return kept.withColumn("sample", F.col(text_col) if n_chars is None else F.substring(text_col, 1, n_chars))
 
 
 def snippet_text(lines: Column) -> Column:

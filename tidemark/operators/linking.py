@@ -1,4 +1,4 @@
-"""Linking by shared tokens, and scoring every entry of a bounded catalogue for every project."""
+"""Linking by shared tokens, and scoring the entries of a catalogue for projects."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LONG_TOKEN = r"[A-Za-z]{9,}"
+LONG_TOKEN = r"[\p{L}\p{N}_]{4,}"
 
 
 def tokens_of(df: DataFrame, id_col: str, text_col: str, pattern: str = LONG_TOKEN) -> DataFrame:
@@ -25,31 +25,20 @@ def link_by_tokens(obs: DataFrame, obs_id: str, obs_text: str, files: DataFrame,
     return tokens_of(obs, obs_id, obs_text, pattern).join(first, "token").groupBy(obs_id).agg(F.min(file_id).alias(file_id))
 
 
-MAX_CATALOGUE = 10_000
-
-
 def score_catalogue(
-    projects: DataFrame, catalogue: DataFrame, penalties: Sequence[tuple[int, Callable[[Column], Column]]], start: int = 100, most: int = MAX_CATALOGUE
+    projects: DataFrame, catalogue: DataFrame, on: tuple[Column, Column], mismatch: int, penalties: Sequence[tuple[int, Callable[[Column], Column]]], start: int = 100
 ) -> DataFrame:
-    """Score of each catalogue entry for each project: ``start`` less the penalties whose condition holds.
+    """Catalogue entries of a project's own key, scored, and one row for all others; an equi join of any sizes.
 
-    The catalogue is configuration; its size is checked before it becomes one literal
-    array, which every project row then explodes in place. Projects are never shuffled.
+    ``on`` is the key of a project and of an entry, ``mismatch`` what an entry of another key loses. An entry of
+    the same key starts at ``start`` and loses the penalties whose condition holds. All entries of other keys
+    are one row without a ``profile`` that bounds them: ``start`` less ``mismatch``.
     """
-    rows = catalogue.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a catalogue of more than {most} entries is not configuration; join it on a key instead")
-    entries = F.from_json(
-        F.lit("[" + ",".join(_json(r) for r in rows) + "]"), f"array<{catalogue.schema.simpleString()}>"
-    )
-    scored = projects.withColumn("profile", F.explode(entries))
+    entries = catalogue.select(on[1].alias("_key"), F.struct(*[F.col(c) for c in catalogue.columns]).alias("profile"))
+    scored = projects.withColumn("_key", on[0]).join(entries, "_key").drop("_key")
     score = F.lit(start)
     for cost, holds in penalties:
         score = score - F.when(holds(F.col("profile")), cost).otherwise(0)
-    return scored.withColumn("score", F.least(F.greatest(score, F.lit(0)), F.lit(100)))
-
-
-def _json(row) -> str:
-    import json
-
-    return json.dumps(row.asDict(recursive=True), default=str)
+    own = scored.withColumn("score", F.least(F.greatest(score, F.lit(0)), F.lit(100)))
+    others = projects.withColumn("profile", F.lit(None).cast(entries.schema["profile"].dataType)).withColumn("score", F.lit(max(0, start - mismatch)))
+    return own.unionByName(others)

@@ -118,18 +118,23 @@ def literal_hits(
 
 
 def identifier_hits(texts: DataFrame, id_col: str, text_col: str, rules: DataFrame, rule_id: str, key_col: str) -> DataFrame:
-    """Whole-identifier occurrences: tokens of the text joined on the identifier itself."""
+    """Occurrences of keys that stand alone, between characters of no identifier.
+
+    All tokens of such a key are whole tokens of the text. A key of one token is counted in the join of tokens
+    itself; one of several (``Foo.Bar``, ``List<Page>``) is anchored on its longest and verified on the text.
+    """
     text = as_col(text_col)
+    keyed = rules.select(F.col(rule_id), as_col(key_col).alias("_key")).withColumn("_parts", _tokens(F.col("_key"))).where(F.size("_parts") > 0)
+    longest = F.array_max(F.transform("_parts", lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))["t"]
+    anchored = keyed.select(rule_id, "_key", longest.alias("_token"))
     words = texts.select(F.col(id_col), F.explode(_tokens(text)).alias("_token"))
-    counted = words.join(rules.select(F.col(rule_id), as_col(key_col).alias("_token")), "_token").groupBy(rule_id, id_col, "_token").agg(
-        F.count(F.lit(1)).alias("hits")
-    )
-    where = F.regexp_instr(F.col("_text"), F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), F.col("_token"), F.lit(r"(?![\p{L}\p{N}_])")))
-    before = F.substring(F.col("_text"), F.lit(1), where - 1)
+    counted = words.join(anchored, "_token").groupBy(rule_id, id_col, "_key", "_token").agg(F.count(F.lit(1)).alias("_n"))
+    quoted = F.concat(F.lit(r"\Q"), F.replace(F.col("_key"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    alone = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), quoted, F.lit(r"(?![\p{L}\p{N}_])"))
+    found = counted.join(texts.select(F.col(id_col), text.alias("_text")), id_col).withColumn("hits", F.when(F.col("_key") == F.col("_token"), F.col("_n")).otherwise(F.regexp_count(F.col("_text"), alone)))
+    before = F.substring(F.col("_text"), F.lit(1), F.regexp_instr(F.col("_text"), alone) - 1)
     line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    return counted.join(texts.select(F.col(id_col), text.alias("_text")), id_col).select(
-        rule_id, id_col, "hits", line.cast("bigint").alias("first_line")
-    )
+    return found.where("hits > 0").select(rule_id, id_col, F.col("hits").cast("bigint").alias("hits"), line.cast("bigint").alias("first_line"))
 
 
 def placeholder_hits(texts: DataFrame, id_col: str, text_col: str, rules: DataFrame, rule_id: str, key_col: str) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import as_col
 
 
-def top_k(df: DataFrame, k: int, *order) -> DataFrame:
-    """Global top-k with a full tie-break; each task keeps k rows, no full sort."""
-    return df.orderBy(*order).limit(k)
+def top_k(df: DataFrame, k: int | None, *order) -> DataFrame:
+    """Global top-k with a full tie-break; each task keeps k rows, no full sort. None: all rows in order."""
+    return df.orderBy(*order) if k is None else df.orderBy(*order).limit(k)
 
 
 def top_k_per(df: DataFrame, by: Sequence[str], k: int, *order) -> DataFrame:

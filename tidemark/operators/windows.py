@@ -81,8 +81,8 @@ def member_header(line: Column | str) -> Column:
     return F.startswith(t, F.lit("public ")) | F.startswith(t, F.lit("private ")) | F.startswith(t, F.lit("protected "))
 
 
-def enclosing(lines: DataFrame, keys: Sequence[str], header: Column, max_back: int | None = 18, ord_col: str = "line_no", out: str = "test") -> DataFrame:
-    """Nearest header at or before each line, not farther back than ``max_back`` lines. Per file."""
+def enclosing(lines: DataFrame, keys: Sequence[str], header: Column, max_back: int | None = None, ord_col: str = "line_no", out: str = "test") -> DataFrame:
+    """Nearest header at or before each line, with ``max_back`` not farther back than so many lines. Per file."""
     w = Window.partitionBy(*keys).orderBy(ord_col)
     frame = w.rowsBetween(-max_back, 0) if max_back is not None else w.rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("_h", header).withColumn(out, F.last("_h", ignorenulls=True).over(frame)).drop("_h")

@@ -49,13 +49,13 @@ SCORE_MARKS = (r"FindElement|FindElements|By\.", r"Click\s*\(|SendKeys\s*\(|Clea
 
 
 def pilot_candidates(files: DataFrame, path_col: str, text_col: str = "text", test_marks: str = TEST_MARKS, score_marks: Sequence[str] = SCORE_MARKS, categories=CATEGORY_PATTERNS, simple=None) -> DataFrame:
-    """Estimated tests (1 to 25), categories and score per file."""
+    """Estimated tests (at least 1), categories and score per file."""
     count = lambda p: F.regexp_count(F.col(text_col), F.lit(p))
     tagged = tag_categories(files.withColumn("_p", F.col(path_col)), categories, text_col=text_col, path_col="_p", **({"simple": simple} if simple else {})).drop("_p")
     score = F.size("categories") * 10
     for p in score_marks:
         score = score + count(p)
-    return tagged.withColumns({"tests": F.greatest(F.lit(1), F.least(count(test_marks), F.lit(25))).cast("bigint"), "score": score.cast("bigint"), "helpers": potential_helpers(text_col)})
+    return tagged.withColumns({"tests": F.greatest(F.lit(1), count(test_marks)).cast("bigint"), "score": score.cast("bigint"), "helpers": potential_helpers(text_col)})
 
 
 def pilot_select(candidates: DataFrame, by: Sequence[str], categories: Sequence[str], budget: int) -> DataFrame:
@@ -84,8 +84,8 @@ def migration_board(tests: DataFrame, errors: DataFrame, keys: Sequence[str]) ->
     )
 
 
-def smoke_plan(lines_with_test: DataFrame, errors: DataFrame, keys: Sequence[str], k: int = 10) -> DataFrame:
-    """Tests to run first: no compile errors in their file, highest level, most assertions. Top k overall."""
+def smoke_plan(lines_with_test: DataFrame, errors: DataFrame, keys: Sequence[str], k: int | None = None) -> DataFrame:
+    """Tests to run first: no compile errors in their file, highest level, most assertions; with ``k`` the first k."""
     stats = method_stats(lines_with_test, keys)
     clean = stats.join(errors.select(*keys).distinct(), list(keys), "left_anti").where("level >= 3")
     return top_k(clean, k, F.col("level").desc(), F.col("assertions").desc(), F.col("active_ratio").desc(), "test", *keys)

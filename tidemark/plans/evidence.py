@@ -85,7 +85,6 @@ MAPPING_KINDS = ("selector-evidence", "migration-report", "generated-output", "c
 UNPROVEN = ("unsafe", "inferred", "cannot-prove", "raw", "TODO")
 SOURCE_PATTERN = r"\"[Ss]ourceExpression\"\s*:\s*\"([^\"]*)\""
 TARGET_PATTERN = r"\"[Tt]argetExpression\"\s*:\s*\"([^\"]*)\""
-TOP_MAPPINGS, TOP_HELPERS, TOP_POMS = 20, 12, 6
 NO_TARGET = "<review target locator>"
 
 
@@ -116,11 +115,11 @@ def learned_mappings(
     return first.select("_m.*")
 
 
-def reusable_candidates(mappings: DataFrame, helpers: DataFrame, poms: DataFrame) -> DataFrame:
-    """Best reusable mappings, helpers and page patterns, ranked in that order; report sizes are the feature."""
-    m = top_k(mappings.where("safety <> 'manual-only'"), TOP_MAPPINGS, F.col("score").desc(), "tier", "ord", "pos").select(F.lit(1).alias("part"), F.col("source").alias("key"), "target", "score")
-    h = top_k(helpers.where("score >= 70"), TOP_HELPERS, F.col("score").desc(), "method").select(F.lit(2).alias("part"), F.col("method").alias("key"), F.col("classification").alias("target"), "score")
-    p = top_k(poms.where("classification = 'test-id-convention'"), TOP_POMS, F.col("n").desc(), "kind", "value").select(F.lit(3).alias("part"), F.col("kind").alias("key"), F.col("value").alias("target"), "score")
+def reusable_candidates(mappings: DataFrame, helpers: DataFrame, poms: DataFrame, most: int | None = None) -> DataFrame:
+    """Reusable mappings, helpers and page patterns, each ranked; with ``most`` so many of each."""
+    m = top_k(mappings.where("safety <> 'manual-only'"), most, F.col("score").desc(), "tier", "ord", "pos").select(F.lit(1).alias("part"), F.col("source").alias("key"), "target", "score")
+    h = top_k(helpers.where("score >= 70"), most, F.col("score").desc(), "method").select(F.lit(2).alias("part"), F.col("method").alias("key"), F.col("classification").alias("target"), "score")
+    p = top_k(poms.where("classification = 'test-id-convention'"), most, F.col("n").desc(), "kind", "value").select(F.lit(3).alias("part"), F.col("kind").alias("key"), F.col("value").alias("target"), "score")
     return m.unionByName(h).unionByName(p)
 
 
@@ -151,11 +150,8 @@ def learn_pack(evidence: DataFrame, config: DataFrame, helpers: DataFrame, pom_p
 
 # --- configuration gaps ----------------------------------------------------------------------------------
 
-PER_KIND = 8
-
-
-def author_config(selector_gaps: DataFrame, helper_gaps: DataFrame, mapped: DataFrame, has_helper_inventory: Column, per_kind: int = PER_KIND) -> DataFrame:
-    """Ranked configuration proposals for what is not mapped yet: the top of each kind, most frequent first.
+def author_config(selector_gaps: DataFrame, helper_gaps: DataFrame, mapped: DataFrame, has_helper_inventory: Column, per_kind: int | None = None) -> DataFrame:
+    """Ranked configuration proposals for what is not mapped yet: most frequent first; with ``per_kind`` so many of each kind.
 
     selector_gaps(key), helper_gaps(key), mapped(key). The rank is global over the few kept rows.
     """

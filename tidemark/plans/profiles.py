@@ -13,12 +13,10 @@ from tidemark.operators.facts import extract_expressions
 from tidemark.operators.joins import coverage
 from tidemark.operators.linking import score_catalogue
 from tidemark.operators.literals import identifier_hits, literal_hits, placeholder_hits
-from tidemark.operators.ranking import top_k, top_k_per
-from tidemark.session import cut_lineage
+from tidemark.operators.ranking import top_k_per
 
-# Sections whose keys are whole identifiers, and report sizes.
+# Sections whose keys are whole identifiers.
 IDENTIFIER_SECTIONS = ("Identifier", "KnownTypes", "SourceOnly")
-TOP_RULES, TOP_SIGNALS, TOP_GAPS = 30, 75, 20
 HOLES = r"\{.*\}"
 
 
@@ -39,24 +37,17 @@ def rule_hits(rules: DataFrame, files: DataFrame, file_id: str, text_col: str) -
 
 
 def profile_match(rules: DataFrame, files: DataFrame, lines: DataFrame, file_id: str = "path", text_col: str = "text") -> dict[str, DataFrame]:
-    """Reuse per layer, used rules, project expressions with their coverage, and the top gaps.
+    """Reuse per layer with its hits, used rules, project expressions with their coverage, and the gaps; all rows, the caller cuts.
 
-    rules(rule_id, layer, section, key); lines are the masked lines of the same files.
+    rules(rule_id, layer, section, key); lines are the masked lines of the same files. The hits are reduced to
+    one row a rule before any report reads them.
     """
-    # Four reports read the hits: they are written once to the checkpoint folder instead of
-    # searching all texts for each.
-    hits = cut_lineage(rule_hits(rules, files, file_id, text_col))
+    hits = rule_hits(rules, files, file_id, text_col)
     used = hits.groupBy("rule_id").agg(F.sum("hits").alias("hits"), F.min(F.struct(F.col(file_id).alias("f"), F.col("first_line").alias("l"))).alias("_e"))
     matched = rules.join(used, "rule_id").select("layer", "section", "key", "hits", F.col("_e.f").alias("example_file"), F.col("_e.l").alias("example_line"))
     signals = count_with_example(extract_expressions(lines), ["expression"], [file_id, "line_no"])
     covered = coverage(signals, rules.select("section", "key"))
-    ranked = top_k(covered, TOP_SIGNALS, F.col("n").desc(), "expression")
-    return {
-        "layers": reuse_ratio(rules, hits, ["layer"], "rule_id"),
-        "matched": top_k_per(matched, ["layer"], TOP_RULES, F.col("hits").desc(), "key", "section"),
-        "signals": ranked,
-        "gaps": top_k(ranked.where("covered_by = ''"), TOP_GAPS, F.col("n").desc(), "expression"),
-    }
+    return {"layers": reuse_ratio(rules, used, ["layer"], "rule_id", "hits"), "matched": matched, "signals": covered, "gaps": covered.where("covered_by = ''")}
 
 
 # Score terms of a profile for a project, and levels.
@@ -67,11 +58,11 @@ UNSURE_CONFIDENCE = ("none", "low", "ambiguous")
 
 
 def recommend_profiles(signals: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Every profile of the catalogue scored for every project, with level and gate codes.
+    """Profiles of a project's language scored, with level and gate codes, and one row for the profiles of all other languages.
 
     signals(project..., language, framework, target, confidence, data_tid, data_testid,
     pom_files, helper_files); catalogue(id, language, framework, target_framework, tags).
-    The catalogue is configuration of checked size, folded into the project rows.
+    A profile of another language loses so much that no bonus makes it usable; the row without a profile says so.
     """
     c = F.col
     tagged = lambda p: F.array_contains(p["tags"], "data-tid")
@@ -79,7 +70,6 @@ def recommend_profiles(signals: DataFrame, catalogue: DataFrame) -> DataFrame:
     asked = F.length(F.trim(F.coalesce("target", F.lit("")))) > 0
     prefers_tid = c("data_tid") > c("data_testid")
     terms = [
-        (LANGUAGE_MISMATCH, "PROFILE_SOURCE_LANGUAGE_MISMATCH", lambda p: F.lower(p["language"]) != F.lower("language")),
         (FRAMEWORK_UNKNOWN, "PROFILE_FRAMEWORK_UNKNOWN", lambda p: unknown),
         (FRAMEWORK_MISMATCH, "PROFILE_SOURCE_FRAMEWORK_MISMATCH", lambda p: ~unknown & (F.lower(p["framework"]) != F.lower("framework"))),
         (TARGET_MISMATCH, "PROFILE_TARGET_FRAMEWORK_MISMATCH", lambda p: asked & (F.lower(p["target_framework"]) != F.lower("target"))),
@@ -90,9 +80,9 @@ def recommend_profiles(signals: DataFrame, catalogue: DataFrame) -> DataFrame:
         (HEAVY, "PROFILE_HELPER_HEAVY_PROJECT", lambda p: c("helper_files") >= 3),
         (UNSURE, None, lambda p: c("confidence").isin(*UNSURE_CONFIDENCE)),
     ]
-    scored = score_catalogue(signals, catalogue, [(cost, cond) for cost, _, cond in terms])
+    scored = score_catalogue(signals, catalogue, (F.lower("language"), F.lower("language")), LANGUAGE_MISMATCH, [(cost, cond) for cost, _, cond in terms])
     p: Column = F.col("profile")
-    gates = F.filter(F.array(*[F.when(cond(p), F.lit(code)) for _, code, cond in terms if code]), lambda x: x.isNotNull())
+    gates = F.filter(F.array(F.when(p.isNull(), F.lit("PROFILE_SOURCE_LANGUAGE_MISMATCH")), *[F.when(p.isNotNull() & cond(p), F.lit(code)) for _, code, cond in terms if code]), lambda x: x.isNotNull())
     level = F.when(F.col("score") >= LEVELS[0][0], LEVELS[0][1])
     for least, name in LEVELS[1:]:
         level = level.when(F.col("score") >= least, name)

@@ -31,25 +31,31 @@ def build_session(app: str = "tidemark", master: str | None = None, shuffle_part
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage and stream state.
 
-    A cluster names it in ``spark.checkpoint.dir``; a folder of our own is made
-    only where that is unset, as in tests.
+    A cluster names it in ``spark.checkpoint.dir``; a folder of our own is made only in local mode where that is
+    unset, as in tests: on a cluster a machine-local folder would lose what executors write.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="tidemark-ckpt-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
+#: A scan of so many splits is never spread; with fewer it holds at most so many times the split size.
+SPREAD_SPLITS = 64
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over all cores when it has fewer splits than there are.
+    """Spread the scan of a small table over the cores, up to ``SPREAD_SPLITS``.
 
-    Text work costs far more CPU per byte than reading; one file with one row group
-    would keep a single core busy. A scan that already fills the cluster is left alone,
-    so large inputs are never shuffled for this.
+    Text work costs far more CPU per byte than reading; one file with one row group would keep a single core
+    busy. The bound is one of size: a scan of ``SPREAD_SPLITS`` splits or more (8 GB at the default split size)
+    is left alone whatever the number of cores.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
+    want = min(SPREAD_SPLITS, df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
