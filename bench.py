@@ -18,7 +18,8 @@ HEADLINE = (
     "c01_quality_dashboard", "c02_propose_mappings", "c03_profile_match", "c04_selector_evidence", "c05_classify_failures", "c06_snapshot_diff", "c08_quality_gate", "c09_scenario_status",
     "c11_triage_clusters", "c12_release_gate", "c13_metamorphic_check", "c14_event_oracle", "c15_residual_inventory", "c16_remediation_decision", "c17_cycle_guard", "c19_determinism_check",
     "c20_preservation_check", "c23_validate_contracts", "c24_merge_layers", "c25_merge_deltas", "c28_framework_portfolio", "c30_target_inventory", "c33_pr_pack", "c36_research_clusters",
-    "p12_extract_actions_java", "j17_paths_in_evidence", "w07_no_progress_streak", "w09_verify_chain",
+    "p12_extract_actions_java", "j17_paths_in_evidence", "w07_no_progress_streak", "w09_verify_chain", "j08_rule_hits", "j18_link_failures", "p09_mask_code", "p13_extract_actions_python", "x03_normalize_source",
+    "a25_method_stats", "st2_event_oracle", "st4_remediation_history",
 )
 
 
@@ -28,7 +29,7 @@ def main() -> None:
 
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session("bench", f"local[{cpus}]", cpus)
     spark.sparkContext.setLogLevel("ERROR")
     queries, _ = load()

@@ -88,6 +88,33 @@ def c24b(spark, sf):
     return C.merge_scalars(s, ["o_custkey"], "layer", ["name", "flag"])
 
 
+@query(
+    "c24_merge_lists",
+    """SELECT o_custkey, trim(v) AS value, min(o_orderkey) AS position FROM (SELECT o_custkey, o_orderkey, ' ' || o_orderpriority AS v FROM orders UNION ALL SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '  ' ELSE o_orderstatus || ' ' END FROM orders)
+    WHERE trim(v) <> '' GROUP BY 1, 2""",
+)
+def c24c(spark, sf):
+    k = F.col("o_orderkey")
+    listed = F.array(F.concat(F.lit(" "), F.col("o_orderpriority")), F.when(k % 3 == 0, F.lit("  ")).otherwise(F.concat("o_orderstatus", F.lit(" "))))
+    values = table(spark, sf, "orders").select("o_custkey", k, F.explode(listed).alias("value"))
+    return C.merge_lists(values, ["o_custkey"], "value", "o_orderkey")
+
+
+@query(
+    "c25_delta_safety",
+    """WITH d AS (SELECT 'delta-' || o_orderkey AS delta_file, o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Dangerous' WHEN 2 THEN 'deprecated' WHEN 3 THEN ' ' ELSE 'reviewed' END AS trust FROM orders)
+    SELECT delta_file, 'dangerous-delta-safety:assertionSuppressionAllowed' AS finding FROM d WHERE k % 7 = 0 UNION ALL SELECT delta_file, 'dangerous-delta-safety:overSuppressionAllowed' FROM d WHERE k % 2 = 0
+    UNION ALL SELECT delta_file, 'dangerous-delta-safety:autoPromotionAllowed' FROM d WHERE k % 11 = 0 UNION ALL SELECT delta_file, 'trust-missing' FROM d WHERE trust IS NULL OR trust = ' '
+    UNION ALL SELECT delta_file, 'unsafe-delta-trust' FROM d WHERE lower(trust) IN ('dangerous', 'deprecated')""",
+)
+def c25c(spark, sf):
+    k = F.col("o_orderkey")
+    trust = F.when(k % 5 == 1, "Dangerous").when(k % 5 == 2, "deprecated").when(k % 5 == 3, " ").when(k % 5 == 4, "reviewed")
+    switches = F.create_map(F.lit("assertionSuppressionAllowed"), k % 7 == 0, F.lit("overSuppressionAllowed"), k % 2 == 0, F.lit("other"), F.lit(True))
+    switches = F.when(k % 11 == 0, F.map_concat(switches, F.create_map(F.lit("autoPromotionAllowed"), F.lit(True)))).otherwise(switches)
+    return C.delta_safety(table(spark, sf, "orders").select(F.concat(F.lit("delta-"), k.cast("string")).alias("delta_file"), trust.alias("trust"), switches.alias("safety")))
+
+
 @query(
     "c25_merge_deltas",
     """WITH e AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'SuppressedMethodPatterns' ELSE 'Methods' END AS section, o_custkey AS k, CASE WHEN o_orderkey % 6 = 0 THEN 'Assert.' || o_orderstatus ELSE o_orderstatus END AS canon, o_orderkey % 20 = 1 AS base FROM orders),

@@ -370,12 +370,14 @@ def j16(spark, sf):
 
 @query(
     "j17_paths_in_evidence",
-    "SELECT item_id, doc_id FROM benchmark b, documents d WHERE contains(lower(d.text), lower(b.text))",
+    "SELECT item_id, doc_id FROM benchmark b, documents d WHERE contains(lower(replace(d.text, ' ', '/')), lower(replace(b.text, ' ', '/')))",
 )
 def j17(spark, sf):
-    known = table(spark, sf, "benchmark").withColumnRenamed("text", "literal")
-    out = literals.literal_hits(table(spark, sf, "documents"), "doc_id", "text", known, "item_id", "literal", ignore_case=True)
-    return out.select("item_id", "doc_id")
+    """Passages as paths: slashes in the known paths, both slashes in the texts."""
+    known = table(spark, sf, "benchmark").select("item_id", F.translate("text", " ", "/").alias("path"))
+    spelled = F.when(F.col("doc_id") % 2 == 0, F.translate("text", " ", "\\")).otherwise(F.translate("text", " ", "/"))
+    docs = table(spark, sf, "documents").select("doc_id", spelled.alias("text"))
+    return literals.paths_in_texts(docs, "doc_id", "text", known, "item_id", "path").select("item_id", "doc_id")
 
 
 @query(

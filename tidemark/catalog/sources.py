@@ -68,6 +68,20 @@ def ledger_lines(spark, sf):
     return table(spark, sf, "events").select(F.col("event_type").alias("file"), F.col("event_id").alias("line_no"), broken.alias("line"))
 
 
+@query(
+    "s04_ledger_files",
+    """SELECT event_type AS source, count(*) AS lines, count(*) FILTER (event_id % 9 = 0) AS malformed, count(*) * (count(*) + 1) // 2 AS line_sum, coalesce(sum((props::JSON->>'k')::BIGINT) FILTER (event_id % 9 <> 0), 0)::BIGINT AS k_sum FROM events GROUP BY 1""",
+)
+def s04_files(spark, sf):
+    """The events as ledgers on disk, one folder a type and one file a folder, read back by splits."""
+    folder = fresh_dir(spark, "ledgers")
+    lines = ledger_lines(spark, sf).select(F.col("file").alias("source"), "line")
+    lines.repartition(8, "source").write.partitionBy("source").option("compression", "none").text(folder)
+    entries = A.read_ledger(spark, folder, PROPS, "*.txt")
+    return entries.groupBy(F.regexp_extract("file", "source=([^/]+)/", 1).alias("source")).agg(
+        F.count(F.lit(1)).alias("lines"), F.count("_corrupt").alias("malformed"), F.sum("line_no").alias("line_sum"), F.coalesce(F.sum("k"), F.lit(0)).cast("bigint").alias("k_sum"))
+
+
 @query(
     "s04_read_ledger",
     """SELECT event_type AS file, event_id AS line_no, CASE WHEN event_id % 9 <> 0 THEN (props::JSON->>'k')::BIGINT END AS k,

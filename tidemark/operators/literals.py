@@ -117,6 +117,12 @@ def literal_hits(
     )
 
 
+def paths_in_texts(texts: DataFrame, id_col: str, text_col: str, paths: DataFrame, path_id: str, path_col: str) -> DataFrame:
+    """Hits of paths in texts, ignoring case and whichever slash either side writes."""
+    slashed = lambda c: F.translate(as_col(c), "\\", "/")
+    return literal_hits(texts.select(id_col, slashed(text_col).alias("_t")), id_col, "_t", paths.select(path_id, slashed(path_col).alias("_p")), path_id, "_p", ignore_case=True)
+
+
 def identifier_hits(texts: DataFrame, id_col: str, text_col: str, rules: DataFrame, rule_id: str, key_col: str) -> DataFrame:
     """Occurrences of keys that stand alone, between characters of no identifier.
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.text import is_blank, split_lines
+from tidemark.functions.text import is_blank
 
 CORRUPT = "_corrupt"
 
@@ -52,10 +52,18 @@ def parse_ledger(lines: DataFrame, line_col: str, schema: T.StructType) -> DataF
 
 
 def read_ledger(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.jsonl") -> DataFrame:
-    """Append-only JSONL files with file and 1-based line number; malformed lines are kept."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
-    lines = raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode(split_lines("value")).alias("_p", "line"))
-    return parse_ledger(lines.select("file", (F.col("_p") + 1).alias("line_no"), "line"), "line", schema)
+    """Append-only JSONL files with file and 1-based line number; malformed lines are kept.
+
+    Files are read by splits, however long they are. Lines are numbered within a split; one row a split carries
+    the number of lines before it.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    lines = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    inside = lines.withColumn("_n", F.row_number().over(Window.partitionBy("file", "_block").orderBy("_at")))
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = lines.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_lines")).select("file", "_block", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"))
+    numbered = inside.join(before, ["file", "_block"]).select("file", (F.col("_n") + F.col("_before")).alias("line_no"), "line")
+    return parse_ledger(numbered, "line", schema)
 
 
 def repair_ledger(entries: DataFrame, by: Sequence[str] = ("file",)) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -87,9 +95,12 @@ def read_trx(df: DataFrame, xml_col: str, expected_col: str) -> DataFrame:
     )
 
 
-def write_report(df: DataFrame, path: str, run_col: str | None = None, fmt: str = "parquet", mode: str = "append") -> None:
-    """Report rows partitioned by run; rows of a run spread over files by size, not forced into one."""
-    writer = df.write.mode(mode).option("maxRecordsPerFile", 5_000_000)
+def write_report(df: DataFrame, path: str, run_col: str | None = None, fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """Report rows partitioned by run; rows of a run spread over files by size, not forced into one.
+
+    Written again, a run replaces itself and leaves the other runs alone; a report without runs is replaced.
+    """
+    writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 5_000_000)
     if run_col:
         writer = writer.partitionBy(run_col)
     writer.format(fmt).save(path)
