@@ -202,14 +202,17 @@ def helper_families(helpers: DataFrame, by: str = "name", top: int | None = None
     return fam.join(evidence, "_k", "left").withColumn("top_evidence", F.coalesce(text, F.array().cast("array<string>"))).drop("_k", "_e")
 
 
-def base_class_usage(types: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Base classes by use, with the distinct attributes of their classes and a confidence.
+def gathered(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
+    """Distinct elements of an array column per group, sorted; elements are reduced to distinct rows before they meet."""
+    return df.select(*by, F.explode(col).alias("_v")).distinct().groupBy(*by).agg(F.array_sort(F.collect_list("_v")).alias(col))
 
-    Attribute lists are few per base; equal lists collapse before they travel.
-    """
-    used = types.where(F.col("base_class").isNotNull()).groupBy(*by, "base_class").agg(
-        n().alias("usage"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("attributes")))).alias("attributes"), F.min("namespace").alias("namespace")
-    )
+
+def base_class_usage(types: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Base classes by use, with the distinct attributes of their classes and a confidence."""
+    based = types.where(F.col("base_class").isNotNull())
+    counted = based.groupBy(*by, "base_class").agg(n().alias("usage"), F.min("namespace").alias("namespace"))
+    used = counted.join(gathered(based, [*by, "base_class"], "attributes"), [*by, "base_class"], "left").withColumn("attributes", F.coalesce("attributes", F.array().cast("array<string>")))
+    used = used.select(*by, "base_class", "usage", "attributes", "namespace")
     return used.withColumn("confidence", F.when(F.col("usage") >= 3, "High").otherwise("Medium"))
 
 
@@ -250,19 +253,19 @@ def cluster_key(families: Mapping[str, Sequence[str]] | None = None) -> Column:
 def issue_clusters(findings: DataFrame, families: Mapping[str, Sequence[str]] | None = None, max_components: int = MAX_COMPONENTS) -> tuple[DataFrame, DataFrame]:
     """(clusters, members). Findings share a cluster when stage, codes, semantic kinds and feature families agree.
 
-    Unions are over small vocabularies (features, components); equal arrays collapse on
-    the map side. Scenario ids are rows of ``members``, never one list per cluster. The
+    Unions are over small vocabularies (features, components), reduced to distinct rows before they meet. Scenario ids are rows of ``members``, never one list per cluster. The
     component budget is judged on the full union. A cluster's id is the short hash of
     its key, the same in every run.
     """
     keyed = findings.withColumn("fingerprint", cluster_key(families))
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
     agg = keyed.groupBy("fingerprint").agg(
-        F.min("stage").alias("stage"), n().alias("findings"), union("features").alias("features"), union("components").alias("components"),
+        F.min("stage").alias("stage"), n().alias("findings"),
         F.bool_or(F.col("actual_status").isin(*SEVERE)).alias("_high"), F.bool_or(F.col("actual_status") == MEDIUM_STATUS).alias("_medium"),
         F.bool_and(F.col("disposition") == "AutoFixEligible").alias("_auto"),
         F.bool_or(F.col("regression_level") == "ProjectFixture").alias("_project"), F.bool_and(F.col("regression_level") == "SavedSeed").alias("_seed"),
     )
+    for c in ("features", "components"):
+        agg = agg.join(gathered(keyed, ["fingerprint"], c), "fingerprint", "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
     cid = F.concat(F.lit("cluster-"), F.substring(F.sha2("fingerprint", 256), 1, 8))
     clusters = agg.select(
         cid.alias("cluster_id"), "fingerprint", "stage", "findings", "features", "components",
