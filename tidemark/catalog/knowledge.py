@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.catalog.predicates import ACTIVE_SQL, TODO_SQL
-from tidemark.catalog.ranking import PILOT_SIGNALS, PILOT_SQL, SCORE_SQL
+from tidemark.catalog.ranking import PILOT_SIGNALS, PILOT_SQL, SCORE_SQL, slice_sql, tags_sql
 from tidemark.catalog.registry import CODE_SQL, LINES_SQL, code_lines, doc_lines, query, table
 from tidemark.functions import predicates as P
 from tidemark.operators import aggregates as A, lines as L, rules as R
@@ -127,9 +127,13 @@ def c37b(spark, sf):
     return out.select("doc_id", "tests", "score")
 
 
-@query("c37_pilot_select")
+@query(
+    "c37_pilot_select",
+    r"WITH cand AS (SELECT source, doc_id::VARCHAR AS file, greatest(1, len(regexp_extract_all(text, '\b[Tt]he\b')))::BIGINT AS tests, (10 * len(categories) + len(regexp_extract_all(text, 'tion')) + len(regexp_extract_all(text, ' der ')))::BIGINT AS score, categories FROM (SELECT *, "
+    + tags_sql(" on ", " was ") + " AS categories FROM documents)),\n    " + slice_sql(P.CATEGORY_ORDER, 15),
+)
 def c37c(spark, sf):
-    """Covering slice per project over the candidates; checked against the plain loop in the tests."""
+    """Covering slice per project over the candidates."""
     cand = D.pilot_candidates(table(spark, sf, "documents").withColumn("file", F.col("doc_id").cast("string")), "source", "text", r"\b[Tt]he\b", ("tion", " der "), PILOT_CATS, ("simple-smoke", " on ", 3))
     return D.pilot_select(cand.select("source", "file", "tests", "score", "categories"), ["source"], P.CATEGORY_ORDER, 15)
 

@@ -73,7 +73,7 @@ def t05(spark, sf):
     return T.impact_score(occ, "occurrences", "files", F.col("l_returnflag") == "R")
 
 
-PILOT_SIGNALS = {"tests": r"\b[Tt]he\b", "locators": r"\bon\b", "xpaths": r"[0-9]{3}", "assertions": r"\bis\b", "waits": r"\bwas\b", "helpers": r"\bby\b", "poms": r"\bfor\b", "dynamics": r"[A-Z]\w+tion\b"}
+PILOT_SIGNALS = {"tests": r"[Tt]he ", "locators": " on ", "xpaths": r"[0-9]{3}", "assertions": " is ", "waits": " was ", "helpers": " by ", "poms": " for ", "dynamics": r"[A-Z][a-z]+tion"}
 PILOT_SQL = (
     "sig AS (SELECT doc_id, source, text, " + ", ".join(f"len(regexp_extract_all(text, '{p}'))::BIGINT AS {n}" for n, p in PILOT_SIGNALS.items())
     + ", CASE WHEN length(text) = 0 THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS line_count FROM documents)"
@@ -92,9 +92,35 @@ def t06(spark, sf):
     return T.rank_pilots(P.signal_counts(docs, PILOT_SIGNALS), "path").select("path", "line_count", "pilot_score")
 
 
-@query("t07_covering_slice")
+HELPERS_SQL = r"len(list_filter(regexp_extract_all(text, '\b([A-Z][A-Za-z0-9_]*)\s*\(', 1), lambda x: lower(x) NOT IN ('assert','by','wait','thread'))) > 0"
+
+
+def tags_sql(simple, waits):
+    return rf"""list_filter([CASE WHEN len(regexp_extract_all(text, '{simple}')) <= 3 THEN 'simple-smoke' END, CASE WHEN regexp_matches(text, '(?i)license|copyright') THEN 'page-object' END,
+      CASE WHEN regexp_matches(text, '\bof the\b') THEN 'table-filter' END, CASE WHEN regexp_matches(text, '{waits}') THEN 'waits' END, CASE WHEN {HELPERS_SQL} THEN 'custom-helper' END, CASE WHEN contains(source, 'base') THEN 'base-fixture' END], lambda x: x IS NOT NULL)"""
+
+
+def slice_sql(categories, budget):
+    """The greedy slice over ``cand(source, file, tests, score, categories)``: one step a category, then the fill."""
+    best = "ORDER BY abs(c.tests - 1), -c.score, c.file"
+    parts = [f"s0 AS (SELECT source, []::VARCHAR[] AS chosen, 0::BIGINT AS spent, {max(1, budget)}::BIGINT AS rem, false AS done FROM cand GROUP BY source)"]
+    for i, category in enumerate(categories, start=1):
+        parts.append(
+            f"""b{i} AS (SELECT c.source, first(c.file {best}) AS file, first(c.tests {best}) AS tests FROM cand c JOIN s{i - 1} s USING (source) WHERE NOT s.done AND list_contains(c.categories, '{category}') AND NOT list_contains(s.chosen, c.file) GROUP BY c.source),
+    o{i} AS (SELECT s.*, b.file, b.tests, b.file IS NOT NULL AND NOT (len(s.chosen) > 0 AND s.spent + b.tests > {budget + 2}) AS ok FROM s{i - 1} s LEFT JOIN b{i} b USING (source)),
+    s{i} AS (SELECT source, CASE WHEN ok THEN list_append(chosen, file) ELSE chosen END AS chosen, spent + CASE WHEN ok THEN tests ELSE 0 END AS spent, rem - CASE WHEN ok THEN tests ELSE 0 END AS rem, done OR (ok AND rem - tests <= 0) AS done FROM o{i})""")
+    last = f"s{len(categories)}"
+    parts.append(f"fill AS (SELECT c.*, {last}.spent + coalesce(sum(c.tests) OVER (PARTITION BY c.source ORDER BY c.score DESC, c.file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM cand c JOIN {last} USING (source) WHERE NOT list_contains(chosen, c.file))")
+    return ",\n    ".join(parts) + f"""
+    SELECT c.source, c.file, c.tests, c.score FROM cand c JOIN {last} USING (source) WHERE list_contains(chosen, c.file) UNION ALL SELECT source, file, tests, score FROM fill WHERE before < {budget}"""
+
+
+@query(
+    "t07_covering_slice",
+    f"WITH {PILOT_SQL}, cand AS (SELECT source, 'doc-' || doc_id AS file, least(greatest(tests % 9, 1), 25)::BIGINT AS tests, {SCORE_SQL} AS score, " + tags_sql("FindElement|By\\.", "\\bwas\\b") + " AS categories FROM sig),\n    " + slice_sql(P.CATEGORY_ORDER, 20),
+)
 def t07(spark, sf):
-    """Greedy choice per project; compared with the unpruned loop in the tests."""
+    """Greedy choice per project."""
     docs = P.signal_counts(table(spark, sf, "documents").withColumn("path", F.col("source")), PILOT_SIGNALS)
     cats = P.tag_categories(docs, (("page-object", r"(?i)license|copyright"), ("table-filter", r"\bof the\b"), ("waits", r"\bwas\b"), ("custom-helper", None)))
     rows = cats.select(
