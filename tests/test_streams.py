@@ -1,6 +1,7 @@
 """Streams over several files and out-of-order input against their batch twins."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,7 +32,9 @@ def stream(spark, feed):
 def test_oracle_completes_the_same_sessions(spark, feed):
     s, batch = stream(spark, feed)
     out = S.run_available(S.stream_event_oracle(s, "chain", "kind", "at", "id", ("view", "click", "purchase"), "10 minutes", 10**9)).where("outcome = 'completed'")
-    want = sequence_reached(batch, "chain", ["ms", "id"], "kind", ("view", "click", "purchase")).where("matched = 3")
+    newest = batch.where("kind <> 'other'").agg(F.max("ms")).first()[0]
+    seen = batch.where(F.col("ms") <= newest - 600_000)
+    want = sequence_reached(seen, "chain", ["ms", "id"], "kind", ("view", "click", "purchase")).where("matched = 3")
     assert {r["session"] for r in out.collect()} == {r["chain"] for r in want.collect()}
 
 
@@ -64,3 +67,20 @@ def test_observation_defaults_and_rejects(spark):
     assert parsed[0]["sequence"] == 7
     dom = parsed[0]["dom"]["#a"]
     assert (dom["text"], dom["value"], dom["visible"], dom["enabled"], dom["checked"]) == ("x", "", False, True, False)
+
+
+def test_oracle_takes_late_events_in_their_order(spark, tmp_path):
+    """Events out of order across micro-batches, within the delay; silent sessions time out; repeated completions do not count."""
+    start, minute = 1_700_000_000_000, 60_000
+    files = [
+        [(1, 1, 2, "click"), (2, 1, 1, "view"), (3, 2, 1, "view"), (4, 2, 5, "purchase")],
+        [(5, 1, 3, "purchase"), (6, 2, 3, "click"), (7, 3, 4, "view")],
+        [(8, 1, 30, "view"), (9, 1, 31, "click"), (10, 1, 32, "purchase"), (11, 4, 40, "view")],
+        [(12, 5, 300, "view")], [(13, 5, 600, "view")],
+    ]
+    for rows in files:
+        made = spark.createDataFrame([(i, c, start + m * minute, k) for i, c, m, k in rows], "id long, chain long, ms long, kind string")
+        made.withColumn("at", F.timestamp_millis("ms")).coalesce(1).write.mode("append").parquet(str(tmp_path))
+        time.sleep(1.1)  # files are taken in the order of their times
+    out = S.run_available(S.stream_event_oracle(stream(spark, str(tmp_path))[0], "chain", "kind", "at", "id", ("view", "click", "purchase"), "10 minutes", 120 * minute)).collect()
+    assert sorted((r.session, r.matched, r.elapsed_ms, r.outcome) for r in out) == [(1, 3, 2.0 * minute, "completed"), (2, 3, 4.0 * minute, "completed"), (3, 1, None, "timed-out"), (4, 1, None, "timed-out")]

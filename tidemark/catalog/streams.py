@@ -42,7 +42,8 @@ def st1(spark, sf):
 
 @query(
     "st2_event_oracle",
-    """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch_us(ts) / 1000), event_id) AS rn FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+    """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch_us(ts) / 1000), event_id) AS rn FROM events WHERE event_type IN ('view', 'click', 'purchase')
+      AND floor(epoch_us(ts) / 1000) <= (SELECT max(floor(epoch_us(ts) / 1000)) FROM events WHERE event_type IN ('view', 'click', 'purchase')) - 3600000),
     a AS (SELECT user_id, min(rn) AS p1 FROM e WHERE event_type = 'view' GROUP BY 1), b AS (SELECT e.user_id, min(rn) AS p2 FROM e JOIN a USING (user_id) WHERE event_type = 'click' AND rn > p1 GROUP BY 1),
     c AS (SELECT e.user_id, min(rn) AS p3 FROM e JOIN b USING (user_id) WHERE event_type = 'purchase' AND rn > p2 GROUP BY 1)
     SELECT user_id AS session, 3::BIGINT AS matched, 'completed' AS outcome, (max(floor(epoch_us(ts) / 1000)) FILTER (rn = p3) - min(floor(epoch_us(ts) / 1000)))::BIGINT AS elapsed_ms FROM e JOIN c USING (user_id) GROUP BY user_id""",
@@ -50,7 +51,7 @@ def st1(spark, sf):
 def st2(spark, sf):
     e = events(spark, sf).withColumn("at", S.utc("ts"))
     out = S.run_available(S.stream_event_oracle(e, "user_id", "event_type", "at", "event_id", ("view", "click", "purchase"), "1 hour", 30 * 86400 * 1000))
-    return out.where("outcome = 'completed'").select("session", F.col("matched").cast("bigint").alias("matched"), "outcome", F.col("elapsed_ms").cast("bigint").alias("elapsed_ms"))
+    return out.select("session", F.col("matched").cast("bigint").alias("matched"), "outcome", F.col("elapsed_ms").cast("bigint").alias("elapsed_ms"))
 
 
 CATEGORY_SQL = "CASE event_type WHEN 'error' THEN 'strict-mode-violation' WHEN 'click' THEN 'locator-not-found' WHEN 'view' THEN 'timeout-wait-state' END"

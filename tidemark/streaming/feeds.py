@@ -84,8 +84,10 @@ def accepted_observations(parsed: DataFrame, session: str, delay: str) -> DataFr
 def stream_event_oracle(events: DataFrame, session: str, event: str, ts: str, order: str, expected: Sequence[str], delay: str, timeout_ms: int) -> DataFrame:
     """One row per session when its events completed the expected sequence or it timed out.
 
-    Only expected events reach the state (a position, a start and a deadline); a batch's
-    rows of a session are sorted before they advance it.
+    Only expected events reach the state. They wait there until the watermark has passed them, so they advance the
+    oracle in event order however they arrive; the wait bounds the buffer by the delay. A session that is
+    silent for the time-out reports and leaves. A completed one keeps a mark for as long, so that its late
+    events do not start it again, and then leaves too.
     """
     steps, hold = tuple(expected), timeout_ms
     rows = events.where(F.col(event).isin(*steps)).withWatermark(ts, delay).select(
@@ -95,30 +97,39 @@ def stream_event_oracle(events: DataFrame, session: str, event: str, ts: str, or
     def advance(key, batches, state):
         import pandas as pd
 
-        pos, first = state.get if state.exists else (0, -1)
-        if pos >= len(steps):
+        pos, first, last, waiting = state.get if state.exists else (0, -1, -1, [])
+        passed = state.getCurrentWatermarkMs()
+        out = lambda elapsed, outcome: pd.DataFrame({"session": [key[0]], "matched": [pos], "elapsed_ms": [elapsed], "outcome": [outcome]})
+        if pos == len(steps):
+            if state.hasTimedOut:
+                state.remove()
+            else:
+                state.setTimeoutTimestamp(max(last, passed) + hold)
             return
-        if state.hasTimedOut:
-            state.update((len(steps), first))
-            yield pd.DataFrame({"session": [key[0]], "matched": [pos], "elapsed_ms": [None], "outcome": ["timed-out"]})
+        buffer = [tuple(w) for w in waiting]
+        if not state.hasTimedOut:
+            for batch in batches:
+                buffer += zip(batch["ms"].tolist(), batch["ord"].tolist(), batch["event"].map(steps.index).tolist())
+        buffer.sort()
+        ready = [r for r in buffer if r[0] <= passed]
+        for ms, _, step in ready:
+            first, last = (ms if first < 0 else first), ms
+            pos += step == pos
+            if pos == len(steps):
+                state.update((pos, first, last, []))
+                state.setTimeoutTimestamp(max(last, passed) + hold)
+                yield out(float(last - first), "completed")
+                return
+        later = buffer[len(ready) :]
+        if not later and state.hasTimedOut and last >= 0 and last + hold <= passed:
+            state.remove()
+            yield out(None, "timed-out")
             return
-        last = first
-        for _, row in pd.concat(list(batches)).sort_values(["ms", "ord"]).iterrows():
-            if first < 0:
-                first = int(row["ms"])
-            last = int(row["ms"])
-            if pos < len(steps) and row["event"] == steps[pos]:
-                pos += 1
-                if pos == len(steps):
-                    break
-        state.update((pos, first))
-        if pos == len(steps):
-            yield pd.DataFrame({"session": [key[0]], "matched": [pos], "elapsed_ms": [float(last - first)], "outcome": ["completed"]})
-        else:
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + hold)
+        state.update((pos, first, last, later))
+        state.setTimeoutTimestamp(max(later[0][0] if later else last + hold, passed + 1))
 
     return rows.groupBy("session").applyInPandasWithState(
-        advance, "session long, matched int, elapsed_ms double, outcome string", "pos int, first long", "append", "EventTimeTimeout"
+        advance, "session long, matched int, elapsed_ms double, outcome string", "pos int, first long, last long, waiting array<struct<ms: long, ord: long, step: int>>", "append", "EventTimeTimeout"
     )
 
 
