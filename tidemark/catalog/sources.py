@@ -60,6 +60,25 @@ def s03(spark, sf):
     )
 
 
+@query(
+    "s03_artifact_files",
+    """SELECT source, CASE WHEN source IN ('src3', 'src5') THEN NULL WHEN source = 'src7' THEN NULL ELSE 'ok' END AS status, CASE WHEN source IN ('src3', 'src5') THEN 'version' WHEN source = 'src7' THEN 'malformed' END AS reason,
+         CASE WHEN source IN ('src3', 'src5', 'src7') THEN NULL ELSE sum(n_chars)::DOUBLE END AS total FROM documents GROUP BY source""",
+)
+def s03_files(spark, sf):
+    """One run summary a source, each a JSON file of its own, read back as artefacts."""
+    folder = fresh_dir(spark, "artifacts")
+    totals = table(spark, sf, "documents").groupBy("source").agg(F.sum("n_chars").cast("double").alias("total"))
+    version = F.when(F.col("source").isin("src3", "src5"), "run/v2").otherwise("run/v1")
+    doc = F.to_json(F.struct(version.alias("schemaVersion"), F.lit("ok").alias("status"), "total"))
+    text = F.when(F.col("source") == "src7", F.concat(F.lit("["), doc)).otherwise(doc)
+    totals.select("source", text.alias("value")).write.partitionBy("source").text(folder)
+    ok, bad = A.read_artifact(spark, folder, ARTIFACT, "run/v1", "*.txt")
+    named = F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")
+    none = lambda kind: F.lit(None).cast(kind)
+    return ok.select(named, "status", none("string").alias("reason"), "total").unionByName(bad.select(named, none("string").alias("status"), "reason", none("double").alias("total")))
+
+
 PROPS = T.StructType([T.StructField("k", T.LongType())])
 
 
