@@ -409,15 +409,24 @@ HTML_ATTRIBUTES = ("class=", "href=", "charset=", "lang=", "role", "aria-label")
 
 @query(
     "p17_target_facts",
-    "SELECT page_id, a.name, ((length(lower(html)) - length(replace(lower(html), a.name, ''))) // length(a.name))::BIGINT AS n FROM pages, (VALUES "
+    """WITH t AS (SELECT page_id, url, html || chr(10) || 'await page.GotoAsync("' || url || '"); await page.GotoAsync(siteBase); await page.GotoAsync(other); await page.GotoAsync(siteBase);' || chr(10)
+        || 'public async Task LoginAs' || page_id || '() { await page.Locator("x").ClickAsync(); } private void Render() {} internal static void WaitForRow() {}' AS text FROM pages)
+    SELECT page_id, 'locator-attribute' AS kind, a.name, ((length(lower(text)) - length(replace(lower(text), a.name, ''))) // length(a.name))::BIGINT AS n FROM t, (VALUES """
     + ", ".join(f"('{a}')" for a in HTML_ATTRIBUTES)
-    + ") a(name) WHERE contains(lower(html), a.name)"
-    + " UNION ALL SELECT page_id, a.name, 1 FROM pages, (VALUES " + ", ".join(f"('{a}')" for a in facts.AUTH_INDICATORS)
-    + ") a(name) WHERE contains(lower(html), lower(a.name))",
+    + ") a(name) WHERE contains(lower(text), a.name)"
+    + " UNION ALL SELECT page_id, 'locator-method', a.name, ((length(text) - length(replace(text, a.name, ''))) // length(a.name))::BIGINT FROM t, (VALUES " + ", ".join(f"('{a}')" for a in facts.LOCATOR_METHODS)
+    + ") a(name) WHERE contains(text, a.name)"
+    + " UNION ALL SELECT page_id, 'auth-indicator', a.name, 1 FROM t, (VALUES " + ", ".join(f"('{a}')" for a in facts.AUTH_INDICATORS)
+    + ") a(name) WHERE contains(lower(text), lower(a.name))"
+    + " UNION ALL SELECT page_id, 'navigation', url, 1 FROM t UNION ALL SELECT page_id, 'navigation-variable', 'siteBase', 2 FROM t"
+    + " UNION ALL SELECT page_id, 'helper-method', 'LoginAs' || page_id, 1 FROM t UNION ALL SELECT page_id, 'helper-method', 'WaitForRow', 1 FROM t",
 )
 def p17(spark, sf):
-    out = facts.extract_target_facts(table(spark, sf, "pages"), ["page_id"], "html", HTML_ATTRIBUTES)
-    return out.where(F.col("kind").isin("locator-attribute", "auth-indicator")).select("page_id", "name", "n")
+    code = F.concat(
+        F.col("html"), F.lit('\nawait page.GotoAsync("'), F.col("url"), F.lit('"); await page.GotoAsync(siteBase); await page.GotoAsync(other); await page.GotoAsync(siteBase);\npublic async Task LoginAs'),
+        F.col("page_id").cast("string"), F.lit('() { await page.Locator("x").ClickAsync(); } private void Render() {} internal static void WaitForRow() {}'))
+    files = table(spark, sf, "pages").select("page_id", code.alias("text"))
+    return facts.extract_target_facts(files, ["page_id"], "text", HTML_ATTRIBUTES).select("page_id", "kind", "name", "n")
 
 
 WORD_SIGNALS = {"tests": r"\b[Tt]he\b", "locators": r"on[a-z]*", "xpaths": r"[0-9]+", "assertions": r"\bis\b|\bwas\b"}

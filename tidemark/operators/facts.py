@@ -171,6 +171,10 @@ HELPER_PREFIXES: Mapping[str, str] = {
     "Configure": "Setup", "Assert": "Validation", "Verify": "Validation", "Ensure": "Validation", "Fill": "Interaction", "Type": "Interaction",
     "Choose": "Interaction",
 }
+# Words in the names of variables that hold a route.
+ROUTE_WORDS = ("url", "base", "route")
+GOTO_VARIABLE = r"\.Go[Tt]oAsync\s*\(\s*([A-Za-z_][\w.]*)\s*[,)]"
+METHOD_NAME = r"(?:public|private|protected|internal)\s+(?:static\s+)?(?:async\s+)?[A-Za-z_][\w<>.]*\s+([A-Z]\w*)\s*\("
 GOTO_CALL = r"\.(?:GotoAsync|GoToAsync)\s*\(\s*[\"']([^\"']+)[\"']\s*\)"
 
 
@@ -192,13 +196,20 @@ def occurrence_facts(files: DataFrame, keys: Sequence[str], kind: str, words: Se
 
 
 def extract_target_facts(files: DataFrame, keys: Sequence[str], text_col: str = "text", attributes: Sequence[str] = LOCATOR_ATTRIBUTES) -> DataFrame:
-    """Navigation, authentication, locator attribute and locator method facts of a target project, one long table."""
+    """Navigation, authentication, locator attribute, locator method and helper method facts of a target project, one long table.
+
+    A page may be opened by a literal or through a variable whose name speaks of a url, a base or a route; a helper
+    is a declared method whose name starts like one.
+    """
+    listed = lambda pattern: F.regexp_extract_all(text_col, F.lit(pattern), F.lit(1))
+    named = lambda kind, names: files.select(*keys, F.lit(kind).alias("kind"), F.explode(names).alias("name")).groupBy(*keys, "kind", "name").agg(F.count(F.lit(1)).alias("n"))
     parts = [
         occurrence_facts(files, keys, "locator-attribute", attributes, text_col, fold_case=True),
         occurrence_facts(files, keys, "locator-method", LOCATOR_METHODS, text_col),
         occurrence_facts(files, keys, "auth-indicator", AUTH_INDICATORS, text_col, fold_case=True).withColumn("n", F.lit(1).cast("bigint")),
-        files.select(*keys, F.lit("navigation").alias("kind"), F.explode(F.regexp_extract_all(text_col, F.lit(GOTO_CALL), F.lit(1))).alias("name"))
-        .withColumn("n", F.lit(1).cast("bigint")),
+        named("navigation", listed(GOTO_CALL)),
+        named("navigation-variable", F.filter(listed(GOTO_VARIABLE), lambda v: F.rlike(F.lower(v), F.lit("|".join(ROUTE_WORDS))))),
+        named("helper-method", F.filter(listed(METHOD_NAME), lambda m: helper_use(m).isNotNull())),
     ]
     out = parts[0]
     for p in parts[1:]:
