@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
-from conftest import SCHEMA, prose
+from awkward import SCHEMA, prose
 
 from tidemark.llm.bpe import encode_and_decode, load_encoding
 from tidemark.llm.chat import chat_documents
@@ -17,16 +18,16 @@ from tidemark.llm.components import components
 from tidemark.llm.fingerprints import Powers, PrefixHashes, edited_fingerprints, fingerprint, likeness
 from tidemark.llm.langid import keep_identified, predict_languages, viterbi
 from tidemark.llm.near_dedup import keep_one_of_each, near_duplicates
-from tidemark.llm.packing import evolve, pack_documents
+from tidemark.llm.packing import crossover, decreasing, evolve, exact_fill, pack_documents
 from tidemark.llm.quality import keep_quality, quality_rules
 from tidemark.llm.secret_scan import redact, scan_secrets
 from tidemark.llm.token_files import bits_for, pack_bits, read_token_files, unpack_bits, write_token_files
-from tidemark.llm.tokens import cached_encoder
+from tidemark.llm.tokens import PieceEncoder
 from tidemark.llm.url_filter import judge_urls
 
 BYTES_JSON, WORDS_JSON = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-AWKWARD = ["", " ", "  two  blanks ", "a\n\n b", "x \n y", "tab\t\tx", "don't we'll", " lead", "trail ", "\xa0nb sp\u3000x", "e\u0301 é", "ΣΑΣ ΟΔΟΣ", "1 22 333", "!?! ...", "漢字 かな", "a\x1cb c\x85d", "<|endoftext|> x", "🎉🎉 ok", "a  \n  b   c"]
+AWKWARD = ["", " ", "  two  blanks ", "a\n\n b", "x \n y", "tab\t\tx", "don't we'll", " lead", "trail ", "\xa0nb sp\u3000x", "e\u0301 é", "ΣΑΣ ΟΔΟΣ", "1 22 333", "!?! ...", "漢字 かな", "a\x1cb c\x85d", "<|endoftext|> x", "🎉🎉 ok", "a  \n  b   c", "dogs' it's' x'sy rock'n'roll, ''", "word,\nNext. (par) end...\n\nlast\n", "ÀÉÎ Straße İstanbul ǅ ŉ KK ﬁn ẞ", "one\n two \nthree", "$5,000.00! no-one_x", "a\n\tb c\n"]
 
 
 def plain(text):
@@ -88,7 +89,9 @@ def test_pieces_encode_as_whole_texts(path, glue):
     whole = Tokenizer.from_file(path)
     whole.encode_special_tokens = True
     texts = AWKWARD + [" ".join(AWKWARD), "".join(AWKWARD), prose(9, 300)]
-    assert [x.tolist() for x in cached_encoder(path, glue)(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    for batch in (texts, texts[::-1], texts[5:9], [""], ["a b"], []):
+        ids, bounds = PieceEncoder(path, glue, most=50).encode(pa.array(batch, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in whole.encode_batch(batch, add_special_tokens=False)]
 
 
 def test_evolution_reaches_the_bound():
@@ -100,6 +103,18 @@ def test_evolution_reaches_the_bound():
     assert np.bincount(bins, weights=sizes).max() <= 100 and len(np.unique(bins)) <= 201
 
 
+def test_packings_hold_every_item_once():
+    rng = np.random.default_rng(4)
+    for n, top in ((1, 10), (2, 64), (300, 64), (500, 20), (400, 64)):
+        sizes = rng.integers(1, top + 1, n)
+        one, two = exact_fill(sizes, 64), decreasing(sizes, 64, 30.0, rng)
+        child = crossover(one, two, sizes, 64, rng)
+        for packing in (one, two, child, crossover(two, child, sizes, 64, rng)):
+            assert len(packing.bin_of) == n and packing.fills.max() <= 64
+            assert np.bincount(packing.bin_of, weights=sizes).tolist() == packing.fills.tolist()
+            assert len(packing.fills) <= 1.3 * -(-sizes.sum() // 64) + 1
+
+
 def check_packing(got, texts_by_id, capacity):
     from tokenizers import Tokenizer
 

@@ -27,7 +27,7 @@ SWITCH_PENALTY = 25.0
 #: A language is a candidate for a script that holds at least this share of its training letters.
 SCRIPT_SHARE = 0.01
 SCORE_BYTES = 1 << 20
-VITERBI_BYTES = 16 << 20
+VITERBI_BYTES = 8 << 20
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed, slices
-from tidemark.llm.tokens import cached_encoder
+from tidemark.llm.tokens import encoder_of
 
 CAPACITY = 1024
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 #: Pieces of one shard at most about: all shards hold as many whatever the input, so a task's memory is fixed.
 SHARD_PIECES = 16_384
 ISLANDS = 3
@@ -75,6 +75,45 @@ def decreasing(sizes: np.ndarray, capacity: int, noise: float, rng: np.random.Ge
     return Packing(placed, sizes)
 
 
+def exact_fill(sizes: np.ndarray, capacity: int) -> Packing:
+    """Bins from the largest item left, closed exactly where one or two items do so.
+
+    Sizes in stock are bits of two integers, one the mirror of the other, so the sizes that have a partner for a
+    given room are one shift and one AND. Of several pairs the most even one goes, which keeps the extremes for
+    later; without any the largest item that fits goes, and the search repeats.
+    """
+    stock: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for item, size in enumerate(sizes.tolist()):
+        stock[size].append(item)
+    held = sum(1 << size for size in range(1, capacity + 1) if stock[size])
+    mirror = sum(1 << (capacity - size) for size in range(1, capacity + 1) if stock[size])
+    placed, b = np.empty(len(sizes), dtype=np.int64), 0
+    while held:
+        room, take = capacity, [held.bit_length() - 1]
+        while take:
+            for size in take:
+                placed[stock[size].pop()] = b
+                room -= size
+                if not stock[size]:
+                    held ^= 1 << size
+                    mirror ^= 1 << (capacity - size)
+            fits = held & ((1 << (room + 1)) - 1)
+            if not fits or not room:
+                take = []
+            elif fits >> room & 1:
+                take = [room]
+            else:
+                pairs = fits & (mirror >> (capacity - room))
+                half = room // 2
+                if room % 2 == 0 and len(stock[half]) < 2:
+                    pairs &= ~(1 << half)
+                upper = pairs >> (room - half)
+                even = room - half + (upper & -upper).bit_length() - 1
+                take = [even, room - even] if upper else [fits.bit_length() - 1]
+        b += 1
+    return Packing(placed, sizes)
+
+
 def crossover(taker: Packing, giver: Packing, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> Packing:
     """Whole well-filled bins of the giver enter the taker.
 
@@ -102,10 +141,16 @@ def crossover(taker: Packing, giver: Packing, sizes: np.ndarray, capacity: int,
 
 
 def evolve(sizes: np.ndarray, own: np.ndarray | None, guest: np.ndarray | None, capacity: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION) -> np.ndarray:
-    """The best packing an island finds in some generations, from its own elite and a migrated one if given."""
+    """The best packing an island finds in some generations, from its own elite and a migrated one if given.
+
+    The first population holds one filled exactly, one by best fit in decreasing order, and blurred ones of that.
+    An island stops at the bound that no packing passes.
+    """
     rng = np.random.default_rng(seed)
     people = [Packing(p, sizes) for p in (own, guest) if p is not None]
-    people += [decreasing(sizes, capacity, 0.0 if not people and i == 0 else rng.uniform(8, 256), rng) for i in range(population - len(people))]
+    if not people:
+        people = [exact_fill(sizes, capacity), decreasing(sizes, capacity, 0.0, rng)]
+    people += [decreasing(sizes, capacity, rng.uniform(8, 256), rng) for _ in range(population - len(people))]
     bound = -(-int(sizes.sum()) // capacity)
     people.sort(key=Packing.rank)
     for _ in range(generations):
@@ -164,13 +209,14 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: st
     """
 
     def work(batches):
-        encode = cached_encoder(tokenizer_path, " ")
+        encoder = encoder_of(tokenizer_path, " ")
+        end_bytes = int(end_id).to_bytes(4, "little")
         for batch in batches:
             for at, end in slices(batch.column(1), SLICE_BYTES):
                 rows: list[tuple] = []
-                ids = batch.column(0)[at:end].to_pylist()
-                for doc_id, found in zip(ids, encode(batch.column(1)[at:end].to_pylist())):
-                    raw = found.tobytes() + int(end_id).to_bytes(4, "little")
+                found, bounds = encoder.encode(batch.column(1)[at:end])
+                for i, doc_id in enumerate(batch.column(0)[at:end].to_pylist()):
+                    raw = found[bounds[i] : bounds[i + 1]].tobytes() + end_bytes
                     n = len(raw) // 4
                     cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                     rows += [(doc_id, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import part_of, quantile_bounds, shuffle_parts, slices
-from tidemark.llm.tokens import cached_encoder
+from tidemark.llm.tokens import encoder_of
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 #: A block ends with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 16
 BLOCK_SCHEMA = "part int, block int, before long, n_ids long, bits int, payload binary, doc_ids array<long>, doc_starts array<long>"
@@ -52,7 +52,7 @@ def token_blocks(docs: DataFrame, tokenizer_path: str, vocabulary: int, id_col:
     bits = bits_for(vocabulary)
 
     def work(batches):
-        encode = cached_encoder(tokenizer_path, "")
+        encoder = encoder_of(tokenizer_path, "")
         part, block, before, total = 0, 0, 0, 0
         held: list[tuple[int | None, np.ndarray]] = []
 
@@ -70,9 +70,10 @@ def token_blocks(docs: DataFrame, tokenizer_path: str, vocabulary: int, id_col:
         for batch in batches:
             for at, upto in slices(batch.column(1), SLICE_BYTES):
                 part = batch.column(2)[at].as_py()
-                for doc_id, ids in zip(batch.column(0)[at:upto].to_pylist(), encode(batch.column(1)[at:upto].to_pylist())):
-                    held.append((doc_id, np.concatenate([ids, end])))
-                    total += len(ids) + 1
+                found, bounds = encoder.encode(batch.column(1)[at:upto])
+                for i, doc_id in enumerate(batch.column(0)[at:upto].to_pylist()):
+                    held.append((doc_id, np.concatenate([found[bounds[i] : bounds[i + 1]], end])))
+                    total += len(held[-1][1])
                     if total >= BLOCK_IDS:
                         yield flush()
         if held:
