@@ -20,7 +20,7 @@ from tidemark.llm.langid import keep_identified, predict_languages, viterbi
 from tidemark.llm.near_dedup import keep_one_of_each, near_duplicates
 from tidemark.llm.packing import crossover, decreasing, evolve, exact_fill, pack_documents
 from tidemark.llm.quality import keep_quality, quality_rules
-from tidemark.llm.secret_scan import redact, scan_secrets
+from tidemark.llm.secret_scan import candidates, redact, scan_secrets
 from tidemark.llm.token_files import bits_for, pack_bits, read_token_files, unpack_bits, write_token_files
 from tidemark.llm.tokens import PieceEncoder
 from tidemark.llm.url_filter import judge_urls
@@ -297,6 +297,16 @@ def test_op6_secrets(spark, docs, clashing, empty):
     assert redact(clashing, scan_secrets(clashing)).columns == clashing.columns
 
 
+def test_op6_every_run_of_a_word_is_a_candidate(spark):
+    """Runs after the first of a word, runs without a digit, and short values that a key names."""
+    rows = [('AWS_SECRET_ACCESS_KEY="wJalrXUtnFEMI/K7MDENG1"', {"wJalrXUtnFEMI/K7MDENG1"}), ('{"access_token":"ghp_16C7e42F292c6912E7710c83","password":"hunter2"}', {"ghp_16C7e42F292c6912E7710c83", "hunter2"}), ("password: s3cr!t#9 x", {"s3cr!t#9"}), ("漢字token=abcd1234efgh5678漢字,k=zyxw9876zyxw5432漢字", {"abcd1234efgh5678", "zyxw9876zyxw5432"}), ("x onlyLettersInThisKey y", {"onlyLettersInThisKey"}), ("https://bob:pa55word@host.example.com/p?api_key=abc123def&x=1", {"pa55word", "abc123def"})]
+    found = candidates(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    for i, (_, want) in enumerate(rows):
+        assert want <= {r.value for r in found if r.doc_id == i}
+    assert len({(r.doc_id, r.word_no, r.run_no) for r in found}) == len(found)
+    assert [(r.left, r.quoted) for r in found if r.value == "hunter2"] == [('","password":"', True)]
+
+
 # 8 -------------------------------------------------------------------------------------------------
 
 

@@ -12,36 +12,55 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed
 
-#: A run that may be a secret: long enough, of the characters keys are written in.
-RUN = r"[A-Za-z0-9+/_=.@:\-]{12,}"
+#: What splits a word into runs and the gaps between them; '=' and ':' are gaps. Words with a key may hold more in a run.
+RUN_CHARS = r"A-Za-z0-9+/_.@\-"
+NARROW, WIDE = f"[{RUN_CHARS}]+|[^{RUN_CHARS}]+", f"[{RUN_CHARS}!#$%^*~]+|[^{RUN_CHARS}!#$%^*~]+"
+#: A run that may be a secret on its own, and the least characters of one that a key names.
+RUN, SHORTEST = f"[{RUN_CHARS}]{{12,}}", 4
 #: Stems of words that name a secret just before it.
-KEY_STEMS = "token|secret|passw|pwd|api_?key|apikey|access_?key|private_?key|credential|bearer|auth"
-ASSIGNS = r"^[\"']?[:=]+>?$|[:=][\"']?$"
+KEY_STEMS = "token|secret|passw|pwd|api_?-?key|access_?-?key|private_?-?key|credential|bearer|auth"
+#: What stands between a name and its value, at the end of the text before the value.
+ASSIGNS = r"(?:[\"'`]?\s*(?::=|=>|[:=])\s*[\"'`(]*|>)$"
+#: The text before a value that a key names: key = "value, key: value, --key value, <key>value, Bearer value, //user:value@host.
+KEYED = rf"(?i)(?:(?:{KEY_STEMS})[A-Za-z0-9_.\-]*{ASSIGNS}|--?[A-Za-z0-9_\-]*(?:{KEY_STEMS})[A-Za-z0-9_\-]*\s$|(?:bearer|basic)\s$)"
+USERINFO = r"://?[^/\s:@]*:$|//[^/\s:@]+:$"
+NAMES, USER_IN_URL = rf"(?i)(?:{KEY_STEMS})", r"//[^/\s:@]*:[^/\s@]+@"
 #: A dictionary word occurs in at least so many documents.
 DICTIONARY_DOCS = 5
 #: Findings learned from, at most about: the documented bound of the training sample.
 TRAIN_FINDINGS = 20_000
 TREES, DEPTH, SEED = 24, 6, 7
-FEATURES = ["length", "transitions", "digit_share", "upper_share", "hex_share", "distinct_share", "mean_bigram", "dictionary_share", "slashes", "dots", "at_sign", "quoted", "key_before", "assigned", "prev_letters", "next_letters"]
+FEATURES = ["length", "transitions", "digit_share", "upper_share", "hex_share", "distinct_share", "mean_bigram", "dictionary_share", "slashes", "dots", "at_sign", "quoted", "key_before", "assigned", "names_next", "prev_letters", "next_letters"]
 CLASS_FROM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 CLASS_TO = "a" * 26 + "A" * 26 + "0" * 10
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, word_no, value, quoted, before, before2, after)``: words with a run that may be a secret, with their neighbours.
+    """``(doc_id, word_no, run_no, value, quoted, left, next, before, after)``: every run that may be a secret, with what stands around it.
 
-    Word numbers count from 1 over the whole text. Only texts with such a run are split at all.
+    Words are delimited by blanks and numbered from 1 over the whole text, runs and gaps from 1 within a word. All
+    runs of 12 characters count, with or without a digit, and every run of at least ``SHORTEST`` that a key names.
+    ``left`` is the text just before a run: three pieces of its own word, and the two words before where these
+    reach the start of the word.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(RUN))
-    split = own.select("doc_id", F.split("text", r"\s+").alias("words"))
-    at = F.filter(F.transform("words", lambda w, i: F.when((F.length(w) >= 12) & w.rlike("[0-9]") & w.rlike(RUN), i + 1)), lambda i: i.isNotNull())
-    near = lambda i, k: F.coalesce(F.when(i + k >= 1, F.get(F.col("words"), i + k - 1)), F.lit(""))
-    hits = split.select("doc_id", "words", at.alias("at")).where(F.array_size("at") > 0).select(
-        "doc_id", F.explode(F.transform("at", lambda i: F.struct(i.cast("long").alias("word_no"), near(i, 0).alias("word"), near(i, -1).alias("before"), near(i, -2).alias("before2"), near(i, 1).alias("after")))).alias("c"))
-    run = F.regexp_extract("c.word", RUN, 0)
-    quoted = F.col("c.word").rlike(r"""["'`]""")
-    found = hits.select("doc_id", "c.word_no", run.alias("value"), quoted.alias("quoted"), "c.before", "c.before2", "c.after")
-    return found.where(F.col("value").rlike("[0-9]"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = own.withColumn("named", F.col("text").rlike(f"{NAMES}|{USER_IN_URL}")).where(F.col("text").rlike(RUN) | F.col("named"))
+    split = own.select("doc_id", "named", F.split("text", r"\s+").alias("words"))
+    near = lambda i, k: F.coalesce(F.when(i + k >= 0, F.get(F.col("words"), i + k)), F.lit(""))
+    lead = lambda i: F.concat_ws(" ", near(i, -2), near(i, -1), F.lit(""))
+    keyed = lambda w, i: F.col("named") & ((w.rlike(NAMES) & w.rlike("[:=>]")) | w.rlike(USER_IN_URL) | lead(i).rlike(KEYED))
+    at = F.filter(F.transform("words", lambda w, i: F.when((F.length(w) >= SHORTEST) & (keyed(w, i) | w.rlike(RUN)), i)), lambda i: i.isNotNull())
+    hits = split.select("doc_id", "named", "words", at.alias("at")).where(F.array_size("at") > 0).select(
+        "doc_id", F.explode(F.transform("at", lambda i: F.struct((i + 1).cast("long").alias("word_no"), near(i, 0).alias("word"), near(i, -1).alias("before"), lead(i).alias("lead"), near(i, 1).alias("after"), keyed(near(i, 0), i).alias("keyed")))).alias("c")).select("doc_id", "c.*")
+    cut = hits.withColumn("pieces", F.when(F.col("keyed"), F.regexp_extract_all("word", F.lit(WIDE), F.lit(0))).otherwise(F.regexp_extract_all("word", F.lit(NARROW), F.lit(0))))
+    piece = lambda i, k: F.coalesce(F.when(i + k >= 0, F.get(F.col("pieces"), i + k)), F.lit(""))
+    left = lambda i: F.concat(F.when(i < 3, F.col("lead")).otherwise(F.lit("")), piece(i, -3), piece(i, -2), piece(i, -1))
+    parts = F.filter(F.transform("pieces", lambda p, i: F.when(p.rlike(f"^[{RUN_CHARS}!#$%^*~]") & ((F.length(p) >= 12) | (F.col("keyed") & (F.length(p) >= SHORTEST))), F.struct((i + 1).cast("long").alias("run_no"), p.alias("run"), left(i).alias("left"), piece(i, -1).alias("gap"), piece(i, 1).alias("next")))), lambda x: x.isNotNull())
+    runs = cut.select("doc_id", "word_no", "before", "after", F.explode(parts).alias("r")).select("doc_id", "word_no", "r.*", "before", "after")
+    user = F.col("left").rlike(USERINFO) & F.col("run").contains("@")
+    value = F.when(user, F.regexp_extract("run", "^(.*)@", 1)).otherwise(F.regexp_replace("run", r"^\.+|[.!]+$", ""))
+    found = runs.select("doc_id", "word_no", "run_no", value.alias("value"), F.concat("gap", "next").rlike(r"""["'`]""").alias("quoted"), "left", F.concat_ws(" ", "next", F.when(F.col("next") == "", F.col("after"))).alias("next"), "before", "after", user.alias("user"))
+    return found.where((F.length("value") >= 12) | ((F.length("value") >= SHORTEST) & (F.col("user") | F.col("left").rlike(KEYED)))).drop("user")
 
 
 def dictionary(docs: DataFrame, text_col: str, least_docs: int = DICTIONARY_DOCS) -> DataFrame:
@@ -85,8 +104,9 @@ def with_features(found: DataFrame, words: DataFrame, pairs: dict[str, float]) -
     described = described.join(covered, "value", "left").withColumn("dictionary_share", F.coalesce("covered", F.lit(0)) / F.col("length")).drop("covered")
     letters_of = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}]", "")) / F.greatest(F.length(c), F.lit(1))
     return found.join(described, "value").select(
-        "*", F.col("quoted").cast("double").alias("__quoted"), F.lower(F.concat_ws(" ", "before2", "before")).rlike(KEY_STEMS).cast("double").alias("key_before"),
-        F.col("before").rlike(ASSIGNS).cast("double").alias("assigned"), letters_of(F.col("before")).alias("prev_letters"), letters_of(F.col("after")).alias("next_letters")).drop("quoted").withColumnRenamed("__quoted", "quoted")
+        "*", F.col("quoted").cast("double").alias("__quoted"), (F.lower("left").rlike(KEY_STEMS) | F.col("left").rlike(USERINFO)).cast("double").alias("key_before"),
+        (F.col("left").rlike(ASSIGNS) | F.col("left").rlike(KEYED)).cast("double").alias("assigned"),
+        F.col("next").rlike(r"^[\"'`]?\s*[:=]").cast("double").alias("names_next"), letters_of(F.col("before")).alias("prev_letters"), letters_of(F.col("after")).alias("next_letters")).drop("quoted").withColumnRenamed("__quoted", "quoted")
 
 
 def weak_label(found: DataFrame) -> Column:
@@ -116,7 +136,7 @@ def judged(found: DataFrame, model: RandomForestClassificationModel | None, thre
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, word_no, value, probability, is_secret)`` of every candidate in the whole texts.
+    """``(doc_id, word_no, run_no, value, probability, is_secret)`` of every candidate in the whole texts.
 
     ``labelled`` holds findings as ``candidates`` returns them with a column ``label`` (1: secret). Without it
     the findings of the given rows whose crc32(doc_id) modulo 5 is not 0 are labelled by ``weak_label``. The
@@ -130,16 +150,19 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = found.where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) != 0).withColumn("label", weak_label(found))
     else:
         rows = with_features(labelled, words, pairs)
-    return judged(found, train_forest(rows, "label", "value")).select("doc_id", "word_no", "value", "probability", "is_secret")
+    return judged(found, train_forest(rows, "label", "value")).select("doc_id", "word_no", "run_no", "value", "probability", "is_secret")
 
 
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every accepted value of a row's document replaced by ``mark``, the longest first.
+    """``docs`` with every accepted value of a row's document replaced by ``mark``, the longest first;
+    values under 12 characters only where no letter or digit adjoins them.
 
     Rows without an id, or without a finding, stay as they are.
     """
     values = findings.where("is_secret").groupBy("doc_id").agg(F.collect_set("value").alias("__values"))
+    whole = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), v, F.lit(r"\E(?![A-Za-z0-9])"))
+    without = lambda t, v: F.when(F.length(v) >= 12, F.replace(t, v, F.lit(mark))).otherwise(F.regexp_replace(t, whole(v), F.lit(mark)))
     longest_first = F.array_sort("__values", lambda a, b: F.length(b) - F.length(a))
     joined = docs.join(values.withColumnRenamed("doc_id", "__of"), F.col(id_col) == F.col("__of"), "left")
-    text = F.when(F.col("__values").isNull(), F.col(text_col)).otherwise(F.aggregate(longest_first, F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark))))
+    text = F.when(F.col("__values").isNull(), F.col(text_col)).otherwise(F.aggregate(longest_first, F.col(text_col), without))
     return joined.withColumn(text_col, text).select(*docs.columns)
