@@ -307,6 +307,22 @@ def test_op6_every_run_of_a_word_is_a_candidate(spark):
     assert [(r.left, r.quoted) for r in found if r.value == "hunter2"] == [('","password":"', True)]
 
 
+def test_op6_several_secret_formats_and_lookalikes(spark):
+    """Secrets of other forms than the tables' own are found and redacted, hashes and names stay, a long text is split once."""
+    import time
+
+    hexes = [hashlib.sha1(f"h{i}".encode()).hexdigest() for i in range(4)]
+    secrets = [(f'token="{hexes[0]}"', hexes[0]), (f"token: {hexes[1]}", hexes[1]), ("DB_PASSWORD=Zk93jfLq02mx", "Zk93jfLq02mx"), ('{"id":1,"password":"hunter2"}', "hunter2"), ("Authorization: Bearer abcDEF123456ghiJKL789xx", "abcDEF123456ghiJKL789xx"), ("https://api.example.com/p?api_key=abc123def&x=1", "abc123def")]
+    others = [f"commit {hexes[2]} by x", f"sha256: {hexes[3]}", '"some_longer_name": 5', "file: src/main/java/com/example/Foo.java", "550e8400-e29b-41d4-a716-446655440000"]
+    texts = [f"{prose(i, 30)} {t} {prose(i + 1, 5)}" for i, (t, _) in enumerate(secrets)] + [f"{prose(i, 30)} {t} {prose(i + 1, 5)}" for i, t in enumerate(others)] + [prose(3, 20_000) + " token = "]
+    table = spark.createDataFrame([(i, t, None, f"a/{i}.yaml", None) for i, t in enumerate(texts)], SCHEMA)
+    begun = time.monotonic()
+    found = scan_secrets(table)
+    clean = {r.doc_id: r.text for r in redact(table, found).collect()}
+    assert time.monotonic() - begun < 90
+    assert [clean[i] for i in range(len(texts))] == [t.replace(secrets[i][1], "[SECRET]") if i < len(secrets) else t for i, t in enumerate(texts)]
+
+
 # 8 -------------------------------------------------------------------------------------------------
 
 
