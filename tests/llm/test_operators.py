@@ -427,3 +427,14 @@ def test_op10_against_brute_force(spark, docs, rows, clashing, empty):
     assert kept[1] and kept[2] and kept[8] and not any(kept[k] for k in (4, 5, 6, 7, 600, 601, 603))
     assert quality_rules(empty).collect() == [] and keep_quality(clashing).columns == clashing.columns
     assert keep_quality(table).count() == sum(r.kept for r in got)
+
+
+def test_op10_noise_of_each_length_is_dropped(spark):
+    rng = np.random.default_rng(5)
+    noise = base64.b64encode(rng.bytes(40_000)).decode()
+    words = " ".join(noise[i : i + 9] for i in range(0, len(noise), 9))
+    sizes = (300, 500, 700, 900, 1200, 1500, 2500, 4000, 6000, 12_000, 30_000)
+    rows = [(i, words[:n], None, None, None) for i, n in enumerate(sizes)] + [(100 + i, "ä" + prose(i, n // 8), None, None, None) for i, n in enumerate(sizes)]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(got[i].base_failed or got[i].kept for i in range(len(sizes)))
+    assert all(got[100 + i].kept for i in range(len(sizes)))

@@ -16,18 +16,18 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
-#: (texts under so many bytes, lowest ratio, highest ratio) of compressed to whole size. A frame costs some
-#: 15 bytes and a short text cannot refer back, so the shortest texts are only held to a very wide band; prose
-#: of some length keeps to about 0.3 to 0.6. Text that repeats itself lies below the low end; base64 noise, six bits
-#: in eight, keeps 0.75 and lies above the high.
-WHOLE_BANDS = ((256, 0.20, 1.20), (1024, 0.15, 0.95), (4096, 0.12, 0.80), (16384, 0.10, 0.70), (1 << 62, 0.08, 0.68))
+#: (texts under so many bytes, lowest ratio, highest ratio) of compressed to whole size. Text that repeats itself
+#: lies below the low end. The high end lies about midway between the highest ratio of the documents at sf0.1 and the
+#: lowest of base64 noise of that length; under 256 bytes the two overlap. Noise in fewer symbols, such as hex
+#: digits, keeps about 0.53 and is not told from prose by these.
+WHOLE_BANDS = ((256, 0.20, 0.93), (512, 0.15, 0.79), (1024, 0.15, 0.735), (2048, 0.12, 0.67), (4096, 0.12, 0.63), (16384, 0.10, 0.61), (1 << 62, 0.08, 0.58))
 CHUNK_BYTES = 4096
-CHUNK_BAND = (0.06, 0.72)
+CHUNK_BAND = (0.06, 0.63)
 #: A text is rejected by its chunks when more than this share of them leaves the band.
 CHUNK_SHARE = 0.5
 LEVEL = 3
 
-FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, zstd_ratio double, chunks long, chunks_out long"
+FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, zstd_ratio double, chunks long, chunks_out long, n_bytes long"
 
 
 def repeated_words(hashes: np.ndarray, width: int = WINDOW) -> int:
@@ -94,8 +94,8 @@ def text_statistics(docs: DataFrame, id_cols: list[str], text_col: str) -> DataF
                 for i, text in enumerate(raw):
                     words = hashes[bounds[i] : bounds[i + 1]]
                     chars = len(text.decode()) - sum(map(text.count, (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")))
-                    rows.append((len(words), chars, len(text.translate(None, keep)), duplicate_lines(text), repeated_words(words), *compression(text, packer)))
-                kinds = [pa.int64()] * 5 + [pa.float64()] + [pa.int64()] * 2
+                    rows.append((len(words), chars, len(text.translate(None, keep)), duplicate_lines(text), repeated_words(words), *compression(text, packer), len(text)))
+                kinds = [pa.int64()] * 5 + [pa.float64()] + [pa.int64()] * 3
                 yield pa.RecordBatch.from_arrays([*(batch.column(k)[at:end] for k in range(last)), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], [*batch.schema.names[:last], *names])
 
     carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*id_cols).schema)
@@ -104,13 +104,13 @@ def text_statistics(docs: DataFrame, id_cols: list[str], text_col: str) -> DataF
 
 def with_verdicts(stats: DataFrame) -> DataFrame:
     """``stats`` with ``base_failed`` and ``kept``."""
-    size = F.col("word_chars")
+    size = F.col("n_bytes")
     low, high = F.lit(WHOLE_BANDS[-1][1]), F.lit(WHOLE_BANDS[-1][2])
     for limit, lo, hi in reversed(WHOLE_BANDS[:-1]):
         low, high = F.when(size < limit, lo).otherwise(low), F.when(size < limit, hi).otherwise(high)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     in_band = F.col("zstd_ratio").between(low, high) & (F.col("chunks_out") <= CHUNK_SHARE * F.col("chunks"))
-    return stats.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & in_band)
+    return stats.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & in_band).drop("n_bytes")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
