@@ -153,3 +153,10 @@ def test_residual_identity_moves_with_the_source_line(spark):
     merged = [r for r in out if r["issues"] == 2][0]
     assert merged["generated_line"] == 77 and not merged["progress_bearing"]
     assert [r["progress_bearing"] for r in out if r["category"] == "PageTodo"] == [True]
+
+
+def test_case_forms_take_whole_names(spark, tmp_path):
+    from tidemark.catalog.scalars import x20
+
+    spark.createDataFrame([(1, "a" * 150 + " z", "B", "C")], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    assert x20(spark, str(tmp_path)).first().screaming == "A" * 150 + " Z_BC"

@@ -294,7 +294,7 @@ def x19(spark, sf):
        FROM (SELECT p_partkey, upper(left(p_name, 1)) || substr(p_name, 2) || p_brand || p_type AS v FROM part)""",
 )
 def x20(spark, sf):
-    v = F.concat(F.upper(F.left("p_name", F.lit(1))), F.substring("p_name", 2, 99), F.col("p_brand"), F.col("p_type"))
+    v = F.concat(F.upper(F.left("p_name", F.lit(1))), F.expr("substring(p_name, 2)"), F.col("p_brand"), F.col("p_type"))
     return table(spark, sf, "part").select("p_partkey", X.kebab(v).alias("kebab"), X.screaming_snake(v).alias("screaming"))
 
 
