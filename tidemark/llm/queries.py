@@ -13,8 +13,10 @@ from tidemark.llm.chat import chat_documents
 from tidemark.llm.common import fresh_folder
 from tidemark.llm.fingerprints import edited_fingerprints
 from tidemark.llm.langid import predict_languages
+from tidemark.llm.mixing import mix_plan
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.prefix_trie import rebuilt_trie
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.secret_scan import scan_secrets
 from tidemark.llm.token_files import read_token_files, write_token_files
@@ -136,3 +138,65 @@ def op9_near_dedup(spark, sf):
 @query("op10_quality")
 def op10_quality(spark, sf):
     return quality_rules(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query(
+    "op11_mixing",
+    r"""WITH u AS (SELECT doc_id, source, coalesce(md5(text), '') AS mark, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  units AS (SELECT *, floor(sqrt(size))::DOUBLE AS weight FROM u),
+  own AS (SELECT source, sum(size)::BIGINT AS source_size FROM units GROUP BY source),
+  numbered AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS w FROM own),
+  filled AS (SELECT *, 3 * source_size * sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+      <= (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS is_full FROM numbered),
+  targets AS (SELECT source, source_size, CASE WHEN is_full THEN (3 * source_size)::DOUBLE
+      ELSE ((sum(source_size) OVER () - sum(CASE WHEN is_full THEN 3 * source_size ELSE 0 END) OVER ()) * w)::DOUBLE / sum(CASE WHEN is_full THEN 0 ELSE w END) OVER () END AS target FROM filled),
+  classes AS (SELECT source, weight, sum(size)::DOUBLE AS words FROM units WHERE size > 0 GROUP BY ALL),
+  known AS (SELECT c.*, t.target, (t.target - 3 * coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight
+      >= 3 * sum(weight * words) OVER (PARTITION BY c.source ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS is_full
+    FROM classes c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source),
+  shares AS (SELECT *, CASE WHEN is_full THEN 3.0::DOUBLE ELSE least(3.0::DOUBLE, weight * ((target - 3 * sum(CASE WHEN is_full THEN words ELSE 0 END) OVER (PARTITION BY source)) / sum(CASE WHEN is_full THEN 0 ELSE weight * words END) OVER (PARTITION BY source))) END AS copies FROM known),
+  parts AS (SELECT *, floor(copies + 1e-9::DOUBLE) AS whole, greatest(0::DOUBLE, copies - floor(copies + 1e-9::DOUBLE)) AS odd FROM shares),
+  needs AS (SELECT *, target - sum(whole * words) OVER (PARTITION BY source) AS need FROM parts),
+  shared AS (SELECT u.doc_id, u.source, u.mark, u.size, coalesce(n.whole, 0) AS whole, n.odd, n.need,
+      (('0x' || substr(md5('mix|' || coalesce(u.doc_id::VARCHAR, '') || '|' || u.mark), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS r
+    FROM units u LEFT JOIN needs n ON u.source IS NOT DISTINCT FROM n.source AND u.weight = n.weight AND u.size > 0),
+  ranked AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY (r / (1 - r)) * ((1 - odd) / odd), doc_id NULLS FIRST, mark ROWS UNBOUNDED PRECEDING)::BIGINT AS cum FROM shared WHERE odd > 1e-9::DOUBLE),
+  used AS (SELECT source, max(cum) AS used FROM ranked WHERE cum <= need GROUP BY source),
+  opened AS (SELECT k.*, need - coalesce(used, 0) AS open FROM ranked k LEFT JOIN used s ON k.source IS NOT DISTINCT FROM s.source WHERE cum > need AND size <= need - coalesce(used, 0)),
+  few AS (SELECT *, row_number() OVER (PARTITION BY source, len(bin(size)) ORDER BY cum) AS nth FROM opened),
+  lists AS (SELECT source, any_value(open) AS open, list({'size': size, 'cum': cum} ORDER BY -size, cum) AS found FROM few WHERE nth <= 2 GROUP BY source),
+  more AS (SELECT source, unnest(list_reduce(found, lambda state, one: CASE WHEN one.size <= state.open THEN {'open': state.open - one.size, 'size': 0::BIGINT, 'cum': 0::BIGINT, 'cums': state.cums || [one.cum]} ELSE state END,
+      {'open': open, 'size': 0::BIGINT, 'cum': 0::BIGINT, 'cums': []::BIGINT[]}).cums) AS cum FROM lists),
+  decided AS (SELECT k.doc_id, k.source, k.size, k.whole + CASE WHEN k.cum <= k.need OR m.cum IS NOT NULL THEN 1 ELSE 0 END AS copies FROM ranked k LEFT JOIN more m ON k.source IS NOT DISTINCT FROM m.source AND k.cum = m.cum
+    UNION ALL SELECT doc_id, source, size, whole FROM shared WHERE coalesce(odd, 0) <= 1e-9::DOUBLE)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM decided d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source""",
+)
+def op11_mixing(spark, sf):
+    return mix_plan(table(spark, sf, "documents"), "doc_id", "source", "text").select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The CRC-32 of a decimal number, bit by bit.
+CRC32_SQL = "xor(4294967295, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT), lambda crc, byte: list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), xor(crc, byte)), 4294967295))"
+
+
+@query(
+    "op12_prefix_trie",
+    f"""WITH ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+  heads AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {CRC32_SQL} % 4 AS h FROM ids),
+  own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+  turns AS (SELECT h.conv_id, 0 AS part, o.pos, o.role, o.text FROM heads h JOIN own o ON o.conv_id = h.base AND o.pos <= h.h
+    UNION ALL SELECT h.conv_id, 1, o.pos, o.role, o.text FROM heads h JOIN own o ON o.conv_id = h.conv_id AND o.pos > h.h),
+  numbered AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, length(role) || ':' || role || length(text) || ':' || text AS said, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM turns),
+  prefixes AS (SELECT conv_id, depth, words, string_agg(said, chr(31)) OVER (PARTITION BY conv_id ORDER BY depth) AS so_far, lead(depth) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS last FROM numbered
+    UNION ALL SELECT conv_id, 0, 0, '', conv_id NOT IN (SELECT conv_id FROM numbered) FROM ids),
+  named AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, so_far) AS node FROM prefixes),
+  paths AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM named),
+  nodes AS (SELECT node AS conv_id, depth, any_value(parent) AS parent_conv_id, count(*) AS n_convs, any_value(words) AS words, string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE last) AS ends FROM paths GROUP BY node, depth),
+  kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+  full_nodes AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (conv_id, depth)),
+  below AS (SELECT p.node AS conv_id, p.depth, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.words)::BIGINT AS saved_tokens
+    FROM full_nodes f JOIN paths p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY ALL)
+SELECT f.conv_id, f.depth, f.parent_conv_id, f.n_convs, f.n_children, b.n_leaves, b.saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256 FROM full_nodes f JOIN below b USING (conv_id, depth)""",
+)
+def op12_prefix_trie(spark, sf):
+    return rebuilt_trie(table(spark, sf, "conversations"))
