@@ -18,6 +18,7 @@ from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.prefix_trie import rebuilt_trie
 from tidemark.llm.quality import quality_rules
+from tidemark.llm.ranked_search import build_index, search
 from tidemark.llm.secret_scan import scan_secrets
 from tidemark.llm.token_files import read_token_files, write_token_files
 from tidemark.llm.url_filter import host_of, judge_urls
@@ -200,3 +201,21 @@ SELECT f.conv_id, f.depth, f.parent_conv_id, f.n_convs, f.n_children, b.n_leaves
 )
 def op12_prefix_trie(spark, sf):
     return rebuilt_trie(table(spark, sf, "conversations"))
+
+
+@query(
+    "op13_ranked_search",
+    r"""WITH found AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+  tfs AS (SELECT doc_id, term, count(*) AS tf FROM found GROUP BY ALL),
+  lengths AS (SELECT doc_id, count(*) AS n FROM found GROUP BY ALL),
+  total AS (SELECT count(*) AS all_docs, sum(n)::BIGINT AS all_terms FROM lengths),
+  norms AS (SELECT doc_id, 100 - 75 + (75 * n * all_docs) // all_terms AS m FROM lengths, total),
+  weights AS (SELECT term, floor(1000 * ln((2 * any_value(all_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, total GROUP BY term),
+  asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+  items AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL),
+  scores AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM items JOIN tfs USING (term) JOIN weights USING (term) JOIN norms USING (doc_id) GROUP BY ALL)
+SELECT item_id, (row_number() OVER best)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0 WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 10""",
+)
+def op13_ranked_search(spark, sf):
+    folder = build_index(table(spark, sf, "documents"), fresh_folder(spark, "impact-index"), "doc_id", "text")
+    return search(spark, folder, table(spark, sf, "benchmark"), "item_id", "text", k=10)

@@ -33,16 +33,17 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverses
 
 
-def word_hashes(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of all texts in order, and where the words of each text begin (one more at the end).
+def word_spans(texts: list[bytes | None], lower: bool = False, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts as one run of bytes; begin, end and hash of every word; where the words of each text begin (one more at the end).
 
-    Null counts as empty. ``lower`` folds A-Z only.
+    A word is a maximal run of bytes that are not ``outside``, among which must be the line feed. Null counts as
+    empty. ``lower`` folds A-Z only.
     """
     joined = b"\n" + b"\n".join(t or b"" for t in texts) + b"\n"
     raw = np.frombuffer(joined, dtype=np.uint8)
     if lower:
         raw = LOWER[raw]
-    space = SPACE[raw]
+    space = outside[raw]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     begin, end = edge[0::2], edge[1::2]
     powers, inverses = _grown(len(raw))
@@ -52,7 +53,12 @@ def word_hashes(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndar
     hashes = mix64(spans ^ (end - begin).astype(np.uint64))
     sizes = np.fromiter((len(t or b"") + 1 for t in texts), dtype=np.int64, count=len(texts))
     doc_at = np.concatenate(([1], 1 + np.cumsum(sizes)))
-    return hashes, np.searchsorted(begin, doc_at)
+    return raw, begin, end, hashes, np.searchsorted(begin, doc_at)
+
+
+def word_hashes(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of all texts in order, and where the words of each text begin (one more at the end)."""
+    return word_spans(texts, lower)[3:]
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
