@@ -27,7 +27,7 @@ SWITCH_PENALTY = 25.0
 #: A language is a candidate for a script that holds at least this share of its training letters.
 SCRIPT_SHARE = 0.01
 SCORE_BYTES = 1 << 20
-VITERBI_BYTES = 8 << 20
+VITERBI_BYTES = 1 << 20
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -90,8 +90,8 @@ def viterbi(scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
     sizes = counts[order]
     steps = int(sizes[0]) if len(sizes) else 0
     alive = np.searchsorted(-sizes, -np.arange(steps), "left")  # texts with more words than the step
-    came = np.zeros(scores.shape, dtype=np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    came = np.zeros(scores.shape, dtype=np.int32 if scores.shape[1] > 32_000 else np.int16)
+    own = np.arange(scores.shape[1], dtype=came.dtype)
     state = np.zeros((len(sizes), scores.shape[1]), dtype=np.float64)
     for t in range(steps):
         m = alive[t]
@@ -105,8 +105,8 @@ def viterbi(scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
             state[:m] = np.where(change, jump[:, None], now) + scores[at]
         else:
             state[:m] = scores[at]
-    label = np.zeros(len(scores), dtype=np.int8)
-    current = state.argmax(axis=1).astype(np.int8) if len(sizes) else np.zeros(0, np.int8)
+    label = np.zeros(len(scores), dtype=came.dtype)
+    current = state.argmax(axis=1).astype(came.dtype) if len(sizes) else np.zeros(0, came.dtype)
     for t in range(steps - 1, -1, -1):
         m = alive[t]
         at = starts[:m] + t

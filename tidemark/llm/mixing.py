@@ -10,7 +10,7 @@ from tidemark.operators.ordered import bucketed, running_sum
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a source that one task ranks, about.
-RANK_ROWS = 1 << 16
+RANK_ROWS = 1 << 12
 #: Fractions of a copy below this are rounding.
 TINY = 1e-9
 

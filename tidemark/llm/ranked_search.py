@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import fresh_folder, slices
 from tidemark.llm.wordhash import word_spans
 
-#: The characters of a term, and the constants of its score.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The constants of a score.
 UNIT, TF_SCALE, NORM_SCALE, SLOPE = 1_000_000_000, 1000, 8, 75
 #: Bytes of texts in a shard, items searched together, entries of a list read first.
-SHARD_BYTES, BLOCK_ITEMS, FIRST_READ = 8 << 20, 1000, 64
+SHARD_BYTES, BLOCK_ITEMS, FIRST_READ = 2 << 20, 1000, 64
 SHARD_SCHEMA = "n_docs_all long, n_terms_all long, terms binary, starts binary, docs binary, gains binary, ids array<long>"
+#: Bytes that are part of no term: ASCII other than letters and digits.
 OUTSIDE = np.ones(256, dtype=bool)
 OUTSIDE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
@@ -31,6 +31,14 @@ def norms(n: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
     return 100 - SLOPE + SLOPE * n.astype(np.int64) * n_docs // max(1, n_terms)
 
 
+def term_counts(texts: list[bytes | None]) -> np.ndarray:
+    """The number of terms of each text."""
+    raw = OUTSIDE[np.frombuffer(b"\n" + b"\n".join(t or b"" for t in texts), dtype=np.uint8)]
+    begin = np.flatnonzero(raw[:-1] & ~raw[1:]) + 1
+    ends = np.cumsum(np.fromiter((len(t or b"") + 1 for t in texts), dtype=np.int64, count=len(texts)))
+    return np.diff(np.searchsorted(begin, np.concatenate(([0], ends)), "right"))
+
+
 def shard_of(texts: list[bytes | None], n_docs: int, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted term hashes, where the list of each begins, and all lists: documents and gains, greatest gain first.
 
@@ -55,8 +63,15 @@ def build_index(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     is a document of its own, with the ids it has, null included.
     """
     text = F.col(text_col).cast("string")
-    n = F.coalesce(F.regexp_count(text, F.lit(TERM)), F.lit(0)).cast("long")
-    n_docs, n_terms = docs.select(n.alias("n")).agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    def count(batches):
+        for batch in batches:
+            for at, upto in slices(batch.column(0), SHARD_BYTES):
+                n = term_counts(batch.column(0)[at:upto].cast(pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([int(np.count_nonzero(n))]), pa.array([int(n.sum())])], ["docs", "terms"])
+
+    totals = docs.select(text.alias("text")).mapInArrow(count, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
+    n_docs, n_terms = (v or 0 for v in totals)
     names = [c.split()[0] for c in SHARD_SCHEMA.split(", ")]
 
     def work(batches):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 from itertools import islice
 
@@ -28,11 +29,11 @@ class PieceEncoder:
     pre-tokeniser, whatever stands around it, so pieces encode alone as they do within the text; so do the two
     sides of a single line break, and the marks after a word of letters. Words of letters are one match and go to
     the vocabulary's model directly, other pieces through the whole tokenizer; texts with blanks side by
-    side are encoded whole. The cache, some 160 MB at ``most`` pieces, then keeps its older half: frequent pieces
+    side are encoded whole. The cache, some 70 MB at ``most`` pieces, then keeps its older half: frequent pieces
     came first.
     """
 
-    def __init__(self, path: str, glue: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, glue: str, most: int = 350_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -49,8 +50,6 @@ class PieceEncoder:
         return piece.removeprefix(self.glue).isalpha() and (bool(self.glue) or (max(piece) < "ɐ" and piece.lower().isalpha()))
 
     def _atoms(self, piece: str) -> list[str]:
-        if piece in self.known:
-            return [piece]
         if "\n" in piece:
             lines = piece.split("\n")
             if not self.glue:
@@ -65,19 +64,30 @@ class PieceEncoder:
         """Ids of each piece."""
         if len(self.known) > self.most:
             self.known = dict(islice(self.known.items(), self.most // 2 + 1))
-        known = self.known
-        found = [known.get(n) for n in names]
+        known, glue = self.known, self.glue
+        found = list(map(known.get, names))
         missing = [k for k, ids in enumerate(found) if ids is None]
-        split = [self._atoms(names[k]) for k in missing]
-        new = {a for atoms in split for a in atoms if a not in known}
-        words = [a for a in new if self._is_word(a)]
-        for word in words:
-            spelled = (word if self.glue else word.lower()).encode().decode("latin-1").translate(self.letters)
-            known[word] = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+        words, split = [], []
+        for k in missing:
+            name = names[k]
+            body = name[1:] if glue and name[:1] == glue else name
+            if body.isalpha() and (glue or body.isascii()):  # most pieces: one word, looked up once
+                words.append(name)
+                split.append(None)
+            else:
+                split.append(self._atoms(name))
+        new = {a for atoms in split if atoms for a in atoms if a not in known}
+        words += [a for a in new if self._is_word(a)]
         rest = list(new.difference(words))
+        tokenize, letters = self.model.tokenize, self.letters
+        for word in words:
+            spelled = word if glue else word.lower()
+            if glue or not word.isascii():
+                spelled = spelled.encode().decode("latin-1").translate(letters)
+            known[word] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
         known.update(zip(rest, self._whole(rest)))
         for k, atoms in zip(missing, split):
-            found[k] = b"".join([known[a] for a in atoms])
+            found[k] = known[names[k]] if atoms is None else b"".join([known[a] for a in atoms])
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +96,7 @@ class PieceEncoder:
         offsets = split.offsets.to_numpy()
         offsets, flat = offsets - offsets[0], split.flatten().dictionary_encode()
         codes, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
-        table = self.pieces([self.glue + n for n in names])
+        table = self.pieces([self.glue + n for n in names] if self.glue else names)
         if self.glue:  # the first piece of a text follows no blank
             first, at = np.unique(codes[offsets[:-1]], return_inverse=True)
             codes[offsets[:-1]] = len(table) + at
