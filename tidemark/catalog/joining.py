@@ -183,7 +183,7 @@ rules AS (
   SELECT CASE p_partkey % 6 WHEN 0 THEN 'UiTargets' WHEN 1 THEN 'Tables' WHEN 2 THEN 'Pagination' WHEN 3 THEN 'Methods' WHEN 4 THEN 'ParameterizedMethods' ELSE 'Scoped UiTargets' END AS section,
          CASE p_partkey % 6 WHEN 3 THEN lower(p_type) || '.' || replace(p_name, ' ', '.') || '(' || p_size || ')' WHEN 4 THEN 'x.' || lower(p_type) || '.' || replace(p_name, ' ', '.') || 'Row({a})'
               ELSE lower(p_type) || '.' || replace(p_name, ' ', '.') END AS key
-  FROM part WHERE p_size <= 6)"""
+  FROM part)"""
 
 
 def cover_tables(spark, sf):
@@ -193,7 +193,7 @@ def cover_tables(spark, sf):
     key = F.when(F.col("p_partkey") % 6 == 3, F.concat(e, F.lit("("), F.col("p_size").cast("string"), F.lit(")"))).when(
         F.col("p_partkey") % 6 == 4, F.concat(F.lit("x."), e, F.lit("Row({a})"))
     ).otherwise(e)
-    return p.select(e.alias("expression")).distinct(), p.where("p_size <= 6").select(section.alias("section"), key.alias("key"))
+    return p.select(e.alias("expression")).distinct(), p.select(section.alias("section"), key.alias("key"))
 
 
 @query(
@@ -211,8 +211,8 @@ def j09(spark, sf):
 
 
 EVIDENCE_SQL = """src AS (SELECT s_suppkey AS ord, 'page.n' || s_nationkey AS source_expr, CASE WHEN s_suppkey % 4 = 0 THEN 'xpath=' || n_name ELSE n_name || '-' || (s_suppkey % 3) END AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-cfg AS (SELECT c_custkey AS ord, CASE WHEN c_custkey % 5 = 0 THEN 'page.n' || c_nationkey ELSE 'page.x' || c_custkey END AS source_expr, '"' || lower(n_name) || '-' || (c_custkey % 7) || '"' AS target FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'MACHINERY'),
-gen AS (SELECT c_custkey AS ord, n_name || '-' || (c_custkey % 9) AS target, 'Page.GetByTestId("' || n_name || '-' || (c_custkey % 9) || '")' AS locator FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING')"""
+cfg AS (SELECT c_custkey AS ord, CASE WHEN c_custkey % 5 = 0 THEN 'page.n' || c_nationkey ELSE 'page.x' || c_custkey END AS source_expr, '"' || lower(n_name) || '-' || (c_custkey % 7) || '"' AS target FROM customer JOIN nation ON c_nationkey = n_nationkey),
+gen AS (SELECT c_custkey AS ord, n_name || '-' || (c_custkey % 9) AS target, 'Page.GetByTestId("' || n_name || '-' || (c_custkey % 9) || '")' AS locator FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 
 def evidence_sides(spark, sf):
@@ -225,13 +225,13 @@ def evidence_sides(spark, sf):
         F.col("s_suppkey").alias("ord"), F.concat(F.lit("page.n"), st("s_nationkey")).alias("source_expr"), F.lit("Id").alias("kind"),
         F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("xpath="), F.col("n_name"))).otherwise(F.concat("n_name", F.lit("-"), st(F.col("s_suppkey") % 3))).alias("value"),
     )
-    cfg = c.where("c_mktsegment = 'MACHINERY'").select(
+    cfg = c.select(
         k.alias("ord"), F.when(k % 5 == 0, F.concat(F.lit("page.n"), st("c_nationkey"))).otherwise(F.concat(F.lit("page.x"), st(k))).alias("source_expr"),
         F.concat(F.lit('"'), F.lower("n_name"), F.lit("-"), st(k % 7), F.lit('"')).alias("target"), F.when(k % 11 == 0, F.lit("RawExpression")).otherwise("TestId").alias("target_kind"),
         F.when(k % 13 == 0, F.lit("Nth")).alias("match_mode"), F.lit("global").alias("scope"),
     )
     value = F.concat("n_name", F.lit("-"), st(k % 9))
-    gen = c.where("c_mktsegment = 'BUILDING'").select(k.alias("ord"), F.concat(F.lit('Page.GetByTestId("'), value, F.lit('")')).alias("locator"), value.alias("target"))
+    gen = c.select(k.alias("ord"), F.concat(F.lit('Page.GetByTestId("'), value, F.lit('")')).alias("locator"), value.alias("target"))
     return src, cfg, gen
 
 
@@ -273,14 +273,14 @@ def j10(spark, sf):
 
 @query(
     "j11_resolve_rules",
-    """WITH r AS (SELECT p_name AS k, CASE WHEN p_size % 3 = 0 THEN p_type END AS scope, p_brand AS target, p_partkey AS layer_ord FROM part WHERE p_size < 12),
+    """WITH r AS (SELECT p_name AS k, CASE WHEN p_size % 3 = 0 THEN p_type END AS scope, p_brand AS target, p_partkey AS layer_ord FROM part),
     sc AS (SELECT scope, k, max_by(target, layer_ord) AS t FROM r WHERE scope IS NOT NULL GROUP BY 1, 2), gl AS (SELECT k, max_by(target, layer_ord) AS t FROM r WHERE scope IS NULL GROUP BY 1)
     SELECT p_partkey, coalesce(sc.t, gl.t) AS target, CASE WHEN sc.t IS NOT NULL THEN 'scope' WHEN gl.t IS NOT NULL THEN 'global' ELSE 'none' END AS origin
     FROM part LEFT JOIN sc ON sc.scope = p_type AND sc.k = p_name LEFT JOIN gl ON gl.k = p_name""",
 )
 def j11(spark, sf):
     p = table(spark, sf, "part")
-    rules = p.where("p_size < 12").select(
+    rules = p.select(
         F.col("p_name").alias("key"), F.when(F.col("p_size") % 3 == 0, F.col("p_type")).alias("scope"), F.col("p_brand").alias("target"), F.col("p_partkey").alias("layer_ord")
     )
     actions = p.select("p_partkey", F.col("p_name").alias("key"), F.col("p_type").alias("scope"))
@@ -380,19 +380,53 @@ def j17(spark, sf):
     return literals.paths_in_texts(docs, "doc_id", "text", known, "item_id", "path").select("item_id", "doc_id")
 
 
-@query(
-    "j18_link_failures",
-    r"""WITH f AS (SELECT doc_id AS obs, lower(w) AS tok FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[\p{L}\p{N}_]{4,}'))) AS w FROM documents)),
-    g AS (SELECT conv_id, turn, lower(w) AS tok FROM (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(text, '[\p{L}\p{N}_]{4,}'))) AS w FROM conversations)),
-    m AS (SELECT DISTINCT obs, conv_id, turn FROM f JOIN g USING (tok))
-    SELECT obs, min((conv_id, turn))[1] AS conv_id, min((conv_id, turn))[2] AS turn FROM m GROUP BY obs""",
-)
+FAILURE_LINK_SQL = r"""WITH obs AS (SELECT doc_id AS obs, CASE WHEN doc_id % 4 = 0 THEN 'T' || (doc_id + 1000) ELSE text END AS words,
+      CASE WHEN doc_id % 4 = 0 THEN text || chr(10) || '   at Run() in C:\build\gen\c' || (doc_id % 97) || '\turn' || (doc_id % 6) || '.cs:line ' || (doc_id % 40 + 1) ELSE text END AS snippet FROM documents),
+    gen AS (SELECT conv_id, turn, (conv_id, turn) AS file, 'gen/c' || conv_id || '/turn' || turn || '.cs' AS path, regexp_extract(text, '[A-Za-z_][A-Za-z0-9_]{3,}') || turn AS name,
+      'using x;' || chr(10) || replace(text, chr(10), chr(10) || 'b(); // Original: b // line ' || (turn * 10) || chr(10)) || chr(10) || 'c(); // Original: c // line ' || (conv_id + 1000) AS body FROM conversations),
+    rep AS (SELECT page_id AS report, html || CASE page_id % 3 WHEN 0 THEN chr(10) || 'Source file: `src/p' || page_id || '.cs`' WHEN 1 THEN '{"sourceFile": "src/q' || page_id || '.cs"}' ELSE '' END
+      || CASE WHEN page_id % 5 = 0 THEN ' turn' || (page_id % 3) || '.cs' ELSE '' END AS body FROM pages),
+    sourced AS (SELECT *, coalesce(nullif(trim(regexp_extract(body, '(?i)Source file:[ \t]*`?([^`\r\n]+\.cs)`?', 1)), ''), nullif(trim(regexp_extract(body, '(?i)"sourceFile(?:Path)?"\s*:\s*"([^"]+\.cs)"', 1)), '')) AS source_file FROM rep),
+    reports AS (SELECT * FROM sourced WHERE source_file IS NOT NULL),
+    framed AS (SELECT * FROM (SELECT obs, trim(regexp_extract(snippet, '(?i)\s+in\s+([^\r\n]+?\.cs):line\s+(\d+)', 1)) AS frame, TRY_CAST(regexp_extract(snippet, '(?i)\s+in\s+([^\r\n]+?\.cs):line\s+(\d+)', 2) AS BIGINT) AS line FROM obs) WHERE frame <> ''),
+    by_frame AS (SELECT obs, any_value(line) AS line, any_value(frame) AS frame, min(g.file) AS file FROM framed LEFT JOIN gen g ON ends_with(lower(replace(frame, '\', '/')), '/' || g.path) GROUP BY obs),
+    words AS (SELECT obs, tok FROM (SELECT DISTINCT obs, lower(unnest(regexp_extract_all(words, '[A-Za-z_][A-Za-z0-9_]{3,}'))) AS tok FROM obs) WHERE tok NOT IN ('failed', 'passed', 'test', 'name', 'error')),
+    gen_words AS (SELECT DISTINCT file, lower(unnest(regexp_extract_all(body, '[A-Za-z_][A-Za-z0-9_]{3,}'))) AS tok FROM gen),
+    firsts AS (SELECT tok, min((file, stage)) AS best FROM (
+      SELECT tok, file, 'token' AS stage FROM gen_words UNION ALL SELECT tok, file, 'name' FROM (SELECT DISTINCT tok FROM words) JOIN gen ON contains(lower(name), tok)) GROUP BY tok),
+    by_word AS (SELECT obs, min(best) AS best FROM words JOIN firsts USING (tok) WHERE obs NOT IN (SELECT obs FROM framed) GROUP BY obs),
+    base AS (SELECT obs, 'frame' AS stage, b.file, coalesce(path, frame) AS generated_path, line FROM by_frame b LEFT JOIN gen USING (file)
+      UNION ALL SELECT obs, best[2], best[1], path, NULL FROM by_word JOIN gen ON gen.file = best[1]),
+    bases AS (SELECT obs, lower(regexp_extract(replace(generated_path, '\', '/'), '[^/]*$')) AS b FROM base),
+    rep_words AS (SELECT tok, min(report) AS report FROM (SELECT report, lower(unnest(regexp_extract_all(body, '[A-Za-z_][A-Za-z0-9_]{3,}'))) AS tok FROM reports) GROUP BY tok),
+    rep_bases AS (SELECT b, min(report) AS report FROM (SELECT DISTINCT b FROM bases) JOIN reports ON contains(lower(body), b) GROUP BY b),
+    picked AS (SELECT obs, min(report) AS report FROM (SELECT obs, report FROM words JOIN rep_words USING (tok) UNION ALL SELECT obs, report FROM bases JOIN rep_bases USING (b)) GROUP BY obs),
+    marks AS (SELECT file, line_no, TRY_CAST(nullif(regexp_extract(l, '(?i)//\s*Original:.*//\s*line\s+(\d+)', 1), '') AS BIGINT) AS mark FROM
+      (SELECT file, unnest(ls) AS l, generate_subscripts(ls, 1) AS line_no FROM (SELECT file, string_split(replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS ls FROM gen))),
+    whole AS (SELECT o.obs, b.stage, b.file, b.generated_path, b.line, p.report, r.source_file FROM obs o LEFT JOIN base b USING (obs) LEFT JOIN picked p USING (obs) LEFT JOIN reports r USING (report)),
+    near AS (SELECT w.obs, max_by(mark, line_no) FILTER (WHERE line_no <= w.line) AS at_or_above, min_by(mark, line_no) AS first_mark FROM whole w JOIN marks m USING (file) WHERE mark IS NOT NULL AND report IS NULL GROUP BY w.obs)
+    SELECT obs, stage, file[1] AS conv_id, file[2] AS turn, generated_path, line AS generated_line, report, source_file, coalesce(at_or_above, first_mark) AS source_line
+    FROM whole LEFT JOIN near USING (obs) WHERE generated_path IS NOT NULL OR source_file IS NOT NULL"""
+
+
+@query("j18_link_failures", FAILURE_LINK_SQL)
 def j18(spark, sf):
-    from tidemark.operators.linking import link_by_tokens
-
-    obs = table(spark, sf, "documents").select(F.col("doc_id").alias("obs"), "text")
-    files = table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("file"), F.col("text").alias("body"))
-    return link_by_tokens(obs, "obs", "text", files, "file", "body").select("obs", "file.conv_id", "file.turn")
+    """Documents as failures (a quarter with a stack frame and a test name), turns as generated files, pages as reports."""
+    from tidemark.operators.linking import link_failures
+
+    st = lambda c: c.cast("string")
+    d, c, t, p = F.col("doc_id"), F.col("conv_id"), F.col("turn"), F.col("page_id")
+    frame = F.concat(F.col("text"), F.lit("\n   at Run() in C:\\build\\gen\\c"), st(d % 97), F.lit("\\turn"), st(d % 6), F.lit(".cs:line "), st(d % 40 + 1))
+    obs = table(spark, sf, "documents").select(d.alias("obs"), F.when(d % 4 == 0, F.concat(F.lit("T"), st(d + 1000))).otherwise(F.col("text")).alias("words"), F.when(d % 4 == 0, frame).otherwise(F.col("text")).alias("snippet"))
+    marked = F.replace(F.col("text"), F.lit("\n"), F.concat(F.lit("\nb(); // Original: b // line "), st(t * 10), F.lit("\n")))
+    generated = table(spark, sf, "conversations").select(
+        F.struct("conv_id", "turn").alias("file"), F.concat(F.lit("gen/c"), st(c), F.lit("/turn"), st(t), F.lit(".cs")).alias("path"),
+        F.concat(F.regexp_extract("text", r"[A-Za-z_][A-Za-z0-9_]{3,}", 0), st(t)).alias("name"),
+        F.concat(F.lit("using x;\n"), marked, F.lit("\nc(); // Original: c // line "), st(c + 1000)).alias("text"))
+    source = F.when(p % 3 == 0, F.concat(F.lit("\nSource file: `src/p"), st(p), F.lit(".cs`"))).when(p % 3 == 1, F.concat(F.lit('{"sourceFile": "src/q'), st(p), F.lit('.cs"}'))).otherwise("")
+    reports = table(spark, sf, "pages").select(p.alias("report"), F.concat("html", source, F.when(p % 5 == 0, F.concat(F.lit(" turn"), st(p % 3), F.lit(".cs"))).otherwise("")).alias("text"))
+    out = link_failures(obs, generated, reports)
+    return out.select("obs", "stage", "file.conv_id", "file.turn", "generated_path", "generated_line", "report", "source_file", "source_line")
 
 
 @query(
@@ -452,7 +486,7 @@ def j22(spark, sf):
 
 @query(
     "j23_memory_recall_matches",
-    """WITH targets AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS path FROM benchmark)
+    """WITH targets AS (SELECT item_id, text AS path FROM benchmark)
     SELECT item_id, doc_id, CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END::BIGINT AS priority FROM targets, documents WHERE contains(lower(text), lower(path))""",
 )
 def j23(spark, sf):
@@ -462,8 +496,7 @@ def j23(spark, sf):
         F.col("doc_id").alias("entry_id"), F.expr("CASE doc_id % 4 WHEN 0 THEN 'antipattern' WHEN 1 THEN 'warning' WHEN 2 THEN 'constraint' ELSE 'decision' END").alias("kind"),
         F.col("text"), F.lit("").alias("scope"), F.lit(False).alias("is_global"),
     )
-    path = F.array_join(F.slice(F.split("text", " ", -1), 1, 6), " ")
-    targets = table(spark, sf, "benchmark").select(F.col("item_id").alias("target_id"), path.alias("path"))
+    targets = table(spark, sf, "benchmark").select(F.col("item_id").alias("target_id"), F.col("text").alias("path"))
     out = recall(entries, targets)
     return out.select(F.col("target_id").alias("item_id"), F.col("entry_id").alias("doc_id"), F.col("priority").cast("bigint").alias("priority"))
 

@@ -47,24 +47,24 @@ MEMORY_TYPE = T.StructType([T.StructField("id", T.StringType()), T.StructField("
 
 
 def ledger_entries(spark, sf):
-    k = F.col("conv_id") * 100 + F.col("turn")
+    k = F.col("conv_id") * 3 + F.col("turn")
     doc = F.to_json(
         F.struct(
             F.when(k % 5 == 0, F.lit("")).otherwise(k.cast("string")).alias("id"), F.expr("CASE (conv_id + turn) % 3 WHEN 0 THEN 'selector' WHEN 1 THEN 'decision' ELSE 'warning' END").alias("kind"), F.col("text"),
             F.when(k % 11 == 0, F.lit("Deprecated")).otherwise(F.lit("active")).alias("status"), F.when(k % 2 == 0, F.array(F.lit("e"))).otherwise(F.array().cast("array<string>")).alias("evidence"),
         )
     )
-    rows = table(spark, sf, "conversations").select(F.col("role").alias("file"), k.alias("line_no"), doc.alias("j"))
-    lines = rows.select("file", "line_no", F.when(F.col("line_no") % 7 == 0, F.expr("substring(j, 1, length(j) - 4)")).otherwise(F.col("j")).alias("line"))
-    return parse_ledger(lines, "line", MEMORY_TYPE).withColumn("is_active", F.col("line_no") % 3 != 0)
+    rows = table(spark, sf, "conversations").select(F.concat_ws("/", "role", "conv_id").alias("file"), F.col("turn").alias("line_no"), k.alias("k"), doc.alias("j"))
+    lines = rows.select("file", "line_no", "k", F.when(F.col("k") % 7 == 0, F.expr("substring(j, 1, length(j) - 4)")).otherwise(F.col("j")).alias("line"))
+    return parse_ledger(lines, "line", MEMORY_TYPE).withColumn("is_active", F.col("k") % 3 != 0)
 
 
 @query(
     "c34_memory_doctor",
-    """WITH e AS (SELECT role AS file, conv_id * 100 + turn AS k, text, (conv_id + turn) % 3 AS kd FROM conversations)
-    SELECT file, k AS line_no, 'malformed-line' AS "check" FROM e WHERE k % 7 = 0 UNION ALL SELECT file, k, 'missing-field' FROM e WHERE k % 7 <> 0 AND (k % 5 = 0 OR trim(text) = '')
-    UNION ALL SELECT file, k, 'active-assertion-suppression' FROM e WHERE k % 7 <> 0 AND k % 3 <> 0 AND (contains(lower(text), 'the') OR contains(lower(text), 'der')) AND contains(lower(text), 'on') AND NOT contains(lower(text), 'with')
-    UNION ALL SELECT file, k, 'deprecated-active' FROM e WHERE k % 7 <> 0 AND k % 3 <> 0 AND k % 11 = 0 UNION ALL SELECT file, k, 'selector-without-evidence' FROM e WHERE k % 7 <> 0 AND kd = 0 AND k % 2 <> 0""",
+    """WITH e AS (SELECT role || '/' || conv_id AS file, turn, conv_id * 3 + turn AS k, text, (conv_id + turn) % 3 AS kd FROM conversations)
+    SELECT file, turn AS line_no, 'malformed-line' AS "check" FROM e WHERE k % 7 = 0 UNION ALL SELECT file, turn, 'missing-field' FROM e WHERE k % 7 <> 0 AND (k % 5 = 0 OR trim(text) = '')
+    UNION ALL SELECT file, turn, 'active-assertion-suppression' FROM e WHERE k % 7 <> 0 AND k % 3 <> 0 AND (contains(lower(text), 'the') OR contains(lower(text), 'der')) AND contains(lower(text), 'on') AND NOT contains(lower(text), 'with')
+    UNION ALL SELECT file, turn, 'deprecated-active' FROM e WHERE k % 7 <> 0 AND k % 3 <> 0 AND k % 11 = 0 UNION ALL SELECT file, turn, 'selector-without-evidence' FROM e WHERE k % 7 <> 0 AND kd = 0 AND k % 2 <> 0""",
 )
 def c34(spark, sf):
     return M.doctor(ledger_entries(spark, sf), unsafe=P.unsafe_suppression("text", ("the", "der"), ("on",), ("with",)))
@@ -72,27 +72,26 @@ def c34(spark, sf):
 
 @query(
     "c35_memory_recall",
-    """WITH t AS (SELECT item_id, array_to_string(string_split(text, ' ')[3:5], ' ') AS path FROM benchmark), e AS (SELECT conv_id * 100 + turn AS k, text, turn = 0 AND conv_id % 9 = 0 AS g FROM conversations)
-    SELECT item_id AS target_id, k AS entry_id, (CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 5 END)::BIGINT AS priority FROM t, e WHERE NOT g AND contains(lower(text), lower(path)) UNION ALL SELECT NULL, k, CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 5 END FROM e WHERE g""",
+    """WITH t AS (SELECT item_id, text AS path FROM benchmark), e AS (SELECT conv_id, turn, conv_id + turn AS k, text, turn = 0 AND conv_id % 9 = 0 AS g FROM conversations)
+    SELECT item_id AS target_id, conv_id, turn, (CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 5 END)::BIGINT AS priority FROM t, e WHERE NOT g AND contains(lower(text), lower(path)) UNION ALL SELECT NULL, conv_id, turn, CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 5 END FROM e WHERE g""",
 )
 def c35(spark, sf):
-    k = F.col("conv_id") * 100 + F.col("turn")
     entries = table(spark, sf, "conversations").select(
-        k.alias("entry_id"), F.expr("CASE (conv_id * 100 + turn) % 3 WHEN 0 THEN 'warning' WHEN 1 THEN 'preference' ELSE 'note' END").alias("kind"), "text", F.lit("").alias("scope"),
+        F.struct("conv_id", "turn").alias("entry_id"), F.expr("CASE (conv_id + turn) % 3 WHEN 0 THEN 'warning' WHEN 1 THEN 'preference' ELSE 'note' END").alias("kind"), "text", F.lit("").alias("scope"),
         ((F.col("turn") == 0) & (F.col("conv_id") % 9 == 0)).alias("is_global"),
     )
-    targets = table(spark, sf, "benchmark").select(F.col("item_id").alias("target_id"), F.array_join(F.slice(F.split("text", " ", -1), 3, 3), " ").alias("path"))
-    return M.recall(entries, targets).select("target_id", "entry_id", F.col("priority").cast("bigint").alias("priority"))
+    targets = table(spark, sf, "benchmark").select(F.col("item_id").alias("target_id"), F.col("text").alias("path"))
+    return M.recall(entries, targets).select("target_id", "entry_id.conv_id", "entry_id.turn", F.col("priority").cast("bigint").alias("priority"))
 
 
 @query(
     "c35_recall_receipts",
-    "SELECT lower(role) || '/' || (conv_id % 25) AS file_key, max(conv_id * 1000 + turn)::BIGINT AS recorded_at, max_by(turn, conv_id * 1000 + turn) AS matched FROM conversations GROUP BY 1",
+    "SELECT lower(role) || '/' || (conv_id % 25) AS file_key, max((conv_id, turn))[1] AS recorded_conv, max((conv_id, turn))[2] AS matched FROM conversations GROUP BY 1",
 )
 def c35b(spark, sf):
     name = F.concat(F.when(F.col("turn") % 2 == 0, F.upper("role")).otherwise(F.col("role")), F.when(F.col("turn") % 3 == 0, F.lit("\\")).otherwise(F.lit("/")), (F.col("conv_id") % 25).cast("string"))
-    r = table(spark, sf, "conversations").select(name.alias("file"), (F.col("conv_id") * 1000 + F.col("turn")).alias("recorded_at"), F.col("turn").alias("matched"))
-    return M.recall_receipts(r).select(F.col("_key").alias("file_key"), "recorded_at", "matched")
+    r = table(spark, sf, "conversations").select(name.alias("file"), F.struct("conv_id", "turn").alias("recorded_at"), F.col("turn").alias("matched"))
+    return M.recall_receipts(r).select(F.col("_key").alias("file_key"), F.col("recorded_at.conv_id").alias("recorded_conv"), "matched")
 
 
 @query(

@@ -13,7 +13,7 @@ from tidemark.plans import portfolio, profiles as P
 RX = lambda c: rf"regexp_replace({c}, '([\\.\[\]{{}}()*+?^$|#\-])', '\\\1', 'g')"
 PROFILE_SQL = EXPRESSION_SQL + rf""",
 rules AS (SELECT item_id AS rule_id, 'layer' || (item_id % 4) AS layer, CASE item_id % 3 WHEN 0 THEN 'UiTargets' WHEN 1 THEN 'TargetKnownIdentifiers' ELSE 'ParameterizedMethods' END AS section,
-   CASE item_id % 3 WHEN 0 THEN array_to_string(string_split(text, ' ')[1:(2 + item_id % 7)], ' ') WHEN 1 THEN regexp_extract(string_split(text, ' ')[4], '\w+', 0) ELSE string_split(text, ' ')[2] || ' ' || string_split(text, ' ')[3] || ' {{x}} ' || string_split(text, ' ')[4] || ' ' END AS key FROM benchmark),
+   CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN regexp_extract(string_split(text, ' ')[4], '\w+', 0) ELSE array_to_string(string_split(text, ' ')[1:len(string_split(text, ' ')) - 2], ' ') || ' {{x}} ' || string_split(text, ' ')[-1] END AS key FROM benchmark),
 hit AS (
   SELECT rule_id, doc_id, ((length(text) - length(replace(text, key, ''))) // length(key))::BIGINT AS hits FROM documents, rules WHERE section = 'UiTargets' AND contains(text, key)
   UNION ALL SELECT rule_id, doc_id, len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda t: t = key)) FROM documents, rules WHERE section = 'TargetKnownIdentifiers' AND contains(text, key)
@@ -33,8 +33,8 @@ def c03(spark, sf):
     k = F.col("item_id")
     w = lambda i: F.get("w", F.lit(i))
     key = (
-        F.when(k % 3 == 0, F.array_join(F.slice("w", F.lit(1), (k % 7 + 2).cast("int")), " ")).when(k % 3 == 1, F.regexp_extract(w(3), r"\w+", 0))
-        .otherwise(F.concat(w(1), F.lit(" "), w(2), F.lit(" {x} "), w(3), F.lit(" ")))
+        F.when(k % 3 == 0, F.col("text")).when(k % 3 == 1, F.regexp_extract(w(3), r"\w+", 0))
+        .otherwise(F.concat(F.array_join(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))), " "), F.lit(" {x} "), F.element_at("w", -1)))
     )
     rules = b.select(
         k.alias("rule_id"), F.concat(F.lit("layer"), (k % 4).cast("string")).alias("layer"),

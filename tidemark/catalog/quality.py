@@ -42,7 +42,7 @@ PROPOSAL_SQL = """j AS (SELECT 'page.' || replace(p_name, ' ', '.') || CASE p_pa
      'f/' || l_suppkey || '.cs' AS file, l_quantity::BIGINT AS q, l_linestatus, l_returnflag, l_tax, p_size FROM lineitem JOIN part ON l_partkey = p_partkey),
    unmapped AS (SELECT expr AS source_expr, file, sum(q)::BIGINT AS usages FROM j WHERE l_linestatus = 'F' GROUP BY ALL),
    unsupported AS (SELECT call AS text, file, count(*) AS cnt FROM j WHERE l_returnflag = 'R' GROUP BY ALL),
-   issues AS (SELECT file, CASE WHEN l_tax = 0 THEN 'Todo' WHEN l_tax = 0.01 THEN 'ScopeConflict' WHEN l_tax = 0.02 THEN 'PlaceholderLeftover' ELSE 'Other' END AS category FROM j WHERE p_size = 5),
+   issues AS (SELECT file, CASE WHEN l_tax = 0 THEN 'Todo' WHEN l_tax = 0.01 THEN 'ScopeConflict' WHEN l_tax = 0.02 THEN 'PlaceholderLeftover' ELSE 'Other' END AS category FROM j),
    rules AS (SELECT DISTINCT 'page.' || replace(p_name, ' ', '.') AS key FROM part WHERE p_size = 1 UNION SELECT DISTINCT 'page.' || replace(p_name, ' ', '') || '.' || p_type FROM part WHERE p_size = 2),
    b AS (SELECT *, CASE WHEN regexp_extract(text, '(\\w+(?:\\.\\w+)*?)\\.(\\w+)\\((.*)\\)', 2) = '' THEN text ELSE regexp_extract(text, '(\\w+(?:\\.\\w+)*?)\\.(\\w+)\\((.*)\\)', 1) || '.' || regexp_extract(text, '(\\w+(?:\\.\\w+)*?)\\.(\\w+)\\((.*)\\)', 2) END AS base,
        regexp_extract(text, '^(.*)\\((.*)\\)', 2) AS args FROM unsupported),
@@ -82,7 +82,7 @@ def c02(spark, sf):
     unmapped = j.where("l_linestatus = 'F'").groupBy("source_expr", "file").agg(F.sum("q").alias("usages"))
     unsupported = j.where("l_returnflag = 'R'").groupBy("text", "file").agg(F.count(F.lit(1)).alias("cnt"))
     category = F.expr("CASE WHEN l_tax = 0 THEN 'Todo' WHEN l_tax = 0.01 THEN 'ScopeConflict' WHEN l_tax = 0.02 THEN 'PlaceholderLeftover' ELSE 'Other' END")
-    issues = j.where("p_size = 5").select("file", category.alias("category"), F.lit("Warning").alias("severity"), F.lit("").alias("message"))
+    issues = j.select("file", category.alias("category"), F.lit("Warning").alias("severity"), F.lit("").alias("message"))
     rules = p.where("p_size = 1").select(name(".").alias("key")).union(p.where("p_size = 2").select(F.concat(name(""), F.lit("."), F.col("p_type")))).distinct()
     return P.propose_mappings(unmapped, unsupported, issues, rules)
 

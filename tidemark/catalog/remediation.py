@@ -51,14 +51,14 @@ def run_pairs(spark, sf):
 
 
 def residual_sides(spark, sf):
-    o = table(spark, sf, "orders").where("o_custkey % 2 = 0").select(F.col("o_custkey").alias("chain"), F.col("o_orderkey").alias("residual_id"), (F.col("o_orderstatus") != "P").alias("progress_bearing"), "o_orderpriority")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("chain"), F.col("o_orderkey").alias("residual_id"), (F.col("o_orderstatus") != "P").alias("progress_bearing"), "o_orderpriority")
     before = o.where("residual_id % 9 <> 0")
     after = o.where("residual_id % 7 <> 0")
     named = before.where("o_orderpriority = '1-URGENT'").select("chain", "residual_id")
     return before, after, named
 
 
-DECISION_SQL = """o AS (SELECT o_custkey AS chain, o_orderkey AS r, o_orderstatus <> 'P' AS bears, o_orderpriority FROM orders WHERE o_custkey % 2 = 0),
+DECISION_SQL = """o AS (SELECT o_custkey AS chain, o_orderkey AS r, o_orderstatus <> 'P' AS bears, o_orderpriority FROM orders),
     ch AS (SELECT chain, count(*) FILTER (bears AND r % 9 = 0 AND r % 7 <> 0) AS opened, count(*) FILTER (bears AND r % 9 <> 0 AND r % 7 = 0) AS closed, count(*) FILTER (bears AND r % 9 <> 0 AND o_orderpriority = '1-URGENT') AS named,
        count(*) FILTER (bears AND r % 9 <> 0 AND r % 7 = 0 AND o_orderpriority = '1-URGENT') AS named_closed FROM o GROUP BY 1),
     j AS (SELECT c_custkey AS k, coalesce(opened, 0) AS opened, coalesce(closed, 0) AS closed, coalesce(named, 0) AS named, coalesce(named_closed, 0) AS named_closed FROM customer LEFT JOIN ch ON chain = c_custkey),

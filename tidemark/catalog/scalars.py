@@ -196,10 +196,10 @@ def x11(spark, sf):
 
 @query(
     "x12_placeholder_regex",
-    r"""SELECT item_id, array_to_string(regexp_split_to_array(regexp_replace('Do({x}, ' || left(text, 40) || ') {name}', '([\\.\[\]()*+?^$|#\-])', '\\\1', 'g'), '\{[A-Za-z_][A-Za-z0-9_]*\}'), '.+?') AS regex FROM benchmark""",
+    r"""SELECT item_id, array_to_string(regexp_split_to_array(regexp_replace('Do({x}, ' || text || ') {name}', '([\\.\[\]()*+?^$|#\-])', '\\\1', 'g'), '\{[A-Za-z_][A-Za-z0-9_]*\}'), '.+?') AS regex FROM benchmark""",
 )
 def x12(spark, sf):
-    pattern = F.concat(F.lit("Do({x}, "), F.left("text", F.lit(40)), F.lit(") {name}"))
+    pattern = F.concat(F.lit("Do({x}, "), F.col("text"), F.lit(") {name}"))
     return table(spark, sf, "benchmark").select("item_id", X.placeholder_regex_col(pattern).alias("regex"))
 
 

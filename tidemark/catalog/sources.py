@@ -149,14 +149,15 @@ def s07(spark, sf):
 
 @query(
     "s08_latest_artifacts",
-    """SELECT role, (conv_id % 40)::BIGINT AS slot, max_by(md5(text), turn * 1000000 + conv_id) AS path, max(turn * 1000000 + conv_id)::BIGINT AS ts,
+    """SELECT role, (conv_id % 40)::BIGINT AS slot, max_by(md5(text), (turn, conv_id)) AS path, max((turn, conv_id))[1] AS newest_turn, max((turn, conv_id))[2] AS newest_conv,
           count(*) AS candidates, count(*) > 1 AS ambiguous FROM conversations GROUP BY 1, 2""",
 )
 def s08(spark, sf):
     files = table(spark, sf, "conversations").select(
-        "role", (F.col("conv_id") % 40).alias("slot"), (F.col("turn") * 1000000 + F.col("conv_id")).alias("t"), F.md5("text").alias("p")
+        "role", (F.col("conv_id") % 40).alias("slot"), F.struct("turn", "conv_id").alias("t"), F.md5("text").alias("p")
     )
-    return S.latest_artifacts(files, ["role", "slot"], "t", "p")
+    found = S.latest_artifacts(files, ["role", "slot"], "t", "p")
+    return found.select("*", F.col("ts.turn").alias("newest_turn"), F.col("ts.conv_id").alias("newest_conv")).drop("ts")
 
 
 @query(

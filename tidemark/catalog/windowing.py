@@ -166,12 +166,12 @@ def w09(spark, sf):
 
 @query(
     "w10_latest_by_key",
-    "SELECT lower(role) || (conv_id % 30) AS key, max(conv_id * 1000 + turn)::BIGINT AS at, md5(max_by(text, conv_id * 1000 + turn)) AS body FROM conversations GROUP BY 1",
+    "SELECT lower(role) || (conv_id % 30) AS key, max((conv_id, turn))[1] AS conv_id, max((conv_id, turn))[2] AS turn, md5(max_by(text, (conv_id, turn))) AS body FROM conversations GROUP BY 1",
 )
 def w10(spark, sf):
     name = F.concat(F.when(F.col("turn") % 2 == 0, F.upper("role")).otherwise(F.col("role")), (F.col("conv_id") % 30).cast("string"))
-    rows = table(spark, sf, "conversations").select(name.alias("name"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"), "text")
-    return W.latest_by_key(rows, F.lower("name"), "at").select(F.col("_key").alias("key"), "at", F.md5("text").alias("body"))
+    rows = table(spark, sf, "conversations").select(name.alias("name"), F.struct("conv_id", "turn").alias("at"), "text")
+    return W.latest_by_key(rows, F.lower("name"), "at").select(F.col("_key").alias("key"), "at.conv_id", "at.turn", F.md5("text").alias("body"))
 
 
 @query(

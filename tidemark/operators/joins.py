@@ -70,9 +70,16 @@ def pair_identities(src: DataFrame, tgt: DataFrame, keys: Sequence[str]) -> tupl
 
 
 def loss_checks(src: DataFrame, tgt: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Losses of paired tests. Both sides carry ``behavior``, ``assertions`` and ``cases`` counts."""
-    s = src.select(*keys, *[F.col(c).alias(f"s_{c}") for c in ("behavior", "assertions", "cases")])
-    t = tgt.select(*keys, *[F.col(c).alias(f"t_{c}") for c in ("behavior", "assertions", "cases")])
+    """Losses of paired tests. Both sides carry ``behavior``, ``assertions`` and ``cases`` counts.
+
+    A test is paired when it is single on both sides, as in ``pair_identities``; repeated ones are left out here.
+    """
+
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        counts = [F.first(c).alias(f"{mark}_{c}") for c in ("behavior", "assertions", "cases")]
+        return df.groupBy(*keys).agg(*counts, F.count("*").alias("_n")).where("_n = 1").drop("_n")
+
+    s, t = side(src, "s"), side(tgt, "t")
     found = matching_labels(
         [
             ("VacuumTest", (F.col("s_behavior") > 0) & (F.col("t_behavior") == 0)),
@@ -87,43 +94,25 @@ def loss_checks(src: DataFrame, tgt: DataFrame, keys: Sequence[str]) -> DataFram
 
 # Order in which sections cover an expression.
 COVERAGE_ORDER = {"UiTargets": 1, "Tables": 2, "Pagination": 3, "Methods": 4, "ParameterizedMethods": 5, "Scoped UiTargets": 6}
-DOTTED = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)++"
-
-
-def _covered_texts(section: Column, key: Column) -> Column:
-    """Every expression a rule key covers: itself, a method's name before its arguments, and, for a
-    parameterised pattern, each dotted text inside it (the pattern merely has to contain the expression)."""
-    name = F.substring_index(key, "(", 1)
-    dotted = F.regexp_extract_all(key, F.lit(DOTTED), F.lit(0))
-    pieces = F.flatten(
-        F.transform(
-            dotted,
-            lambda d: F.flatten(
-                F.transform(
-                    F.sequence(F.lit(1), F.length(d)),
-                    lambda i: F.transform(F.sequence(F.lit(1), F.length(d) - i + 1), lambda n: F.substring(d, i, n)),
-                )
-            ),
-        )
-    )
-    inside = F.filter(pieces, lambda p: F.rlike(p, F.lit(r"^[A-Za-z0-9_]+(?:\.[A-Za-z0-9_]+)*$")))
-    return F.array_distinct(
-        F.when(section == "ParameterizedMethods", F.concat(F.array(name), inside)).when(section == "Methods", F.array(key, name)).otherwise(F.array(key))
-    )
+DOTTED = r"^[A-Za-z0-9_]+(?:\.[A-Za-z0-9_]+)*+$"
 
 
 def coverage(expressions: DataFrame, rules: DataFrame, expr_col: str = "expression", section_col: str = "section", key_col: str = "key") -> DataFrame:
     """Section that covers each expression, by precedence; empty text when none does.
 
-    Rules expand to the expressions they cover (bounded by the length of a key), the
-    best section per expression is one aggregate, and the expressions join it once.
+    A rule covers the expression that is its key or, for methods, the name before its arguments; a parameterised
+    pattern also covers every dotted expression that it contains, found as literals in the patterns. Rules are reduced
+    to one row per covered text and section, and the expressions join once.
     """
     order = F.create_map(*[F.lit(x) for kv in COVERAGE_ORDER.items() for x in kv])
-    lookup = (
-        rules.where(F.length(F.trim(F.col(key_col))) > 0)
-        .select(F.col(section_col).alias("_s"), F.explode(_covered_texts(F.col(section_col), F.col(key_col))).alias(expr_col))
-        .groupBy(expr_col).agg(F.min(F.struct(F.try_element_at(order, F.col("_s")).alias("o"), F.col("_s").alias("s"))).alias("_best"))
-    )
+    own = rules.where(F.length(F.trim(F.col(key_col))) > 0).select(F.col(section_col).alias("_s"), F.col(key_col).alias("_rule"))
+    name = F.substring_index("_rule", "(", 1)
+    texts = F.array_distinct(F.when(F.col("_s") == "ParameterizedMethods", F.array(name)).when(F.col("_s") == "Methods", F.array(F.col("_rule"), name)).otherwise(F.array("_rule")))
+    direct = own.select("_s", F.explode(texts).alias(expr_col))
+    patterns = own.where(F.col("_s") == "ParameterizedMethods").select("_rule").distinct().withColumn("_pattern", F.col("_rule"))
+    dotted = expressions.select(expr_col).distinct().where(F.col(expr_col).rlike(DOTTED)).withColumn("_expr", F.col(expr_col))
+    inside = literal_hits(patterns, "_rule", "_pattern", dotted, expr_col, "_expr").select(F.lit("ParameterizedMethods").alias("_s"), expr_col).distinct()
+    lookup = direct.unionByName(inside).groupBy(expr_col).agg(F.min(F.struct(F.try_element_at(order, F.col("_s")).alias("o"), F.col("_s").alias("s"))).alias("_best"))
     return expressions.join(lookup, expr_col, "left").withColumn("covered_by", F.coalesce("_best.s", F.lit(""))).drop("_best")
 
 
@@ -161,8 +150,11 @@ def assign_scope(paths: DataFrame, scopes: Mapping[str, Sequence[str]], path_col
 
 
 def variants_with_run(variants: DataFrame, run: DataFrame, key: str) -> DataFrame:
-    """Variants with the run row of the same id, ignoring case; a missing one is kept and marked."""
-    r = run.select(F.lower(F.col(key)).alias("_k"), F.struct(*run.columns).alias("run"))
+    """Variants with the run row of the same id, ignoring case; a missing one is kept and marked.
+
+    Of several run rows with one id the smallest stands, so variants never multiply.
+    """
+    r = run.groupBy(F.lower(F.col(key)).alias("_k")).agg(F.min(F.struct(*run.columns)).alias("run"))
     return variants.withColumn("_k", F.lower(F.col(key))).join(r, "_k", "left").drop("_k").withColumn("missing", F.col("run").isNull())
 
 
@@ -172,9 +164,14 @@ NOT_IN_BASELINE, NO_BASELINE_HASH, NO_RUN_HASH, HASH_CHANGED, MISSING_FROM_RUN =
 )
 
 
-def contract_changes(run: DataFrame, baseline: DataFrame, key: str = "id", sha: str = "contract_hash") -> DataFrame:
-    """Scenarios whose contract is not the trusted one, with the reason. First row per id wins on both sides."""
-    first = lambda df, name: df.groupBy(F.lower(F.col(key)).alias("_k")).agg(F.min(F.struct(key, sha)).alias(name))
+def contract_changes(run: DataFrame, baseline: DataFrame, key: str = "id", sha: str = "contract_hash", ord_col: str | None = None) -> DataFrame:
+    """Scenarios whose contract is not the trusted one, with the reason. One row per id counts on both sides.
+
+    It is the first by ``ord_col`` where that is given, else the smallest by id and hash.
+    """
+    row = F.struct(key, sha)
+    pick = F.min(row) if ord_col is None else F.min_by(row, F.struct(ord_col, key, sha))
+    first = lambda df, name: df.groupBy(F.lower(F.col(key)).alias("_k")).agg(pick.alias(name))
     both = first(run, "_run").join(first(baseline, "_base"), "_k", "full_outer")
     blank = lambda c: F.coalesce(F.length(F.trim(c)), F.lit(0)) == 0
     base_sha, run_sha = F.col(f"_base.{sha}"), F.col(f"_run.{sha}")
@@ -221,7 +218,7 @@ def base_class_attributes(types: DataFrame) -> DataFrame:
 
 def resolve_calls(calls: DataFrame, methods: DataFrame, callee: str = "callee", symbol: str = "symbol") -> DataFrame:
     """Call edges with the method they reach; unresolved and out-of-source calls are told apart."""
-    known = methods.select(F.col(symbol).alias(callee), F.lit(True).alias("_in"))
+    known = methods.select(F.col(symbol).alias(callee)).distinct().withColumn("_in", F.lit(True))
     joined = calls.join(known, callee, "left")
     in_source = F.coalesce("_in", F.lit(False))
     state = F.when(~F.col("resolved"), "unresolved").when(in_source, "in-source").otherwise("external")

@@ -47,6 +47,18 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Seq
     return local.join(carried, [*keys, "_bucket"]).withColumn(out, F.coalesce("_prev", "_carry")).drop("_row", "_prev", "_carry")
 
 
+def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:
+    """The value of the nearest row of the key at or before each row where it is not null, across buckets; else null."""
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.withColumn("_value", value)
+    held = F.when(F.col("_value").isNotNull(), F.struct(*order))
+    ends = rows.groupBy(*keys, "_bucket").agg(F.max_by("_value", held).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_bucket", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    local = rows.withColumn("_own", F.last("_value", ignorenulls=True).over(upto(_local(keys, order))))
+    return local.join(carried, [*keys, "_bucket"]).withColumn(out, F.coalesce("_own", "_carry")).drop("_value", "_own", "_carry")
+
+
 def first_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``is_first``: whether a row is the first of its keys; an aggregate and an equi join, no window."""
     first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
