@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import part_of, quantile_bounds, shuffle_parts, slices
 from tidemark.llm.tokens import encoder_of
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 6 << 20
 #: A block ends with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 16
 BLOCK_SCHEMA = "part int, block int, before long, n_ids long, bits int, payload binary, doc_ids array<long>, doc_starts array<long>"
@@ -114,7 +114,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, vocabul
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of each document in the files; start counts the ids of all before it.
 
-    Blocks are read where they lie. The ids of all earlier parts come from a table of one row a part.
+    Blocks are read where they lie. The ids of all earlier parts come from a table of one row a part, at most as many
+    as a shuffle has partitions, which is broadcast: joined by a shuffle, every block would move.
     """
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(folder)
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("ids"))
@@ -130,5 +131,5 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(at, ends)]
                 yield pa.RecordBatch.from_arrays([doc_ids[row].values, pa.array(at + before[row].as_py()), pa.array(ends - at), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = blocks.join(earlier, "part").select((F.col("before") + F.col("earlier")).alias("before"), "n_ids", "bits", "payload", "doc_ids", "doc_starts")
+    placed = blocks.join(F.broadcast(earlier), "part").select((F.col("before") + F.col("earlier")).alias("before"), "n_ids", "bits", "payload", "doc_ids", "doc_starts")
     return placed.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
