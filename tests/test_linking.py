@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import joins as J
 from tidemark.operators.linking import NO_TEST_TOKENS, link_failures, origin_lines, resolve_frames
 from tidemark.operators.ordered import bucketed, last_known
+from tidemark.operators.windows import enclosing, snippets
 
 GENERATED = [
     (1, "gen/pages/LoginPage.cs", "LoginPage", "using x;\nOpen(); // Original: open() // line 12\nClick();\nFill(); // Original: fill() // line 30"),
@@ -104,5 +105,18 @@ def test_lookups_do_not_multiply(spark):
     assert got(ord_col="at") == [] and got() == [("s", "contract-changed")]
 
 
+def test_long_files_are_sliced(spark):
+    texts = {n: f"line {n} " for n in range(1, 2601)}
+    rows = [(f, n, t) for f in ("one", None) for n, t in texts.items()]
+    lines = spark.createDataFrame(rows, "file string, line_no int, line string").repartition(5)
+    got = {(r.file, r.line_no): r.snippet for r in snippets(lines, ["file"]).collect()}
+    assert got == {(f, n): "\n".join(texts[k].rstrip() for k in range(n - 2, n + 4) if k in texts) for f, n, _ in rows}
+    head = F.when(F.col("line_no") % 700 == 20, F.col("line_no"))
+    for back in (None, 18):
+        near = {(r.file, r.line_no): r.test for r in enclosing(lines, ["file"], head, back).collect()}
+        want = lambda n: max((k for k in range(20, n + 1, 700) if back is None or n - k <= back), default=None)  # noqa: B023, E731
+        assert near == {(f, n): want(n) for f, n, _ in rows}
+
+
 def test_stop_words():
     assert NO_TEST_TOKENS == ("failed", "passed", "test", "name", "error")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import rtrim_all, trim_all
-from tidemark.operators.ordered import bucketed, row_numbers, running_sum
+from tidemark.operators.ordered import bucketed, last_known, row_numbers, running_sum
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], layer_ord: str) -> DataFrame:
@@ -81,17 +81,33 @@ def member_header(line: Column | str) -> Column:
     return F.startswith(t, F.lit("public ")) | F.startswith(t, F.lit("private ")) | F.startswith(t, F.lit("protected "))
 
 
+#: Lines of a file that one task looks at together.
+LINES = 1024
+
+
 def enclosing(lines: DataFrame, keys: Sequence[str], header: Column, max_back: int | None = None, ord_col: str = "line_no", out: str = "test") -> DataFrame:
-    """Nearest header at or before each line, with ``max_back`` not farther back than so many lines. Per file."""
-    w = Window.partitionBy(*keys).orderBy(ord_col)
-    frame = w.rowsBetween(-max_back, 0) if max_back is not None else w.rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("_h", header).withColumn(out, F.last("_h", ignorenulls=True).over(frame)).drop("_h")
+    """Nearest header at or before each line, with ``max_back`` not farther back than so many lines.
+
+    Files are cut into slices of ``LINES`` lines and the last header of a slice is carried into the next, so one
+    long file spreads over tasks.
+    """
+    held = F.when(F.col("_h").isNotNull(), F.struct(F.col(ord_col).alias("at"), F.col("_h").alias("h")))
+    sliced = bucketed(lines.withColumn("_h", header), F.floor(F.col(ord_col) / LINES))
+    found = last_known(sliced, keys, [ord_col], held, "_near")
+    near = F.col("_near.h") if max_back is None else F.when(F.col(ord_col) - F.col("_near.at") <= max_back, F.col("_near.h"))
+    return found.withColumn(out, near).drop("_h", "_near", "_bucket")
 
 
 def snippets(lines: DataFrame, keys: Sequence[str], before: int = 2, after: int = 3, ord_col: str = "line_no", line_col: str = "line") -> DataFrame:
-    """Each line with its surroundings, right-trimmed and joined."""
-    w = Window.partitionBy(*keys).orderBy(ord_col).rowsBetween(-before, after)
-    return lines.withColumn("snippet", F.array_join(F.collect_list(rtrim_all(line_col)).over(w), "\n"))
+    """Each line with its surroundings, right-trimmed and joined; ``lines`` are all lines of a file.
+
+    Files are cut into slices of ``LINES`` lines, and the lines at the edge of a slice are copied to its neighbour.
+    """
+    at = F.col(ord_col)
+    copies = lines.withColumn("_slice", F.explode(F.sequence(F.floor((at - after) / LINES), F.floor((at + before) / LINES))))
+    w = Window.partitionBy(*keys, "_slice").orderBy(ord_col).rowsBetween(-before, after)
+    joined = copies.withColumn("snippet", F.array_join(F.collect_list(rtrim_all(line_col)).over(w), "\n"))
+    return joined.where(F.col("_slice") == F.floor(at / LINES)).drop("_slice")
 
 
 def no_progress_streak(
