@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import joins as J
 from tidemark.operators.linking import NO_TEST_TOKENS, link_failures, origin_lines, resolve_frames
+from tidemark.operators.facts import extract_types
 from tidemark.operators.ordered import bucketed, last_known
+from tidemark.operators.trees import flatten_actions
 from tidemark.operators.windows import enclosing, snippets
 
 GENERATED = [
@@ -118,5 +120,18 @@ def test_long_files_are_sliced(spark):
         assert near == {(f, n): want(n) for f, n, _ in rows}
 
 
+def test_types_of_a_long_file(spark):
+    text = ["namespace A.B"] + ["x();"] * 1500 + ["[One]", "", "[Two]", "class C : Base {"] + ["y();"] * 1021 + ["[Three]", "class D"]
+    lines = spark.createDataFrame([(i + 1, t) for i, t in enumerate(text)], "line_no int, line string").withColumn("file", F.lit(None).cast("string"))
+    got = [(r.class_name, r.base_class, r.namespace, r.attributes) for r in extract_types(lines, ["file"]).orderBy("line_no").collect()]
+    assert got == [("C", "Base", "A.B", ["One", "Two"]), ("D", None, "A.B", ["Three"])]
+
+
+def test_malformed_action_trees_become_rows(spark):
+    docs = [(1, '[{"kind":"a","then":[{"kind":"b"}]}]'), (2, "{bad"), (3, '{"kind":"a"}'), (4, '[{"kind":"a","body":[3]}]'), (5, '[{"kind":"a","else":"x"}]'), (6, None), (7, "")]
+    got = sorted((r.id, r.kind, list(r.action_path)) for r in flatten_actions(spark.createDataFrame(docs, "id int, j string"), "j", ["id"]).collect())
+    assert got == [(1, "a", [0]), (1, "b", [0, 0]), *[(i, "malformed", []) for i in (2, 3, 4, 5)]]
+
+
 def test_stop_words():
     assert NO_TEST_TOKENS == ("failed", "passed", "test", "name", "error")

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.windows import no_progress_streak, revisited
+from tidemark.operators.windows import batches, no_progress_streak, revisited
 from tidemark.plans.observations import sequence_reached
 from tidemark.streaming import feeds as S
 
@@ -52,10 +52,11 @@ def test_history_matches_the_batch_operators(spark, feed):
     s, batch = stream(spark, feed)
     # The file order follows time, so arrival order and event order agree across batches.
     run = lambda: S.run_available(S.remediation_history(s, "chain", "kind", "hash", ["ms", "id"], "view"))
-    out = {r["row_id"]: (r["streak"], r["is_cycle"]) for r in S.with_rocksdb(spark, run).collect()}
+    out = {r["row_id"]: (r["streak"], r["is_cycle"], r["batch"], r["in_batch"]) for r in S.with_rocksdb(spark, run).collect()}
     streak = no_progress_streak(batch, ["chain"], ["ms", "id"], "kind", F.floor(F.col("ms") / 3_600_000), "view").select("id", "streak")
     cyc = revisited(batch, ["chain"], "hash", ["ms", "id"]).select("id", "is_cycle")
-    want = {r["id"]: (r["streak"], r["is_cycle"]) for r in streak.join(cyc, "id").collect()}
+    parts = batches(batch, ["chain"], ["ms", "id"], F.floor(F.col("ms") / 3_600_000)).select("id", "batch", "in_batch")
+    want = {r["id"]: (r["streak"], r["is_cycle"], r["batch"], r["in_batch"]) for r in streak.join(cyc, "id").join(parts, "id").collect()}
     assert len(out) == len(want)
     assert sum(out[i] != want[i] for i in want) == 0
 

@@ -72,7 +72,7 @@ def st3(spark, sf):
     "st4_remediation_history",
     """WITH i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cycle, row_number() OVER (PARTITION BY user_id, props ORDER BY ts, event_id) > 1 AS is_cycle,
       sum(CASE WHEN event_type = 'view' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events)
-    SELECT user_id AS chain, event_id AS row_id, cycle, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS streak, is_cycle FROM i""",
+    SELECT user_id AS chain, event_id AS row_id, cycle, (cycle - 1) // 5 + 1 AS batch, (cycle - 1) % 5 + 1 AS in_batch, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS streak, is_cycle FROM i""",
 )
 def st4(spark, sf):
     e = events(spark, sf).withColumn("ms", F.unix_micros(S.utc("ts")))

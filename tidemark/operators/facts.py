@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import as_col, trim_all
+from tidemark.operators.ordered import bucketed, last_known, running_sum
 
 # Quoted text as runs between escapes in a possessive loop: the JVM matches it without recursion.
 LITERAL = r"\"[^\"\\]*(?:\\.[^\"\\]*)*+\""
@@ -122,18 +123,22 @@ USING_LINE = r"^\s*using\s+([\w.]+)\s*;"
 ATTRIBUTE = r"\[(\w+(?:\([^)]*\))?)\]"
 
 
+#: Lines of a file that one task looks at together.
+LINES = 1024
+
+
 def extract_types(lines: DataFrame, keys: Sequence[str], ord_col: str = "line_no", line_col: str = "line") -> DataFrame:
     """Class facts with base class, namespace, and the attributes on the lines right above.
 
     Attribute lines belong to the next class when only attribute or blank lines lie
-    between: a running count of other lines gives the run, one window per file.
+    between: a running count of other lines gives the run. Counts and namespaces run in slices of a file with
+    what came before carried in, so one long file spreads over tasks.
     """
     line = trim_all(line_col)
     name = F.regexp_extract(line, CLASS_LINE, 1)
     base = trim_all(F.substring_index(F.regexp_extract(line, CLASS_LINE, 2), ",", 1))
     is_class = name != ""
     is_attr = ~is_class & (F.startswith(line, F.lit("[")) | F.contains(line, F.lit("]")))
-    w = Window.partitionBy(*keys).orderBy(ord_col)
     facts = lines.select(
         *keys, F.col(ord_col).alias("line_no"), name.alias("class_name"), F.nullif(base, F.lit("")).alias("base_class"),
         is_class.alias("_class"), is_attr.alias("_attr"), (F.length(line) == 0).alias("_blank"),
@@ -141,13 +146,9 @@ def extract_types(lines: DataFrame, keys: Sequence[str], ord_col: str = "line_no
         F.when(is_attr, F.regexp_extract_all(line, F.lit(ATTRIBUTE), F.lit(1))).alias("_attrs"),
     ).where(F.col("_class") | F.col("_attr") | ~F.col("_blank"))
     other = F.when(F.col("_attr"), 0).otherwise(1)
-    runs = facts.withColumns(
-        {
-            # Lines of one run share the number of non-attribute lines before them.
-            "_run": F.sum(other).over(w) - other,
-            "namespace": F.last("_ns", ignorenulls=True).over(w),
-        }
-    ).where(F.col("_class") | F.col("_attr"))
+    sliced = bucketed(facts, F.floor(F.col("line_no") / LINES))
+    counted = running_sum(sliced, keys, ["line_no"], other, "_run").withColumn("_run", F.col("_run") - other)  # lines of one run share the number of other lines before them
+    runs = last_known(counted, keys, ["line_no"], F.col("_ns"), "namespace").where(F.col("_class") | F.col("_attr"))
     wr = Window.partitionBy(*keys, "_run")
     merged = runs.withColumn("attributes", F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("_attrs", F.array().cast("array<string>"))).over(wr)))))
     return merged.where("_class").select(*keys, "line_no", "class_name", "base_class", F.coalesce("namespace", F.lit("")).alias("namespace"), "attributes")

@@ -14,7 +14,8 @@ def flatten_actions(df: DataFrame, json_col: str, keys: Sequence[str], branches:
     """Rows (keys, ord, action_path, kind, expr, is_container) of a column of JSON action lists.
 
     Spark has no recursive type, so the walk over one document runs in an Arrow batch
-    function; documents are spread as Spark partitions them and nothing is shuffled.
+    function; documents are spread as Spark partitions them and nothing is shuffled. A document that is no list of
+    objects gives one row of kind ``malformed`` with the reason and no path; a null or empty one gives no row.
     """
     names = list(keys)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*names).schema.fields)
@@ -28,10 +29,22 @@ def flatten_actions(df: DataFrame, json_col: str, keys: Sequence[str], branches:
         for pdf in batches:
             rows = []
             for rec in pdf.to_dict("records"):
-                todo = [((i,), node) for i, node in reversed(list(enumerate(json.loads(rec[json_col] or "[]"))))]
+                start = len(rows)
+                try:
+                    tree = json.loads(rec[json_col] or "[]")
+                    if not isinstance(tree, list):
+                        raise ValueError("not a list of actions")
+                    todo = [((i,), node) for i, node in reversed(list(enumerate(tree)))]
+                except ValueError as e:
+                    rows.append([*(rec[k] for k in names), 0, [], "malformed", str(e), False])
+                    continue
                 n = 0
                 while todo:
                     path, node = todo.pop()
+                    if not isinstance(node, dict) or any(not isinstance(node.get(b, []), list) for b in order):
+                        del rows[start:]
+                        rows.append([*(rec[k] for k in names), 0, [], "malformed", f"no action at {'.'.join(map(str, path))}", False])
+                        break
                     children = [c for b in order for c in node.get(b, [])]
                     rows.append([*(rec[k] for k in names), n, list(path), node.get("kind"), node.get("expr"), any(b in node for b in order)])
                     n += 1

@@ -146,15 +146,16 @@ def failure_counts(lines: DataFrame, ts: str, line: str, width: str, delay: str,
 # --- ST4: remediation history ------------------------------------------------------------------------------
 
 
-def remediation_history(evals: DataFrame, chain: str, decision: str, state_hash: str, order: Sequence[str], no_progress: str = "REJECT_NO_PROGRESS", accept: str = "ACCEPT") -> DataFrame:
-    """Cycle number, no-progress streak and revisit flag of each evaluation as it arrives.
+def remediation_history(evals: DataFrame, chain: str, decision: str, state_hash: str, order: Sequence[str], no_progress: str = "REJECT_NO_PROGRESS", budget: int = 5) -> DataFrame:
+    """Cycle number, batch of ``budget`` cycles and place in it, no-progress streak and revisit flag of each evaluation as it arrives.
 
     Visited states live in a keyed map state, so a chain's history is probed by key and
-    never loaded whole. Needs the RocksDB state store.
+    never loaded whole. Within a micro-batch evaluations are taken in ``order``; one that comes in a later micro-batch
+    counts after those before it. Needs the RocksDB state store.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    out = T.StructType([T.StructField("chain", T.LongType()), T.StructField("row_id", T.LongType()), T.StructField("cycle", T.LongType()), T.StructField("streak", T.LongType()), T.StructField("is_cycle", T.BooleanType())])
+    out = T.StructType([T.StructField("chain", T.LongType()), T.StructField("row_id", T.LongType()), T.StructField("cycle", T.LongType()), T.StructField("batch", T.LongType()), T.StructField("in_batch", T.LongType()), T.StructField("streak", T.LongType()), T.StructField("is_cycle", T.BooleanType())])
     stalled = no_progress
 
     class History(StatefulProcessor):
@@ -173,9 +174,9 @@ def remediation_history(evals: DataFrame, chain: str, decision: str, state_hash:
                 seen = self._visited.containsKey((rec["hash"],))
                 if not seen:
                     self._visited.updateValue((rec["hash"],), (cycle,))
-                result.append((key[0], rec["o2"], cycle, streak, seen))
+                result.append((key[0], rec["o2"], cycle, (cycle - 1) // budget + 1, (cycle - 1) % budget + 1, streak, seen))
             self._counters.update((cycle, streak))
-            yield pd.DataFrame(result, columns=["chain", "row_id", "cycle", "streak", "is_cycle"])
+            yield pd.DataFrame(result, columns=["chain", "row_id", "cycle", "batch", "in_batch", "streak", "is_cycle"])
 
         def close(self) -> None:
             pass
