@@ -242,19 +242,27 @@ SHAPES = {
         'Assert.assertEquals("{x}", driver.findElement(By.id("{w}")).getText());', 'assertTrue(driver.findElement({w}Box).getText().contains("{x}"));',
         'driver.get("https://host/{w}");', 'wait.until(ExpectedConditions.visibilityOfElementLocated(By.xpath("{x}")));',
         'WebElement {w} = driver.findElement(By.name("{x}"));', 'assertThat({w}.getText()).isEqualTo("{x}");', "{w}.click();",
-        "LoginPage page = new LoginPage(driver);", "{x}",
+        "LoginPage page = new LoginPage(driver);",
+        'assertTrue(driver.findElement(By.className("{w}")).isDisplayed());', 'assertFalse(driver.findElement(By.linkText("{x}")).isDisplayed());', "assertThat({w}.isDisplayed()).isFalse();",
+        'assertNotEquals("{x}", {w}.getText());', 'assertThat({w}.getText()).doesNotContain("{x}");', 'assertThat({w}.getText(), is(not(equalTo("{x}"))));',
+        'wait.until(ExpectedConditions.invisibilityOfElementLocated(By.partialLinkText("{x}")));', 'wait.until(ExpectedConditions.textToBePresentInElementLocated(By.id("{w}"), "{x}"));',
+        "private LoginPage {w};", "{x}",
     ),
     "python": (
         'self.driver.find_element(By.ID, "{x}").click()', 'driver.find_element(By.NAME, "{x}").send_keys("{w}")', 'driver.find_element_by_id("{x}").clear()',
         'assert driver.find_element(By.ID, "{w}").text == "{x}"', 'assert "{x}" in {w}.text', 'driver.get("{x}")',
         'WebDriverWait(driver, 5).until(EC.visibility_of_element_located((By.ID, "{x}")))', 'self.assertEqual("{x}", self.{w}.text)',
-        "{w}.click()", 'box = driver.find_element(By.ID, "{x}")', "super().setUp()", "{x}",
+        "{w}.click()", 'box = driver.find_element(By.ID, "{x}")', "super().setUp()",
+        'self.assertNotIn("{x}", self.{w}.text)', 'assert driver.find_element(By.CSS_SELECTOR, "{w}").text != "{x}"', 'assert "{x}" not in {w}.text', "assert not {w}.is_displayed()",
+        'self.assertFalse(driver.find_element_by_xpath("{x}").is_displayed())', 'WebDriverWait(driver, 5).until_not(EC.presence_of_element_located((By.LINK_TEXT, "{x}")))',
+        'wait.until(EC.text_to_be_present_in_element((By.NAME, "{w}"), "{x}"))', 'wait.until(EC.invisibility_of_element_located((By.ID, "{x}")))', "{x}",
     ),
     "csharp": (
         'Driver.FindElement(By.Id("{x}")).Click();', 'Driver.FindElement(By.Name("{x}")).SendKeys("{w}");', "page.{w}.Items.ElementAt(0).Text.Get();",
         "page.{w}.Items.Count.Get().Should().Be(3);", "page.{w}.Items.ElementAt(i);", "page.Pagination.Forward();",
         'var page = Navigation.OpenPage<{w}Page>("{x}");', 'Driver.Navigate().GoToUrl("{x}");', 'var e = Driver.FindElement(By.XPath("{x}"));',
-        'Assert.That("{x}", Is.Empty);', "Driver.FindElement(By.Id({w} + i));", "{x}",
+        'Assert.That("{x}", Is.Empty);', "Driver.FindElement(By.Id({w} + i));",
+        "page.{w}.Items.Count.Get().Should().NotBe(3);", 'Assert.IsFalse("{x}".Contains("{w}"));', 'Driver.FindElement(By.CssSelector("{x}"));', "{x}",
     ),
 }
 
@@ -280,38 +288,48 @@ shaped_base AS (SELECT doc_id, source, line_no, replace(line, '"', '') AS x, 'w'
 shaped AS (SELECT *, CASE (doc_id + line_no) % {n} {cases} END AS line FROM shaped_base)"""
 
 
-# What each shape says, written by hand: kind, confidence, target and value in SQL over x and w.
+# What each shape says, written by hand: kind, target and value in SQL over x and w, locator kind, whether it is negated, state.
 SAID = {
     "java": (
-        ("click-direct", "Semantic", "x", "''"), ("send-keys-direct", "Semantic", "x", "w"), ("clear-stored", "Semantic", "w || 'Field'", "''"), ("assert-text-direct", "Semantic", "w", "x"),
-        ("assert-contains-stored", "Semantic", "w || 'Box'", "x"), ("navigation", "Semantic", "'https://host/' || w", "''"), ("wait-direct", "Semantic", "x", "''"), ("element-declaration", "Semantic", "x", "''"),
-        ("assert-that-text-variable", "Semantic", "w", "x"), ("click-variable", "Semantic", "w", "''"), ("page-object", "Semantic", "'LoginPage'", "''"),
+        ("click-direct", "x", "''", "Id"), ("send-keys-direct", "x", "w", "CssSelector"), ("clear-stored", "w || 'Field'"), ("assert-text-direct", "w", "x", "Id"),
+        ("assert-contains-stored", "w || 'Box'", "x"), ("navigation", "'https://host/' || w"), ("wait-direct", "x", "''", "XPath", False, "visible"), ("element-declaration", "x", "''", "Name"),
+        ("assert-that-text-variable", "w", "x"), ("click-variable", "w"), ("page-object", "'LoginPage'"),
+        ("assert-displayed-direct", "w", "''", "ClassName"), ("assert-displayed-direct", "x", "''", "LinkText", True), ("assert-displayed-variable", "w", "''", "", True),
+        ("assert-text-variable", "w", "x", "", True), ("assert-that-contains-variable", "w", "x", "", True), ("assert-that-text-variable", "w", "x", "", True),
+        ("wait-direct", "x", "''", "PartialLinkText", True, "visible"), ("wait-direct", "w", "x", "Id", False, "text"), ("page-field", "'LoginPage'", "w"),
     ),
     "python": (
-        ("click-direct", "Semantic", "x", "''"), ("send-keys-direct", "Semantic", "x", "w"), ("clear-direct", "Semantic", "x", "''"), ("assert-text-direct", "Semantic", "w", "x"),
-        ("assert-contains-variable", "Semantic", "w", "x"), ("navigation", "Semantic", "x", "''"), ("wait-direct", "Semantic", "x", "''"), ("assert-text-variable", "Semantic", "'self.' || w", "x"),
-        ("click-variable", "Semantic", "w", "''"), ("element-declaration", "Semantic", "x", "''"), ("setup-super", "Semantic", "''", "''"),
+        ("click-direct", "x", "''", "Id"), ("send-keys-direct", "x", "w", "Name"), ("clear-direct", "x", "''", "Id"), ("assert-text-direct", "w", "x", "Id"),
+        ("assert-contains-variable", "w", "x"), ("navigation", "x"), ("wait-direct", "x", "''", "Id", False, "visible"), ("assert-text-variable", "'self.' || w", "x"),
+        ("click-variable", "w"), ("element-declaration", "x", "''", "Id"), ("setup-super", "''"),
+        ("assert-contains-variable", "'self.' || w", "x", "", True), ("assert-text-direct", "w", "x", "CssSelector", True), ("assert-contains-variable", "w", "x", "", True), ("assert-displayed-variable", "w", "''", "", True),
+        ("assert-displayed-direct", "x", "''", "XPath", True), ("wait-direct", "x", "''", "LinkText", True, "present"), ("wait-direct", "w", "x", "Name", False, "text"), ("wait-direct", "x", "''", "Id", True, "visible"),
     ),
     "csharp": (
-        ("click", "Semantic", "x", "''"), ("send-keys", "Semantic", "x", "w"), ("table-row-text", "Semantic", "'0'", "''"), ("table-count", "Semantic", "'Be'", "'3'"), ("table-row", "Semantic", "'i'", "''"),
-        ("pagination-forward", "Semantic", "''", "''"), ("open-page", "Semantic", "x", "''"), ("navigation", "Semantic", "x", "''"), ("find-element", "Semantic", "x", "''"), ("assertion", "Semantic", "'That'", "''"),
-        ("find-element-dynamic", "SyntaxFallback", "w || ' + i'", "''"),
+        ("click", "x", "''", "Id"), ("send-keys", "x", "w", "Name"), ("table-row-text", "'0'"), ("table-count", "'Be'", "'3'"), ("table-row", "'i'"),
+        ("pagination-forward", "''"), ("open-page", "x"), ("navigation", "x"), ("find-element", "x", "''", "XPath"), ("assertion", "'That'"),
+        ("find-element-dynamic", "w || ' + i'", "''", "Id"), ("table-count", "'NotBe'", "'3'", "", True), ("assertion", "'IsFalse'", "''", "", True), ("find-element", "x", "''", "CssSelector"),
     ),
 }
 
 
 def actions_sql(language):
-    pick = lambda k: "CASE (doc_id + line_no) % 12 " + " ".join(f"WHEN {i} THEN " + (f"'{said[k]}'" if k < 2 else said[k]) for i, said in enumerate(SAID[language])) + " END"
+    default = ("", "", "''", "", False, "")
+    rows = [(*said, *default[len(said):]) for said in SAID[language]]
+    n = len(rows) + 1
+    pick = lambda k: f"CASE (doc_id + line_no) % {n} " + " ".join(f"WHEN {i} THEN {k(said)}" for i, said in enumerate(rows)) + " END"
+    text = lambda x: f"'{x}'"
     return f"""WITH {shaped_sql(language)}
-    SELECT doc_id, line_no::BIGINT AS line_no, {pick(0)} AS kind, {pick(1)} AS confidence, {pick(2)} AS target, {pick(3)} AS value
-    FROM shaped WHERE (doc_id + line_no) % 12 < 11"""
+    SELECT doc_id, line_no::BIGINT AS line_no, {pick(lambda r: text(r[0]))} AS kind, {pick(lambda r: text("SyntaxFallback" if r[0].endswith("dynamic") else "Semantic"))} AS confidence,
+      {pick(lambda r: r[1])} AS target, {pick(lambda r: r[2])} AS value, {pick(lambda r: text(r[3]))} AS locator_kind, {pick(lambda r: str(r[4]).lower())} AS negated, {pick(lambda r: text(r[5]))} AS state
+    FROM shaped WHERE (doc_id + line_no) % {n} < {n - 1}"""
 
 
 def _actions(number, language):
     @query(f"p{number}_extract_actions_{language}", actions_sql(language))
     def run(spark, sf):
         return extract_actions(shaped_lines(spark, sf, language), language).select(
-            "doc_id", F.col("line_no").cast("bigint").alias("line_no"), "kind", "confidence", "target", "value"
+            "doc_id", F.col("line_no").cast("bigint").alias("line_no"), "kind", "confidence", "target", "value", "locator_kind", "negated", "state"
         )
 
     return run

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import trim_all
+from tidemark.operators.facts import common_kind
 
 # Quoted text as runs between escapes in a possessive loop: the JVM matches it without recursion.
 DOUBLE = r'"[^"\\]*(?:\\.[^"\\]*)*+"'
@@ -36,7 +37,10 @@ class Dialect:
     reads: Mapping[str, str]
     asserts: Sequence[str] = ()
     matchers: Sequence[str] = ()
-    conditions: Sequence[str] = ()
+    conditions: Mapping[str, str] = field(default_factory=dict)
+    absent: Sequence[str] = ()
+    containing: Sequence[str] = ()
+    negations: str = ""
     browsers: Sequence[str] = ()
     visits: Sequence[str] = ()
     self_names: Sequence[str] = ("this",)
@@ -49,18 +53,32 @@ class Dialect:
 # Names of calls and conditions of the three source languages and the labels of the facts.
 JAVA = Dialect(
     literal=DOUBLE, finders=("findElement", "findElements"), actions={"click": "click", "sendKeys": "send-keys", "clear": "clear"}, reads={"getText": "text", "isDisplayed": "displayed"},
-    asserts=("assertEquals", "assertTrue", "assertFalse", "assertThat"), matchers=("contains", "is", "equalTo", "containsString", "isEqualTo"),
-    conditions=("visibilityOf", "invisibilityOf", "visibilityOfElementLocated", "invisibilityOfElementLocated", "presenceOfElementLocated", "elementToBeClickable"),
+    asserts=("assertEquals", "assertNotEquals", "assertTrue", "assertFalse", "assertThat"), matchers=("contains", "is", "equalTo", "containsString", "isEqualTo", "isNotEqualTo", "doesNotContain"),
+    containing=("contains", "containsString", "doesNotContain"),
+    negations=r"(?<!\w)(?:assertFalse|assertNotEquals|isFalse|isNotEqualTo|doesNotContain|not)\s*\(|(?<=[(,])\s*false\s*(?=[,)])|(?<=[(,&|])\s*!\s*(?=[\w(])",
+    conditions={
+        "visibilityOf": "visible", "invisibilityOf": "visible", "visibilityOfElementLocated": "visible", "invisibilityOfElementLocated": "visible", "presenceOfElementLocated": "present", "elementToBeClickable": "clickable",
+        "stalenessOf": "attached", "textToBePresentInElement": "text", "textToBePresentInElementLocated": "text", "textToBePresentInElementValue": "value",
+    },
+    absent=("invisibilityOf", "invisibilityOfElementLocated", "stalenessOf", "not"),
     browsers=("driver", "webDriver", "browser"), visits=("get", "to"), declares=r"^\s*(?:WebElement|var)\s+\w+\s*=", extra=("until",),
 )
 PYTHON = Dialect(
     literal=f"(?:{DOUBLE}|{SINGLE})", finders=("find_element", "find_element_by_id", "find_element_by_name", "find_element_by_class_name", "find_element_by_css_selector", "find_element_by_xpath", "find_element_by_link_text", "find_element_by_partial_link_text"),
     actions={"click": "click", "send_keys": "send-keys", "clear": "clear"}, reads={"is_displayed": "displayed"}, properties=("text",),
-    asserts=("assertEqual", "assertTrue", "assertFalse", "assertIn", "assertNotIn"),
-    conditions=("visibility_of_element_located", "invisibility_of_element_located", "presence_of_element_located", "presence_of_all_elements_located", "element_to_be_clickable", "visibility_of", "invisibility_of", "staleness_of", "text_to_be_present_in_element", "text_to_be_present_in_element_value"),
+    asserts=("assertEqual", "assertNotEqual", "assertTrue", "assertFalse", "assertIn", "assertNotIn"),
+    negations=r"(?<!\w)(?:assertFalse|assertNotEqual|assertNotIn)\s*\(|(?<![\w.])(?:not|False)(?!\w)|!=",
+    conditions={
+        "visibility_of_element_located": "visible", "invisibility_of_element_located": "visible", "presence_of_element_located": "present", "presence_of_all_elements_located": "present", "element_to_be_clickable": "clickable",
+        "visibility_of": "visible", "invisibility_of": "visible", "staleness_of": "attached", "text_to_be_present_in_element": "text", "text_to_be_present_in_element_value": "value", "invisibility_of_element": "visible",
+    },
+    absent=("invisibility_of_element_located", "invisibility_of_element", "invisibility_of", "staleness_of", "until_not"),
     browsers=("driver", "browser", "page_driver"), visits=("get",), self_names=("self", "cls"), keyword_assert=True, declares=r"^\s*[A-Za-z_][\w.]*\s*=(?!=)", extra=("until", "until_not"),
 )
-CSHARP = Dialect(literal=DOUBLE, finders=("FindElement", "FindElements"), actions={"Click": "click", "SendKeys": "send-keys"}, reads={}, extra=("ElementAt", "Should", "OpenPage", "GoToUrl"))
+CSHARP = Dialect(
+    literal=DOUBLE, finders=("FindElement", "FindElements"), actions={"Click": "click", "SendKeys": "send-keys"}, reads={}, extra=("ElementAt", "Should", "OpenPage", "GoToUrl"),
+    negations=r"(?<!\w)Assert\s*\.\s*(?:IsFalse|False|AreNot\w+|IsNot\w+|Not\w+|DoesNot\w+)\s*\(|(?<!\w)(?:Is|Does|Has)\s*\.\s*(?:False|Not|No)(?!\w)|\)\s*\.\s*NotBe\w*\s*\(",
+)
 DIALECTS = {"java": JAVA, "python": PYTHON, "csharp": CSHARP}
 
 
@@ -97,23 +115,40 @@ def receiver(text: Column, members: Sequence[str], self_names: Sequence[str]) ->
     return F.regexp_extract(text, rf"(?:^|[^\w.)\]])((?:{own})?[A-Za-z_]\w*)\s*\.\s*(?:{'|'.join(members)})(?!\w)", 1)
 
 
-def element(text: Column, d: Dialect) -> Column:
-    """``(form, name)`` of the element an expression works on: found by a locator's text, by a stored locator, or a variable."""
+def located_by(text: Column, d: Dialect, group: int = 0) -> Column:
+    """The locator of a line from its factory or finder on: 1 its factory, 2 its finder, 3 the strategy named by text, 4 the text looked for."""
+    return F.regexp_extract(text, rf"(?<!\w)(?:By\s*\.\s*(\w+)\s*[(,]|({'|'.join(d.finders)})\s*\((?:\s*({d.literal})\s*,)?)\s*({d.literal})", group)
+
+
+def element(text: Column, found: Column, d: Dialect) -> Column:
+    """``(form, name, by)`` of the element an expression works on: found by a locator's text, by a stored locator, or a variable.
+
+    ``by`` is the common kind of the locator where the line itself names it, else empty.
+    """
     finders = "|".join(d.finders)
-    located = F.regexp_extract(text, rf"(?<!\w)(?:By\s*\.\s*\w+\s*[(,]|(?:{finders})\s*\((?:\s*{d.literal}\s*,)?)\s*({d.literal})", 1)
+    part = lambda g: located_by(found, d, g)
+    located = part(4)
+    kind = F.coalesce(common_kind(part(1)), common_kind(F.regexp_replace(part(2), "^.*_by_", "")), common_kind(F.replace(unquoted(part(3)), F.lit(" "), F.lit(""))), F.lit(""))
     stored = F.regexp_extract(text, rf"(?<!\w)(?:{finders})\s*\(\s*(?:this\.|self\.)?([A-Za-z_]\w*)\s*\)", 1)
     named = receiver(text, [*d.actions, *d.reads, *d.properties], d.self_names)
-    by = lambda form, name: F.struct(F.lit(form).alias("form"), name.alias("name"))
-    return F.when(located != "", by("direct", unquoted(located))).when(stored != "", by("stored", stored)).when(named != "", by("variable", named))
+    by = lambda form, name, kind=F.lit(""): F.struct(F.lit(form).alias("form"), name.alias("name"), kind.alias("by"))
+    return F.when(located != "", by("direct", unquoted(located), kind)).when(stored != "", by("stored", stored)).when(named != "", by("variable", named))
+
+
+def fact(kind: Column | str, target: Column | str = "", value: Column | str = "", confidence: str = "Semantic", negated: Column | bool = False, by: Column | str = "", state: Column | str = "") -> Column:
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    said = {"kind": kind, "confidence": confidence, "target": target, "value": value, "negated": negated, "locator_kind": by, "state": state}
+    return F.struct(*[as_column(x).alias(name) for name, x in said.items()])
 
 
-def fact(kind: Column | str, target: Column | str = "", value: Column | str = "", confidence: str = "Semantic") -> Column:
-    as_column = lambda x: F.lit(x) if isinstance(x, str) else x
-    return F.struct(as_column(kind).alias("kind"), F.lit(confidence).alias("confidence"), as_column(target).alias("target"), as_column(value).alias("value"))
+def on_element(prefix: Column | str, found: Column, value: Column | str = "", negated: Column | bool = False, state: Column | str = "") -> Column:
+    prefix = F.lit(prefix) if isinstance(prefix, str) else prefix
+    return F.when(found.isNotNull(), fact(F.concat(prefix, F.lit("-"), found["form"]), found["name"], value, negated=negated, by=found["by"], state=state))
 
 
-def on_element(prefix: str, found: Column, value: Column | str = "") -> Column:
-    return F.when(found.isNotNull(), fact(F.concat(F.lit(f"{prefix}-"), found["form"]), found["name"], value))
+def is_negated(pattern: str) -> Column:
+    """Whether an odd number of words outside quotes turn the meaning of the line round: two denials are none."""
+    return F.pmod(F.regexp_count(F.col("_bare"), F.lit(pattern)), F.lit(2)) == 1
 
 
 def assertion(line: Column, d: Dialect, found: Column) -> Column:
@@ -121,7 +156,9 @@ def assertion(line: Column, d: Dialect, found: Column) -> Column:
     members = "|".join([*(rf"{r}\s*\(" for r in d.reads), *(rf"{p}(?!\w)" for p in d.properties)])
     others = F.filter(split_arguments(arguments(line, d.asserts, d.literal), d.literal), lambda a: ~F.rlike(a, F.lit(rf"\.\s*(?:{members})")))
     expected = unquoted(F.coalesce(F.try_element_at(others, F.lit(-1)), F.lit("")))
-    by_matcher = unquoted(arguments(line, d.matchers, d.literal)) if d.matchers else F.lit("")
+    inner = rf"(?!\s*(?:{'|'.join([*d.matchers, 'not'])})\s*\()"
+    by_matcher = unquoted(F.regexp_extract(line, rf"(?<![A-Za-z0-9_])(?:{'|'.join(d.matchers)})\s*\(({inner}{_nested(d.literal, 4)})\)", 1)) if d.matchers else F.lit("")
+    negated = is_negated(d.negations)
     displayed = [r for r, label in d.reads.items() if label == "displayed"]
     texts = [r for r, label in d.reads.items() if label == "text"]
     reads_text = calls(texts) if texts else F.lit(False)
@@ -129,11 +166,12 @@ def assertion(line: Column, d: Dialect, found: Column) -> Column:
         reads_text = reads_text | F.rlike(line, F.lit(rf"\.\s*{p}(?!\w|\s*\()"))
     equal, within = [a for a in d.asserts if "Equal" in a], [a for a in d.asserts if a.endswith("In")]
     true, that = [a for a in d.asserts if a.endswith(("True", "False"))], [a for a in d.asserts if a.endswith("That")]
-    out = F.when(calls(displayed), on_element("assert-displayed", found)).when(calls(equal) & reads_text, on_element("assert-text", found, expected))
+    out = F.when(calls(displayed), on_element("assert-displayed", found, negated=negated)).when(calls(equal) & reads_text, on_element("assert-text", found, expected, negated))
     if within:
-        out = out.when(calls(within) & reads_text, on_element("assert-contains", found, expected))
+        out = out.when(calls(within) & reads_text, on_element("assert-contains", found, expected, negated))
     if that:
-        out = out.when(calls(true) & reads_text & calls(["contains"]), on_element("assert-contains", found, by_matcher)).when(calls(that) & reads_text, on_element("assert-that-text", found, by_matcher))
+        kind = F.when(calls(d.containing), "assert-that-contains").otherwise("assert-that-text")
+        out = out.when(calls(true) & reads_text & calls(["contains"]), on_element("assert-contains", found, by_matcher, negated)).when(calls(that) & reads_text, on_element(kind, found, by_matcher, negated))
     return F.when(calls(d.asserts) & found.isNotNull(), out)
 
 
@@ -141,17 +179,24 @@ def keyword_assertion(line: Column, d: Dialect, found: Column) -> Column:
     """``assert`` as a keyword: one side of the comparison reads the element, the other is expected."""
     sides = rf"""^\s*assert\s+(?:not\s+)?((?:[^"']*?{d.literal})*?[^"']*?)\s*(==|!=|\snot\s+in\s|\sin\s)\s*(.+?)\s*$"""
     left, sign, right = (F.regexp_extract(line, sides, g) for g in (1, 2, 3))
-    kind = F.when(F.contains(sign, F.lit("=")), "assert-text-").otherwise("assert-contains-")
+    kind = F.when(F.contains(sign, F.lit("=")), "assert-text").otherwise("assert-contains")
+    negated = is_negated(d.negations)
     reads = lambda c: F.rlike(c, F.lit(r"\.\s*text\s*$"))
-    of = lambda value: F.when(found.isNotNull(), fact(F.concat(kind, found["form"]), found["name"], unquoted(value)))
-    out = F.when(calls(["is_displayed"]), on_element("assert-displayed", found)).when(reads(left), of(right)).when(reads(right), of(left))
+    of = lambda value: on_element(kind, found, unquoted(value), negated)
+    out = F.when(calls(["is_displayed"]), on_element("assert-displayed", found, negated=negated)).when(reads(left), of(right)).when(reads(right), of(left))
     return F.when(F.rlike(line, F.lit(r"^\s*assert\b")), out)
 
 
 def wait(line: Column, d: Dialect, found: Column) -> Column:
-    """A wait for a located element, or for one that is held already."""
-    plain = F.regexp_extract(arguments(line, d.conditions, d.literal), r"^\s*(?:this\.|self\.)?([A-Za-z_]\w*)\s*$", 1)
-    of = F.when(found["form"].isin("direct", "stored"), on_element("wait", found)).when(plain != "", fact("wait-element", plain))
+    """A wait for a located element, or for one that is held already: for which state, and whether for its end."""
+    given = split_arguments(arguments(line, list(d.conditions), d.literal), d.literal)
+    plain = F.regexp_extract(F.coalesce(F.try_element_at(given, F.lit(1)), F.lit("")), r"^\s*(?:this\.|self\.)?([A-Za-z_]\w*)\s*$", 1)
+    state = F.lit("")
+    for name, label in d.conditions.items():
+        state = F.when(calls([name]), label).otherwise(state)
+    value = F.when(state.isin("text", "value"), unquoted(F.coalesce(F.try_element_at(given, F.lit(-1)), F.lit("")))).otherwise("")
+    negated = is_negated(rf"(?<!\w)(?:{'|'.join(d.absent)})\s*\(")
+    of = F.when(found["form"].isin("direct", "stored"), on_element("wait", found, value, negated, state)).when(plain != "", fact("wait-element", plain, value, negated=negated, state=state))
     return F.when(calls(["until", "until_not"]) & calls(d.conditions), of)
 
 
@@ -163,8 +208,7 @@ def action(line: Column, d: Dialect, found: Column) -> Column:
     for member, name in d.actions.items():
         label = F.when(calls([member]), name).otherwise(label)
     value = unquoted(arguments(line, list(d.actions), d.literal))
-    acted = fact(F.concat(label, F.lit("-"), found["form"]), found["name"], value)
-    return F.when(label.isNotNull() & found.isNotNull(), F.when((found["form"] != "variable") | whole, acted))
+    return F.when(label.isNotNull() & found.isNotNull(), F.when((found["form"] != "variable") | whole, on_element(label, found, value)))
 
 
 def browser_facts(line: Column, d: Dialect, found: Column) -> Column:
@@ -172,17 +216,21 @@ def browser_facts(line: Column, d: Dialect, found: Column) -> Column:
     visit = rf"(?<!\w)(?:{'|'.join(d.browsers)})\s*\.\s*(?:navigate\s*\(\s*\)\s*\.\s*)?(?:{'|'.join(d.visits)})\s*\(\s*({_nested(d.literal, 2)})\)"
     visited = F.regexp_extract(line, visit, 1)
     page = F.regexp_extract(line, r"=\s*new\s+([A-Z]\w*Page(?:Object)?)\s*\(", 1)
+    held = lambda g: F.regexp_extract(line, r"^\s*(?:(?:private|protected|public|static|final|transient|volatile)\s+)*+([A-Z]\w*Page(?:Object)?)\s+([A-Za-z_]\w*)\s*;", g)
+    field_kind = F.regexp_replace(F.regexp_extract(line, r"@FindBy\s*\(\s*(?:how\s*=\s*How\s*\.\s*)?(\w+)", 1), "(?i)^css$", "cssSelector")
+    caller = F.regexp_extract(line, r"^\s*([A-Za-z_]\w*)\s*\.\s*[A-Za-z_]\w*\s*\([^;]*\)\s*;\s*$", 1)
     steps = [
-        F.when(F.contains(line, F.lit("@FindBy")), fact("locator-field", F.regexp_extract(line, r"@FindBy\s*\(\s*([^)]*)\)", 1))),
-        F.when(F.rlike(line, F.lit(r"(?<!\w)By\s+\w+\s*=\s*By\s*\.")), fact("locator-declaration", found["name"])),
+        F.when(F.contains(line, F.lit("@FindBy")), fact("locator-field", F.regexp_extract(line, r"@FindBy\s*\(\s*([^)]*)\)", 1), by=F.coalesce(common_kind(field_kind), F.lit("")))),
+        F.when(F.rlike(line, F.lit(r"(?<!\w)By\s+\w+\s*=\s*By\s*\.")), fact("locator-declaration", found["name"], by=found["by"])),
         F.when(visited != "", fact("navigation", unquoted(visited))),
         F.when(F.contains(line, F.lit("WebDriverWait")) & F.rlike(line, F.lit(r"=\s*(?:new\s+)?WebDriverWait\s*\(")) & ~calls(["until"]), fact("wait-declaration")),
         wait(line, d, found), assertion(line, d, found), *([keyword_assertion(line, d, found)] if d.keyword_assert else []), action(line, d, found),
-        F.when(calls(d.finders) & F.rlike(line, F.lit(d.declares)), F.when(found.isNotNull(), fact("element-declaration", found["name"]))),
+        F.when(calls(d.finders) & F.rlike(line, F.lit(d.declares)), F.when(found.isNotNull(), fact("element-declaration", found["name"], by=found["by"]))),
         F.when(F.rlike(line, F.lit(r"PageFactory\s*\.\s*initElements\s*\(")), fact("page-init")),
         F.when(page != "", fact("page-object", page)),
+        F.when(held(1) != "", fact("page-field", held(1), held(2))),
         F.when(F.rlike(line, F.lit(r"\bsuper\s*\(\s*\)\s*\.\s*setUp\s*\(")), fact("setup-super")),
-        F.when(F.rlike(line, F.lit(r"^\s*[A-Za-z_]\w*\s*\.\s*[A-Za-z_]\w*\s*\([^;]*\)\s*;\s*$")), fact("page-call", F.regexp_extract(line, r"^\s*(\w+)", 1), confidence="SyntaxFallback")),
+        F.when((caller != "") & ~caller.isin(*d.browsers) & ~calls(d.finders), fact("page-call", caller, confidence="SyntaxFallback")),
     ]
     return F.coalesce(*steps)
 
@@ -195,14 +243,14 @@ def page_facts(line: Column, d: Dialect, found: Column) -> Column:
     located = calls(d.finders) & (found["form"] == "direct")
     steps = [
         F.when(calls(["ElementAt"]) & F.contains(chain, F.lit(".Items.ElementAt(")), F.when(F.contains(chain, F.lit(").Text.Get(")), fact("table-row-text", arg("ElementAt"))).otherwise(fact("table-row", arg("ElementAt")))),
-        F.when(calls(["Should"]) & F.contains(chain, F.lit(".Items.Count.Get(")), fact("table-count", F.regexp_extract(chain, r"\.Should\(\s*\)\.(Be\w*)\(", 1), trim_all(F.regexp_extract(chain, r"\.Should\(\s*\)\.Be\w*\(([^)]+)\)", 1)))),
+        F.when(calls(["Should"]) & F.contains(chain, F.lit(".Items.Count.Get(")), fact("table-count", F.regexp_extract(chain, r"\.Should\(\s*\)\.((?:Not)?Be\w*)\(", 1), trim_all(F.regexp_extract(chain, r"\.Should\(\s*\)\.(?:Not)?Be\w*\(([^)]+)\)", 1)), negated=is_negated(d.negations))),
         F.when(F.contains(line, F.lit("Pagination")) & F.contains(chain, F.lit("page.Pagination.Forward")), fact("pagination-forward")),
         F.when(calls(["OpenPage"]) & F.contains(chain, F.lit("Navigation.OpenPage")), fact("open-page", unquoted(arg("OpenPage")))),
         F.when(calls(["GoToUrl"]), fact("navigation", unquoted(arg("GoToUrl")))),
-        *[F.when(located & calls([m]), fact(label, found["name"], unquoted(arg(m)))) for m, label in d.actions.items()],
-        F.when(located, fact("find-element", found["name"])),
-        F.when(calls(d.finders), F.when(built != "", fact("find-element-dynamic", built, confidence="SyntaxFallback"))),
-        F.when(F.contains(line, F.lit("Assert")) & F.rlike(chain, F.lit(r"(?<!\w)Assert\.\w+\(")), fact("assertion", F.regexp_extract(chain, r"(?<!\w)Assert\.(\w+)\(", 1))),
+        *[F.when(located & calls([m]), fact(label, found["name"], unquoted(arg(m)), by=found["by"])) for m, label in d.actions.items()],
+        F.when(located, fact("find-element", found["name"], by=found["by"])),
+        F.when(calls(d.finders), F.when(built != "", fact("find-element-dynamic", built, confidence="SyntaxFallback", by=F.coalesce(common_kind(F.regexp_extract(line, r"(?<!\w)By\s*\.\s*(\w+)", 1)), F.lit(""))))),
+        F.when(F.contains(line, F.lit("Assert")) & F.rlike(chain, F.lit(r"(?<!\w)Assert\.\w+\(")), fact("assertion", F.regexp_extract(chain, r"(?<!\w)Assert\.(\w+)\(", 1), negated=is_negated(d.negations))),
     ]
     return F.coalesce(*steps)
 
@@ -216,14 +264,17 @@ def joined_statements(lines: DataFrame, keys: Sequence[str], text_col: str = "te
 
 
 def extract_actions(lines: DataFrame, language: str, line_col: str = "line") -> DataFrame:
-    """Action facts: kind, confidence, target and value of each line that has one. Narrow, JVM only.
+    """Action facts: kind, confidence, target, value, polarity, locator kind and state of each line that has one. Narrow, JVM only.
 
     The known calls and the element of a line are cut out once; what they mean is looked up in the tables.
+    ``negated`` tells an assertion or wait from its denial (hidden from shown, unequal from equal, ``until_not`` from
+    ``until``), ``locator_kind`` is the common kind of a locator named in the line, ``state`` what a wait waits for.
     """
     d, line = DIALECTS[language], F.col(line_col)
     hint = F.contains(line, F.lit("("))
-    hint = hint | F.contains(line, F.lit("assert ")) if d.keyword_assert else hint | F.contains(line, F.lit("Pagination")) if language == "csharp" else hint
-    cut = lines.where(hint).withColumn("_calls", F.regexp_extract_all(line, F.lit(_known(d)), F.lit(1))).withColumn("_element", element(line, d))
+    hint = hint | F.contains(line, F.lit("assert ")) if d.keyword_assert else hint | F.contains(line, F.lit("Pagination")) if language == "csharp" else hint | F.contains(line, F.lit("Page"))
+    cut = lines.where(hint).withColumn("_calls", F.regexp_extract_all(line, F.lit(_known(d)), F.lit(1))).withColumn("_located", located_by(line, d)).withColumn("_bare", F.regexp_replace(line, d.literal, '""'))
+    cut = cut.withColumn("_element", element(line, F.col("_located"), d))
     facts = page_facts if language == "csharp" else browser_facts
     found = cut.withColumn("_fact", F.explode(F.filter(F.array(facts(line, d, F.col("_element"))), lambda f: f.isNotNull())))
-    return found.select(*lines.columns, "_fact.kind", "_fact.confidence", "_fact.target", "_fact.value")
+    return found.select(*lines.columns, "_fact.*")
