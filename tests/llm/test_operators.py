@@ -20,7 +20,7 @@ from tidemark.llm.langid import keep_identified, predict_languages, viterbi
 from tidemark.llm.near_dedup import keep_one_of_each, near_duplicates
 from tidemark.llm.packing import crossover, decreasing, evolve, exact_fill, pack_documents
 from tidemark.llm.quality import keep_quality, quality_rules
-from tidemark.llm.secret_scan import candidates, redact, scan_secrets
+from tidemark.llm.secret_scan import candidates, redact, scan_secrets, without_secrets
 from tidemark.llm.token_files import bits_for, pack_bits, read_token_files, unpack_bits, write_token_files
 from tidemark.llm.tokens import PieceEncoder
 from tidemark.llm.url_filter import judge_urls
@@ -216,7 +216,7 @@ def test_op4_snapshots(spark):
     rows += [(10, t, "user", f"t{t}") for t in range(2500)] + [(11, t, "user", f"t{t}") for t in range(1500)]
     table = spark.createDataFrame([(*r, "s") for r in rows], "conv_id long, turn long, role string, text string, segment string")
     got = chat_documents(table).collect()
-    assert {r.conv_id for r in got} == {2, 5, 6, 7, None, 8, 9, 10}
+    assert {r.conv_id for r in got} == {2, 5, 6, 7, None, 8, 9, 10} and [r.rendered for r in got if r.conv_id is None] == ["<|user|>\nsolo<|end|>\n"]
     by = {(r.conv_id, r.segment): r for r in got}
     assert by[2, 0].copies == 2 and by[2, 0].rendered == "<|user|>\nhi<|end|>\n<|assistant|>\nyo<|end|>\n<|user|>\n<|end|>\n<||>\nend<|end|>\n"
     assert by[5, 0].n_turns == 2 and [by[10, s].n_turns for s in range(3)] == [1024, 1024, 452]
@@ -224,6 +224,22 @@ def test_op4_snapshots(spark):
     assert chat_documents(table.limit(0)).collect() == []
 
 
+def test_op4_without_ids_and_in_one_turn(spark):
+    """Rows without an id are conversations of their own, a null turn is no number, a turn of any length is cut into segments."""
+    rows = [(None, 0, "user", "log one")] * 3 + [(None, 1, "user", "log two"), (None, 0, "user", "hi"), (None, 0, "user", "x"), (1, 0, "user", "hi"), (1, 1, "bot", "yo"), (2, 0, "user", "x")]
+    rows += [(3, None, "user", "t"), (4, -1, "user", "t"), (None, None, "user", "t"), (-(1 << 63), 0, "user", "low"), (5, None, "user", "a"), (5, 0, "user", "b"), (6, None, "user", "a")]
+    rows += [(7, 3, "user", f"m{i:05d}") for i in range(3000)] + [(7, 4, "bot", "end")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    said = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
+    for shuffled in (table, table.repartition(7)):
+        got = {(r.conv_id, r.segment, r.rendered if r.conv_id is None else ""): r for r in chat_documents(shuffled).collect()}
+        assert {(k[0], k[2]): r.copies for k, r in got.items() if k[0] is None} == {(None, said("user", "log one")): 3, (None, said("user", "log two")): 1}
+        assert got[1, 0, ""].copies == 1 and got[2, 0, ""].copies == 2 and got[3, 0, ""].copies == 2 and got[4, 0, ""].copies == 1 and (6, 0, "") not in got
+        assert got[5, 0, ""].rendered == said("user", "a") + said("user", "b") and got[-(1 << 63), 0, ""].rendered == said("user", "low")
+        assert "".join(got[7, s, ""].rendered for s in range(3)) == "".join(said("user", f"m{i:05d}") for i in range(3000)) + said("bot", "end")
+        assert [got[7, s, ""].n_turns for s in range(3)] == [1, 1, 2] and len(got) == 2 + 6 + 3
+
+
 # 5 -------------------------------------------------------------------------------------------------
 
 
@@ -399,6 +415,36 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_op9_rows_without_ids(spark):
+    """A third of the rows has no id: they link like all others, and one row of each group stays."""
+    base, other = prose(31, 200), prose(32, 150)
+    near = lambda t, k: " ".join([*t.split()[:-1], f"end{k}"])
+    rows = [(1, base), (2, prose(33, 90)), (None, near(base, 1)), (None, near(base, 1)), (None, other), (None, near(other, 2)), (None, near(other, 3)), (7, "a b"), (None, "a b"), (None, None), (None, None), (8, None), ((1 << 63) - 1, prose(34, 80)), (None, near(prose(34, 80), 1))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    words = lambda t: (t or "").split()
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= 85 * len(a | b):
+                    group[i] = group[j] = min(group[i], group[j])
+    smallest = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)}
+    got = near_duplicates(table).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter((d, smallest[group[i]]) for i, (d, _) in enumerate(rows))
+    kept = keep_one_of_each(table).collect()
+    assert {r.doc_id for r in kept} == {1, 2, 7, 8, (1 << 63) - 1, None} and len(kept) == 7
+    assert sorted(r.text is not None and r.text.startswith(other[:100]) for r in kept if r.doc_id is None) == [False, True]
+
+
+def test_op6_redacts_rows_without_ids(spark):
+    secret = "ghp_" + hashlib.sha256(b"x").hexdigest()[:36]
+    rows = [(1, f'token = "{secret}" here', "a"), (None, f'token = "{secret}" here', "a"), (None, f"and password: {secret} too", "a"), (None, None, "a"), (None, "", "a"), (2, prose(3, 40), "a")] * 2
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clean = without_secrets(table).collect()
+    assert Counter((r.doc_id, r.text) for r in clean) == Counter((d, t and t.replace(secret, "[SECRET]")) for d, t, _ in rows)
+
+
 # 10 ------------------------------------------------------------------------------------------------
 
 

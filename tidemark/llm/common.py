@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tidemark.session import checkpoint_dir
 
 U64 = np.uint64
+#: The first number that stands for a text without an id.
+NO_ID = 1 << 62
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -23,6 +25,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """The id of a row; for a row without one a number from 2^62 on that stands for its text, so that equal texts share it.
+
+    Smaller than all such numbers are the ids of any table numbered below 2^62. Two different texts without an id
+    share a number with a chance of 2^-62.
+    """
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own below the shared folder of the session; Spark's writers make it."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, checkpointed, mix64, slices
+from tidemark.llm.common import NO_ID, U64, checkpointed, mix64, row_key, slices
 from tidemark.llm.components import components
 from tidemark.llm.wordhash import shingle_set, word_hashes
 
@@ -54,7 +54,7 @@ class CirculantMinHash:
 
 
 def shingle_marks(docs: DataFrame, id_col: str, text_col: str, width: int, hasher: CirculantMinHash) -> DataFrame:
-    """``(doc_id, n_shingles, set_a, set_b, buckets)`` of each row; set_a and set_b are a 128-bit key of the set."""
+    """``(node, doc_id, n_shingles, set_a, set_b, buckets)`` of each row; set_a and set_b are a 128-bit key of the set, ``node`` is the id or stands for it."""
 
     def work(batches):
         for batch in batches:
@@ -71,10 +71,10 @@ def shingle_marks(docs: DataFrame, id_col: str, text_col: str, width: int, hashe
                 flat = np.concatenate(keys).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32()), pa.array(flat))
                 longs = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([ids[at:end], pa.array(counts, pa.int64()), longs(first), longs(second), lists], ["doc_id", "n_shingles", "set_a", "set_b", "buckets"])
+                yield pa.RecordBatch.from_arrays([ids[at:end], batch.column(2)[at:end], pa.array(counts, pa.int64()), longs(first), longs(second), lists], ["node", "doc_id", "n_shingles", "set_a", "set_b", "buckets"])
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(work, "doc_id long, n_shingles long, set_a long, set_b long, buckets array<long>")
+    cols = docs.select(row_key(id_col, text_col).alias("node"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    return cols.mapInArrow(work, "node long, doc_id long, n_shingles long, set_a long, set_b long, buckets array<long>")
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -186,27 +186,20 @@ def links_across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.select("bucket", "q_block", "b_block", "node", "component", "asked", "shingles").mapInArrow(work, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, bands: int = 24, rows: int = 6) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` of each row of ``docs``.
+def linked_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """``(node, doc_id, n_shingles, component, component_id)`` of each row: its own node, the node its component is named by, and its smallest id.
 
-    Texts are linked when 100 * |intersection| >= ``percent`` * |union| of their shingle sets;
-    ``component_id`` is the smallest id reachable and ``kept`` marks the rows that carry it.
-
-    Texts with equal sets are first one node (their smallest id), so copies in any number never meet in a
+    A row without an id has a node that stands for its text (``row_key``). Texts with equal sets are first one node (their smallest), so copies in any number never meet in a
     bucket. In every bucket all nodes are compared with one of them, the one that shares buckets with most
     others and so lies at the centre: rows grow with the members, not with their pairs, and the links found
     join most buckets into one component. In buckets that still hold several components, the nodes outside the
     largest are compared with all members in blocks (``links_across``), so no link between different texts that
     any band found is lost. Every comparison is exact, on whole sets.
-
-    Null or wordless texts have no shingles and link with nothing. Rows with a null id link by their text and
-    never lend it to a component; without any other id in their component, that is null and they are kept.
-    Rows that repeat an id are each judged by their own text. An empty table gives an empty result.
     """
     marks = checkpointed(shingle_marks(docs, id_col, text_col, width, CirculantMinHash(bands, rows)))
     with_words = marks.where("n_shingles > 0")
-    classes = with_words.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").cast("int").alias("n"), F.first("buckets").alias("buckets"))
-    members = classes.where("node IS NOT NULL").select("node", "n", F.explode("buckets").alias("bucket"))
+    classes = with_words.groupBy("set_a", "set_b").agg(F.min("node").alias("node"), F.first("n_shingles").cast("int").alias("n"), F.first("buckets").alias("buckets"))
+    members = classes.select("node", "n", F.explode("buckets").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     crowded = checkpointed(members.join(sizes, "bucket"))
     company = crowded.groupBy("node").agg(F.sum("size").alias("company"))
@@ -216,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = checkpointed(crowded.join(pivots, "bucket").where((F.col("node") != F.col("pivot")) & fits).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
 
     wanted = crowded.select("node").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).join(wanted, "node", "left_semi")
+    texts = docs.select(row_key(id_col, text_col).alias("node"), F.col(text_col).cast("string").alias("text")).join(wanted, "node", "left_semi")
     sets = checkpointed(shingle_sets(texts, "node", "text", width))
     linked = checkpointed(similar_pairs(stars, sets, percent))
     found = components(linked)
@@ -225,15 +218,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = components(linked.unionByName(more))
 
     named = classes.select("set_a", "set_b", "node").join(whole, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("found"))
-    rows_out = marks.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
-    return rows_out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns; of rows with equal id and text one stays."""
-    kept = near_duplicates(docs, id_col, text_col, **settings).where("kept").select(F.struct("doc_id").alias("__kept")).distinct()
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.struct(F.col(id_col).cast("long").alias("doc_id")).alias("__kept"))
-    found = rows.join(kept, "__kept", "left_semi")
-    once = Window.partitionBy("__kept", F.xxhash64(f"row.{text_col}")).orderBy(F.lit(0))
-    return found.withColumn("__n", F.row_number().over(once)).where("__n = 1").select("row.*")
+    rows_out = marks.select("node", "doc_id", "n_shingles", "set_a", "set_b").withColumnRenamed("node", "own").join(named, ["set_a", "set_b"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("own"))
+    out = rows_out.select(F.col("own").alias("node"), "doc_id", "n_shingles", component.alias("component"))
+    if marks.where(F.col("doc_id").isNull() | (F.col("node") >= NO_ID)).isEmpty():
+        return out.withColumn("component_id", F.col("component"))
+    smallest = out.where("doc_id IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return out.join(smallest, "component", "left").select("node", "doc_id", "n_shingles", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, bands: int = 24, rows: int = 6) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` of each row of ``docs``.
+
+    Texts are linked when 100 * |intersection| >= ``percent`` * |union| of their shingle sets;
+    ``component_id`` is the smallest id reachable and ``kept`` marks the rows that carry it. How: ``linked_rows``.
+
+    Null or wordless texts have no shingles and link with nothing. Rows with a null id link by their text, to each
+    other and to rows with one, and two texts may meet through them; they lend no id to a component, so without any
+    other id in it ``component_id`` is null and they are kept. Rows that repeat an id are each judged by their own
+    text. An empty table gives an empty result.
+    """
+    found = linked_rows(docs, id_col, text_col, width, percent, bands, rows)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, bands: int = 24, rows: int = 6) -> DataFrame:
+    """One row of each component of ``near_duplicates``, with all columns: the one with the smallest id.
+
+    In a component without any id the row stays whose ``row_key`` is smallest. Rows that repeat the id and the text
+    of one that stays go; with another text they stay, if that text is kept. Null and empty texts are kept, once an id,
+    those without an id once in all. An empty table gives an empty result.
+    """
+    found = linked_rows(docs, id_col, text_col, width, percent, bands, rows)
+    stays = F.col("node") == F.coalesce("component_id", "component")
+    kept = found.where(stays).select(F.struct("node").alias("__kept")).distinct()
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.struct(row_key(id_col, text_col).alias("node")).alias("__kept"))
+    same = F.sha2(F.col(f"row.{text_col}").cast("binary"), 256).alias("__text")
+    return own.join(kept, "__kept", "left_semi").groupBy("__kept", same).agg(F.first("row").alias("row")).select("row.*")

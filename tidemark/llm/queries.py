@@ -51,18 +51,18 @@ def op2_packing(spark, sf):
     return pack_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "doc_id", "text", end_id=2, capacity=1024)
 
 
-#: The rules of the query, and labels of hosts whose pages are its list of unwanted URLs.
+#: The rules of the query, and labels of hosts whose pages are its list of unwanted URLs; query and SQL read both.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-LISTED_LABELS = r"(^|\.)(cheap-pills|adult-x|free-bets|spam-farm)\."
+LISTED_LABELS = r"(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\."
 
-CANONICAL_SQL = r"""
+CANONICAL_SQL = rf"""
   parts AS (SELECT page_id, url,
       translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
       coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path,
       array_to_string(list_sort(list_filter(string_split(coalesce(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), ''), '&'), lambda f: f <> '' AND NOT starts_with(f, 'utm_') AND NOT starts_with(f, 'ref='))), '&') AS kept
     FROM pages),
   named AS (SELECT page_id, host, path, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS canonical FROM parts),
-  listed AS (SELECT DISTINCT canonical FROM named WHERE regexp_matches(host, '(^|\.)(cheap-pills|adult-x|free-bets|spam-farm)\.') AND canonical <> '')
+  listed AS (SELECT DISTINCT canonical FROM named WHERE regexp_matches(host, '{LISTED_LABELS}') AND canonical <> '')
 """
 
 
@@ -86,14 +86,18 @@ def op3_url_filter(spark, sf):
 
 @query(
     "op4_chat",
-    """WITH messages AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-  turns AS (SELECT conv_id, turn, string_agg(coalesce(length(role) || ':' || role, 'N') || '/' || coalesce(length(text) || ':' || text, 'N'), chr(30) ORDER BY role, text) AS said FROM messages GROUP BY ALL),
-  prefixes AS (SELECT conv_id, turn, string_agg(turn || '=' || said, chr(31)) OVER (PARTITION BY conv_id ORDER BY turn) AS so_far, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL AS last FROM turns),
-  ends AS (SELECT so_far, min(conv_id) AS conv_id, count(*) AS copies FROM prefixes WHERE last GROUP BY so_far),
-  kept AS (SELECT conv_id, copies FROM ends WHERE so_far NOT IN (SELECT so_far FROM prefixes WHERE NOT last))
-SELECT conv_id, turn // 1024 AS segment, count(DISTINCT turn) AS n_turns, any_value(copies) AS copies,
-  string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
-FROM messages JOIN kept USING (conv_id) GROUP BY conv_id, turn // 1024""",
+    """WITH messages AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1) // 1024 AS segment
+      FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)),
+  turns AS (SELECT conv_id, turn, coalesce(turn::VARCHAR, 'N') || '=' || string_agg(coalesce(length(role) || ':' || role, 'N') || '/' || coalesce(length(text) || ':' || text, 'N'), chr(30) ORDER BY role NULLS FIRST, text NULLS FIRST) AS said FROM messages GROUP BY conv_id, turn),
+  prefixes AS (SELECT conv_id, string_agg(said, chr(31)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS so_far, lead(conv_id) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) IS NULL AS last FROM turns),
+  singles AS (SELECT coalesce(turn::VARCHAR, 'N') || '=' || coalesce(length(role) || ':' || role, 'N') || '/' || coalesce(length(text) || ':' || text, 'N') AS so_far, role, text FROM conversations WHERE conv_id IS NULL),
+  ends AS (SELECT so_far, min(conv_id) AS conv_id, count(*) AS copies FROM (SELECT so_far, conv_id FROM prefixes WHERE last UNION ALL SELECT so_far, NULL FROM singles) GROUP BY so_far),
+  kept AS (SELECT so_far, conv_id, copies FROM ends WHERE so_far NOT IN (SELECT so_far FROM prefixes WHERE NOT last))
+SELECT conv_id, segment, count(DISTINCT coalesce(turn::VARCHAR, 'N')) AS n_turns, any_value(copies) AS copies,
+  string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
+FROM messages JOIN kept USING (conv_id) GROUP BY conv_id, segment
+UNION ALL SELECT NULL, 0, 1, any_value(copies), '<|' || coalesce(any_value(role), '') || '|>' || chr(10) || coalesce(any_value(text), '') || '<|end|>' || chr(10)
+FROM singles JOIN kept USING (so_far) WHERE conv_id IS NULL GROUP BY so_far""",
 )
 def op4_chat(spark, sf):
     return chat_documents(table(spark, sf, "conversations"))

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import checkpointed, row_key
 
 #: What splits a word into runs and the gaps between them; '=' and ':' are gaps. Words with a key may hold more in a run.
 RUN_CHARS = r"A-Za-z0-9+/_.@\-"
@@ -217,7 +217,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     words = checkpointed(dictionary(docs, text_col))
     pairs = letter_transitions(words)
-    found = checkpointed(with_features(candidates(docs, id_col, text_col), words, pairs))
+    found = checkpointed(with_features(checkpointed(candidates(docs, id_col, text_col)), words, pairs))
     if labelled is None:
         made = docs.sparkSession.createDataFrame(seeds(), "doc_id long, text string, secret string").coalesce(1)
         truth = candidates(made).join(made.select("doc_id", "secret"), "doc_id").withColumn("label", F.when((F.col("secret") != "") & F.expr("contains(secret, value)"), 1.0).otherwise(0.0))
@@ -232,7 +232,8 @@ def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_co
     """``docs`` with every accepted value of a row's document replaced by ``mark``, the longest first;
     values under 12 characters only where no letter or digit adjoins them.
 
-    Rows without an id, or without a finding, stay as they are.
+    Rows without an id, or without a finding, stay as they are; ``without_secrets`` gives every row a key first.
+    A null or empty text stays, rows that share an id share their findings, an empty table gives an empty result.
     """
     values = findings.where("is_secret").groupBy("doc_id").agg(F.collect_set("value").alias("__values"))
     whole = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), v, F.lit(r"\E(?![A-Za-z0-9])"))
@@ -241,3 +242,12 @@ def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_co
     joined = docs.join(values.withColumnRenamed("doc_id", "__of"), F.col(id_col) == F.col("__of"), "left")
     text = F.when(F.col("__values").isNull(), F.col(text_col)).otherwise(F.aggregate(longest_first, F.col(text_col), without))
     return joined.withColumn(text_col, text).select(*docs.columns)
+
+
+def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with the secrets of every row replaced by ``mark``; rows without an id are scanned and redacted by their text.
+
+    Nulls, empty texts, repeated rows and empty tables as in ``scan_secrets`` and ``redact``; no row is lost.
+    """
+    keyed = docs.withColumn("__row_key", row_key(id_col, text_col))
+    return redact(keyed, scan_secrets(keyed, "__row_key", text_col), "__row_key", text_col, mark).select(*docs.columns)
