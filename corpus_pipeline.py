@@ -14,7 +14,7 @@ from tidemark.llm.langid import keep_identified
 from tidemark.llm.near_dedup import keep_one_of_each
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import keep_quality
-from tidemark.llm.secret_scan import redact, scan_secrets
+from tidemark.llm.secret_scan import without_secrets
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces the secrets the forest accepts; every document stays, ``n_chars`` follows the text."""
-    clean = redact(docs, scan_secrets(docs))
-    return clean.withColumn("n_chars", F.char_length("text").cast("long"))
+    return without_secrets(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
