@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from tidemark.catalog.registry import query
 from tidemark.catalog.sources import fresh_dir
+from tidemark.plans.observations import dom_failures
 from tidemark.streaming import feeds as S
 
 EVENTS = T.StructType(
@@ -54,6 +55,35 @@ def st2(spark, sf):
     return out.select("session", F.col("matched").cast("bigint").alias("matched"), "outcome", F.col("elapsed_ms").cast("bigint").alias("elapsed_ms"))
 
 
+@query(
+    "st2_semantic_oracle",
+    """WITH t AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS us, (props::JSON->>'k')::BIGINT AS k FROM events), m AS (SELECT (max(us) // 1000 - 3600000) * 1000 AS passed FROM t),
+    g AS (SELECT *, CASE WHEN us > lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) + 43200000000 THEN 1 ELSE 0 END AS fresh FROM t, m WHERE us <= passed),
+    e AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS part, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS rn FROM g),
+    a AS (SELECT user_id, part, min(rn) AS p1 FROM e WHERE event_type = 'view' GROUP BY 1, 2),
+    b AS (SELECT user_id, part, min(rn) AS p2 FROM e JOIN a USING (user_id, part) WHERE event_type = 'click' AND rn > p1 GROUP BY 1, 2),
+    c AS (SELECT user_id, part, min(rn) AS p3 FROM e JOIN b USING (user_id, part) WHERE event_type = 'purchase' AND rn > p2 GROUP BY 1, 2),
+    s AS (SELECT user_id, part, count(*) AS observations, min(us) AS first_us, max(us) AS last_us, max(us) FILTER (event_type = 'purchase') AS end_us, max_by(k, rn) AS k, any_value(passed) AS passed FROM e GROUP BY 1, 2),
+    j AS (SELECT s.*, (p1 IS NOT NULL)::BIGINT + (p2 IS NOT NULL)::BIGINT + (p3 IS NOT NULL)::BIGINT AS matched, end_us // 1000 - first_us // 1000 AS elapsed_ms,
+      concat_ws(',', CASE WHEN k % 3 <> 0 THEN 'dom-visible:#total' END, CASE WHEN k % 4 <> 0 THEN 'dom-element:#note' WHEN k % 8 <> 0 THEN 'dom-text:#note' END) AS failed
+      FROM s LEFT JOIN a USING (user_id, part) LEFT JOIN b USING (user_id, part) LEFT JOIN c USING (user_id, part) WHERE last_us + 43200000000 <= passed)
+    SELECT user_id AS session, first_us, observations, matched, elapsed_ms, failed, matched = 3 AS sequence_passed, coalesce(elapsed_ms <= 86400000, false) AS time_passed, failed = '' AS state_passed,
+      (matched = 3 AND coalesce(elapsed_ms <= 86400000, false) AND failed = '') AS passed FROM j""",
+)
+def st2_semantic(spark, sf):
+    """Sessions end after twelve hours of silence; the last observation shows a total, and a note whose text is checked."""
+    k = F.from_json("props", PROPS)["k"]
+    note = F.when(k % 4 == 0, F.concat(F.lit(',"note":{"text":"'), (k % 8).cast("string"), F.lit('"}'))).otherwise("")
+    payload = F.concat(
+        F.lit('{"event":"'), F.col("event_type"), F.lit('","sequence":'), F.col("event_id").cast("string"), F.lit(',"observedAtUtc":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
+        F.lit('","dom":{"total":{"visible":'), (k % 3 == 0).cast("string"), F.lit("}"), note, F.lit("}}"),
+    )
+    seen = S.parse_observations(events(spark, sf).select("user_id", F.col("event_id").alias("arrival"), payload.alias("payload")), "payload", "user_id", "arrival")
+    judged = seen.where(F.col("reason").isNull()).withColumn("failures", dom_failures("dom", [("#total", {"visible": True}), ("#note", {"text": "0"})]))
+    stream = S.stream_semantic_oracle(judged, "user_id", "event", "observed_at", "sequence", "failures", ("view", "click", "purchase"), 86400000, "1 hour", 43200000)
+    return S.with_rocksdb(spark, lambda: S.run_available(stream)).withColumn("failed", F.array_join("failed", ","))
+
+
 CATEGORY_SQL = "CASE event_type WHEN 'error' THEN 'strict-mode-violation' WHEN 'click' THEN 'locator-not-found' WHEN 'view' THEN 'timeout-wait-state' END"
 
 
@@ -70,14 +100,24 @@ def st3(spark, sf):
 
 @query(
     "st4_remediation_history",
-    """WITH i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cycle, row_number() OVER (PARTITION BY user_id, props ORDER BY ts, event_id) > 1 AS is_cycle,
-      sum(CASE WHEN event_type = 'view' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events)
-    SELECT user_id AS chain, event_id AS row_id, cycle, (cycle - 1) // 5 + 1 AS batch, (cycle - 1) % 5 + 1 AS in_batch, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS streak, is_cycle FROM i""",
+    """WITH t AS (SELECT *, epoch_us(ts) AS us, (props::JSON->>'k')::BIGINT AS k FROM events), p AS (SELECT * FROM t WHERE us <= (SELECT max(us) // 1000 - 3600000 FROM t) * 1000),
+    i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS cycle, row_number() OVER (PARTITION BY user_id, props ORDER BY us, event_id) > 1 AS is_cycle,
+      sum(CASE WHEN event_type = 'view' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS island FROM p),
+    r AS (SELECT i.*, x.id, max(CASE WHEN event_type = 'view' AND k % 5 = x.id THEN cycle END) OVER w AS tried, max(CASE WHEN event_type = 'purchase' AND (k >> x.id) & 1 = 0 THEN cycle END) OVER w AS closed
+      FROM i CROSS JOIN (SELECT unnest(range(0, 5)) AS id) x WINDOW w AS (PARTITION BY user_id, x.id ORDER BY cycle ROWS UNBOUNDED PRECEDING)),
+    g AS (SELECT event_id, coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (tried > coalesce(closed, 0)), '') AS exhausted,
+      count(*) FILTER ((k >> id) & 1 = 1) AS n_open, count(*) FILTER ((k >> id) & 1 = 1 AND NOT coalesce(tried > coalesce(closed, 0), false)) AS n_left FROM r GROUP BY event_id),
+    s AS (SELECT i.*, exhausted, CASE WHEN event_type = 'error' THEN 'REMEDIATION_CYCLE_DETECTED' WHEN event_type = 'view' AND n_open > 0 AND n_left = 0 THEN 'REMEDIATION_RESIDUAL_CANDIDATES_EXHAUSTED' END AS stop_reason FROM i JOIN g USING (event_id))
+    SELECT user_id AS chain, event_id AS row_id, cycle, (cycle - 1) // 5 + 1 AS batch, (cycle - 1) % 5 + 1 AS in_batch, (cycle % 5 = 0 AND stop_reason IS NULL) AS rollover,
+      sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS streak, is_cycle, exhausted, stop_reason FROM s""",
 )
 def st4(spark, sf):
-    e = events(spark, sf).withColumn("ms", F.unix_micros(S.utc("ts")))
-    stream = S.remediation_history(e, "user_id", "event_type", "props", ["ms", "event_id"], "view")
-    return S.with_rocksdb(spark, lambda: S.run_available(stream))
+    """Views make no progress, purchases are accepted, errors are cycles; five residual ids from the bits of a property."""
+    k = F.from_json("props", PROPS)["k"]
+    open_ids = F.filter(F.array(*[F.when(F.shiftright(k, i).bitwiseAND(1) == 1, F.lit(str(i))) for i in range(5)]), lambda i: i.isNotNull())
+    e = events(spark, sf).withColumns({"at": S.utc("ts"), "tried": F.array((k % 5).cast("string")), "open": open_ids})
+    stream = S.remediation_history(e, "user_id", "event_type", "props", "at", "event_id", "1 hour", "tried", "open", "purchase", "view", "error")
+    return S.with_rocksdb(spark, lambda: S.run_available(stream)).withColumn("exhausted", F.array_join("exhausted", ","))
 
 
 PROPS = T.StructType([T.StructField("k", T.LongType())])
@@ -90,7 +130,7 @@ PROPS = T.StructType([T.StructField("k", T.LongType())])
 def st5(spark, sf):
     root = fresh_dir(spark, "ledger")
     lines = events(spark, sf).select("user_id", F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("{"), F.col("props"))).otherwise(F.col("props")).alias("line"))
-    S.ingest_ledger(lines, "line", PROPS, "user_id", "line_no", root)
+    S.ingest_ledger(lines, "line", PROPS, "user_id", "line_no", root, fold_every=1)
     latest = S.latest_view(spark, root, "user_id").select(F.lit("latest").alias("part"), F.col("user_id").alias("key"), "k", "line_no")
     rejects = spark.read.parquet(f"{root}/rejects").agg(F.count(F.lit(1)).alias("k"), F.max("line_no").alias("line_no"))
     return latest.unionByName(rejects.select(F.lit("rejects").alias("part"), F.lit(-1).cast("bigint").alias("key"), "k", "line_no"))

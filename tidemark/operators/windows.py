@@ -127,9 +127,9 @@ def no_progress_streak(
 
 
 def revisited(evals: DataFrame, chain: Sequence[str], state: str, order: Sequence[str]) -> DataFrame:
-    """Whether the state of a row was already seen earlier in its chain."""
+    """Whether the state of a row was already seen earlier in its chain; a null state never was."""
     first = evals.groupBy(*chain, state).agg(F.min(F.struct(*order)).alias("_first"))
-    return evals.join(first, [*chain, state]).withColumn("is_cycle", F.struct(*order) > F.col("_first")).drop("_first")
+    return evals.join(first, [*chain, state], "left").withColumn("is_cycle", F.coalesce(F.struct(*order) > F.col("_first"), F.lit(False))).drop("_first")
 
 
 # Format of a ledger entry's hashed material.

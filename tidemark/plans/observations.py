@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,25 @@ def sequence_reached(events: DataFrame, session: str, order: Sequence[str], even
     return reached
 
 
+def dom_failures(dom: Column | str, checks: Sequence[tuple[str, Mapping[str, object]]]) -> Column:
+    """Checks that the elements of an observation fail, as ``kind:selector``.
+
+    ``dom`` maps element ids to their state (see ``streaming.feeds.parse_observations``); a check is a selector ``#id`` and the
+    fields it fixes (text, visible, value, enabled, checked). A selector of another form fails as ``dom-selector``, an id the
+    observation lacks as ``dom-element``, and then its fields are not looked at. No observation has no element.
+    """
+    elements = F.col(dom) if isinstance(dom, str) else dom
+    found = []
+    for selector, fields in checks:
+        if not selector.startswith("#") or len(selector) < 2:
+            found.append(F.lit(f"dom-selector:{selector}"))
+            continue
+        state = F.try_element_at(elements, F.lit(selector[1:]))
+        found.append(F.when(state.isNull(), F.lit(f"dom-element:{selector}")))
+        found += [F.when(state.isNotNull() & ~F.coalesce(state[name] == want, F.lit(False)), F.lit(f"dom-{name}:{selector}")) for name, want in fields.items()]
+    return F.filter(F.array(*found), lambda f: f.isNotNull()) if found else F.array().cast("array<string>")
+
+
 def event_oracle(
     events: DataFrame, session: str, order: Sequence[str], event: str, ts: str, expected: Sequence[str], max_ms: int, final_state: Mapping[str, object] | None = None
 ) -> DataFrame:

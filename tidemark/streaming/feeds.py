@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.text import is_blank
 from tidemark.plans.failures import FAILURE_RULES, failure_category
@@ -78,6 +80,70 @@ def accepted_observations(parsed: DataFrame, session: str, delay: str) -> DataFr
     return ok.withWatermark("observed_at", delay).dropDuplicatesWithinWatermark([session, "sequence"])
 
 
+# --- rows of a key in event order --------------------------------------------------------------------------
+
+
+class InOrder(StatefulProcessor):
+    """Takes the rows of a key in the order of (``us``, ``ord``) however they arrive.
+
+    Rows wait in a list state until the watermark has passed them, so the buffer is bounded by the delay; a timer wakes
+    the key when the first of them is due. A subclass names its further columns in ``fields``, opens its own state and
+    takes what is ready. Needs the RocksDB state store.
+    """
+
+    fields: str
+    out: Sequence[str]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._names = ["us", "ord", *(f.split()[0] for f in self.fields.split(", "))]
+        self._waiting = handle.getListState("waiting", f"us long, ord long, {self.fields}")
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def take(self, key: tuple, ready: list[tuple], passed_us: int, result: list[tuple]) -> int | None:
+        """Adds the output of ``ready`` to ``result``; returns the time at which the key wants to be woken, if any."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        plain = lambda row: tuple(v.tolist() if hasattr(v, "tolist") else v for v in row)
+        arrived = [plain(r) for batch in rows for r in batch[self._names].itertuples(index=False, name=None)]
+        yield from self._advance(key, arrived, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def _advance(self, key: tuple, arrived: list[tuple], passed: int) -> Iterator:
+        import pandas as pd
+
+        held = list(self._waiting.get()) if self._waiting.exists() else []
+        queue = sorted([*map(tuple, held), *arrived], key=lambda r: r[:2])
+        cut = bisect_right(queue, passed * 1000, key=lambda r: r[0])
+        if queue[cut:]:
+            self._waiting.put(queue[cut:])
+        elif held:
+            self._waiting.clear()
+        result: list[tuple] = []
+        due = [self.take(key, queue[:cut], passed * 1000, result), *(r[0] for r in queue[cut : cut + 1])]
+        for us in {d for d in due if d is not None}:
+            at = -(-us // 1000)
+            self._handle.registerTimer(at - 1 if at - 1 > passed else at)
+        if result:
+            yield pd.DataFrame(result, columns=list(self.out))
+
+    def close(self) -> None:
+        pass
+
+
+def _timed(rows: DataFrame, ts: str, order: str, delay: str, **fields: Column) -> DataFrame:
+    """``key``, ``us`` and ``ord`` with further columns; rows without a time or an order are not taken."""
+    cols = [c.alias(n) for n, c in fields.items()]
+    timed = rows.select(*cols, F.col(ts).alias("at"), F.col(order).cast("bigint").alias("ord")).withWatermark("at", delay)
+    return timed.where(F.col("at").isNotNull() & F.col("ord").isNotNull()).withColumn("us", F.unix_micros("at"))
+
+
 # --- ST2: event oracle ------------------------------------------------------------------------------------
 
 
@@ -133,6 +199,66 @@ def stream_event_oracle(events: DataFrame, session: str, event: str, ts: str, or
     )
 
 
+class _Sessions(InOrder):
+    fields = "event string, failed array<string>"
+    out = ("session", "first_us", "observations", "matched", "elapsed_ms", "failed")
+
+    def __init__(self, steps: tuple, hold_us: int) -> None:
+        self._steps, self._hold = steps, hold_us
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self._open = handle.getValueState("session", "first long, last long, n long, pos long, terminal long, failed array<string>")
+
+    def take(self, key, ready, passed_us, result):
+        steps, at = self._steps, self._open.get() if self._open.exists() else None
+
+        def verdict(first, last, n, pos, terminal, failed):
+            elapsed = None if terminal is None else float(max(0, terminal // 1000 - first // 1000))
+            result.append((key[0], first, n, pos, elapsed, list(failed)))
+
+        for us, _, event, failed in ready:
+            if at is not None and us > at[1] + self._hold:
+                verdict(*at)
+                at = None
+            first, _, n, pos, terminal, _ = at or (us, us, 0, 0, None, [])
+            if not steps or event == steps[-1]:
+                terminal = us
+            if pos < len(steps) and event == steps[pos]:
+                pos += 1
+            at = (first, us, n + 1, pos, terminal, list(failed) if failed is not None else [])
+        if at is not None and at[1] + self._hold <= passed_us:
+            verdict(*at)
+            at = None
+        if at is None:
+            self._open.clear()
+            return None
+        self._open.update(tuple(at))
+        return at[1] + self._hold
+
+
+def stream_semantic_oracle(
+    observations: DataFrame, session: str, event: str, ts: str, order: str, failures: str, expected: Sequence[str], max_ms: int, delay: str, timeout_ms: int
+) -> DataFrame:
+    """The whole event oracle of each session, once it has been silent for ``timeout_ms`` and the watermark has passed that.
+
+    Events in order, time from the first observation to the last one of the last expected event (of all, where none is
+    expected), and the failed checks of the final observation (``failures``, see ``plans.observations.dom_failures``). The batch twin
+    is ``event_oracle``. State is one row a session and what waits for the watermark; an observation after the
+    silence opens a new session of the same id. ``session`` is a long. Needs the RocksDB state store.
+    """
+    steps = tuple(expected)
+    named = F.when(F.col(event).isin(*steps), F.col(event)) if steps else F.lit(None).cast("string")
+    rows = _timed(observations, ts, order, delay, session=F.col(session), event=named, failed=F.col(failures))
+    judged = rows.groupBy("session").transformWithStateInPandas(
+        _Sessions(steps, timeout_ms * 1000), "session long, first_us long, observations long, matched long, elapsed_ms double, failed array<string>", "append", "EventTime"
+    )
+    out = judged.withColumns({
+        "elapsed_ms": F.col("elapsed_ms").cast("bigint"), "sequence_passed": F.col("matched") == len(steps),
+        "time_passed": F.coalesce(F.col("elapsed_ms") <= max_ms, F.lit(False)), "state_passed": F.size("failed") == 0,
+    })
+    return out.withColumn("passed", F.col("sequence_passed") & F.col("time_passed") & F.col("state_passed"))
+
+
 # --- ST3: failures ----------------------------------------------------------------------------------------
 
 
@@ -146,44 +272,73 @@ def failure_counts(lines: DataFrame, ts: str, line: str, width: str, delay: str,
 # --- ST4: remediation history ------------------------------------------------------------------------------
 
 
-def remediation_history(evals: DataFrame, chain: str, decision: str, state_hash: str, order: Sequence[str], no_progress: str = "REJECT_NO_PROGRESS", budget: int = 5) -> DataFrame:
-    """Cycle number, batch of ``budget`` cycles and place in it, no-progress streak and revisit flag of each evaluation as it arrives.
-
-    Visited states live in a keyed map state, so a chain's history is probed by key and
-    never loaded whole. Within a micro-batch evaluations are taken in ``order``; one that comes in a later micro-batch
-    counts after those before it. Needs the RocksDB state store.
+# Reasons a chain stops for.
+CYCLE_DETECTED = "REMEDIATION_CYCLE_DETECTED"
+EXHAUSTED = "REMEDIATION_RESIDUAL_CANDIDATES_EXHAUSTED"
+
+
+class _History(InOrder):
+    fields = "decision string, hash string, candidates array<string>, residuals array<string>"
+    out = ("chain", "row_id", "cycle", "batch", "in_batch", "rollover", "streak", "is_cycle", "exhausted", "stop_reason")
+
+    def __init__(self, accept: str, no_progress: str, cycle_found: str, budget: int) -> None:
+        self._accept, self._stalled, self._looped, self._budget = accept, no_progress, cycle_found, budget
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self._counters = handle.getValueState("counters", "cycle long, streak long, exhausted array<string>")
+        self._visited = handle.getMapState("visited", "hash string", "cycle long")
+
+    def take(self, key, ready, passed_us, result):
+        if not ready:
+            return None
+        cycle, streak, done = self._counters.get() if self._counters.exists() else (0, 0, [])
+        exhausted, known, budget = set(done), {}, self._budget
+        for _, row_id, decision, state, candidates, residuals in ready:
+            ids, left = ({i for i in part or () if i and not i.isspace()} for part in (candidates, residuals))
+            cycle += 1
+            streak = streak + 1 if decision == self._stalled else 0
+            seen = False
+            if state is not None:
+                if state not in known:
+                    known[state] = self._visited.containsKey((state,))
+                    if not known[state]:
+                        self._visited.updateValue((state,), (cycle,))
+                    seen, known[state] = known[state], True
+                else:
+                    seen = True
+            if decision == self._accept:
+                exhausted &= left
+            elif decision == self._stalled:
+                exhausted |= ids
+            stop = CYCLE_DETECTED if decision == self._looped else EXHAUSTED if decision == self._stalled and ids and left and left <= exhausted else None
+            place = (cycle - 1) % budget + 1
+            result.append((key[0], row_id, cycle, (cycle - 1) // budget + 1, place, place == budget and stop is None, streak, seen, sorted(exhausted), stop))
+        self._counters.update((cycle, streak, sorted(exhausted)))
+        return None
+
+
+def remediation_history(
+    evals: DataFrame, chain: str, decision: str, state_hash: str, ts: str, order: str, delay: str, candidates: str | None = None, residuals: str | None = None,
+    accept: str = "ACCEPT", no_progress: str = "REJECT_NO_PROGRESS", cycle_found: str = "REJECT_CYCLE", budget: int = 5,
+) -> DataFrame:
+    """Cycle number, batch of ``budget`` cycles and place in it, no-progress streak, revisit flag, exhausted ids and stop of each evaluation.
+
+    Evaluations are taken in the order of (``ts``, ``order``) across micro-batches: each waits until the watermark has passed
+    it. ``candidates`` are the residual ids an evaluation tried, ``residuals`` those open after its decision (after a rejection
+    the ones from before). An attempt without progress exhausts its ids; an acceptance keeps of the exhausted ones those still
+    open. ``stop_reason``: a cycle, or nothing open that is not exhausted. ``rollover`` closes a batch, unless the chain stops
+    there; evaluations after a stop count on.
+
+    Visited states lie in a keyed map state, so a chain's history is probed by key, once a state and micro-batch, and never
+    loaded whole. A null hash is never a revisit. The batch twins are W7, W8 and W11.
     """
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-    out = T.StructType([T.StructField("chain", T.LongType()), T.StructField("row_id", T.LongType()), T.StructField("cycle", T.LongType()), T.StructField("batch", T.LongType()), T.StructField("in_batch", T.LongType()), T.StructField("streak", T.LongType()), T.StructField("is_cycle", T.BooleanType())])
-    stalled = no_progress
-
-    class History(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self._counters = handle.getValueState("counters", "cycle long, streak long")
-            self._visited = handle.getMapState("visited", "hash string", "cycle long")
-
-        def handleInputRows(self, key, rows, timerValues):
-            import pandas as pd
-
-            cycle, streak = self._counters.get() if self._counters.exists() else (0, 0)
-            result = []
-            for rec in pd.concat(list(rows)).sort_values(["o1", "o2"]).to_dict("records"):
-                cycle += 1
-                streak = streak + 1 if rec["decision"] == stalled else 0
-                seen = self._visited.containsKey((rec["hash"],))
-                if not seen:
-                    self._visited.updateValue((rec["hash"],), (cycle,))
-                result.append((key[0], rec["o2"], cycle, (cycle - 1) // budget + 1, (cycle - 1) % budget + 1, streak, seen))
-            self._counters.update((cycle, streak))
-            yield pd.DataFrame(result, columns=["chain", "row_id", "cycle", "batch", "in_batch", "streak", "is_cycle"])
-
-        def close(self) -> None:
-            pass
-
-    first, second = order
-    rows = evals.select(F.col(chain).alias("chain"), F.col(decision).alias("decision"), F.col(state_hash).alias("hash"), F.col(first).alias("o1"), F.col(second).alias("o2"))
-    return rows.groupBy("chain").transformWithStateInPandas(History(), out, "append", "none")
+    none = F.lit(None).cast("array<string>")
+    rows = _timed(
+        evals, ts, order, delay, chain=F.col(chain), decision=F.col(decision), hash=F.col(state_hash),
+        candidates=F.col(candidates) if candidates else none, residuals=F.col(residuals) if residuals else none,
+    )
+    out = "chain long, row_id long, cycle long, batch long, in_batch long, rollover boolean, streak long, is_cycle boolean, exhausted array<string>, stop_reason string"
+    return rows.groupBy("chain").transformWithStateInPandas(_History(accept, no_progress, cycle_found, budget), out, "append", "EventTime")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -203,13 +358,16 @@ def with_rocksdb(spark: SparkSession, run):
 # --- ST5: ledgers -----------------------------------------------------------------------------------------
 
 
-def ingest_ledger(lines: DataFrame, line: str, schema: T.StructType, key: str, ts: str, root: str) -> None:
+def ingest_ledger(lines: DataFrame, line: str, schema: T.StructType, key: str, ts: str, root: str, fold_every: int | None = None) -> None:
     """Ledger feed into three tables: entries, quarantined lines and the latest entry per key.
 
     Each micro-batch writes its own partition, overwritten on replay, so a restarted
     batch changes nothing. The latest table holds one row per key and batch; its view is
-    a max_by over them (:func:`latest_view`) and older batches can be folded at any time.
+    a max_by over them (:func:`latest_view`). After every ``fold_every`` batches the parts are folded (:func:`fold_latest`).
     """
+    spark = lines.sparkSession
+    spark.range(-1, 0).toDF("upto").write.mode("ignore").parquet(f"{root}/folded")
+
     def sink(batch: DataFrame, batch_id: int) -> None:
         parsed = parse_ledger(batch, line, schema).persist()
         good = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
@@ -218,11 +376,43 @@ def ingest_ledger(lines: DataFrame, line: str, schema: T.StructType, key: str, t
         put(parsed.where(F.col(CORRUPT).isNotNull()), "rejects")
         put(good.groupBy(F.col(key)).agg(F.max_by(F.struct(*[c for c in good.columns if c != key]), ts).alias("row"), F.max(ts).alias("ts")), "latest")
         parsed.unpersist()
+        if fold_every and (batch_id + 1) % fold_every == 0:
+            fold_latest(spark, root, key, batch_id)
 
     query = lines.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def _folded_upto(spark: SparkSession, root: str) -> int:
+    return spark.read.schema("upto long").parquet(f"{root}/folded").agg(F.max("upto")).first()[0]
+
+
+def _latest_parts(spark: SparkSession, root: str, key: str, after: int, upto: int | None = None) -> DataFrame:
+    """Newest row per key of generation ``after`` and the batches behind it; of equal times the later batch wins."""
+    batch = F.col("batch_id").cast("bigint")
+    parts = spark.read.parquet(f"{root}/latest").where(batch > after)
+    parts = (parts if upto is None else parts.where(batch <= upto)).withColumn("batch_id", batch)
+    if after >= 0:
+        parts = parts.unionByName(spark.read.schema(parts.schema).parquet(f"{root}/generations/upto={after}"))
+    at = F.struct("ts", "batch_id")
+    return parts.groupBy(key).agg(F.max_by("row", at).alias("row"), F.max(at).alias("at")).select(key, "row", "at.*")
+
+
+def fold_latest(spark: SparkSession, root: str, key: str, upto: int) -> None:
+    """Fold the latest rows of all batches up to ``upto`` into one generation.
+
+    Only the generation before and the batches after it are read. The generation is written whole before its number enters
+    the table of marks, one file of one row: readers see the old generation or the new one. A fold broken off before its
+    mark is written anew, one that is marked is left alone, and a batch replayed behind the mark is no longer read.
+    Folded parts are pruned by their partition; any tool may remove them.
+    """
+    after = _folded_upto(spark, root)
+    if upto <= after:
+        return
+    _latest_parts(spark, root, key, after, upto).write.mode("overwrite").parquet(f"{root}/generations/upto={upto}")
+    spark.range(upto, upto + 1).toDF("upto").coalesce(1).write.mode("append").parquet(f"{root}/folded")
+
+
 def latest_view(spark: SparkSession, root: str, key: str) -> DataFrame:
-    latest = spark.read.parquet(f"{root}/latest")
-    return latest.groupBy(key).agg(F.max_by("row", "ts").alias("row")).select(key, "row.*")
+    """Newest row per key: the last generation and the batches after it."""
+    return _latest_parts(spark, root, key, _folded_upto(spark, root)).select(key, "row.*")
