@@ -475,6 +475,29 @@ def test_op10_against_brute_force(spark, docs, rows, clashing, empty):
     assert keep_quality(table).count() == sum(r.kept for r in got)
 
 
+def test_op10_noise_inside_a_text_is_dropped(spark):
+    """Base64 in a fifth of a text or more, and of 3 KB at least, at either end or inside; texts without it stay."""
+    rng, rows, noisy = np.random.default_rng(23), [], set()
+    # words of two syllables and a running number: no phrase repeats
+    part = ["".join(p) for p in zip(rng.choice(list("bdfgklmnprst"), 400), rng.choice(list("aeiou"), 400), rng.choice(list("lmnrst"), 400))]
+    say = lambda n: " ".join(part[a] + (part[b] if b % 3 else "") for a, b in rng.integers(0, 60, (n // 3, 2)).tolist())[:n]
+    for length in (3000, 10_000, 20_000, 60_000):
+        rows.append((len(rows), say(length), None, None, None))
+        for share in (0.2, 0.3, 0.5):
+            cut = int(length * share)
+            if cut < 3 * 1024:  # two small chunks at least lie wholly in the noise
+                continue
+            for place in (0.0, 0.4, 1.0):
+                raw = base64.b64encode(rng.bytes(cut)).decode()
+                noise = " ".join(raw[i : i + 76] for i in range(0, len(raw), 76))[:cut]
+                clean = say(length - cut)
+                at = int(len(clean) * place)
+                noisy.add(len(rows))
+                rows.append((len(rows), clean[:at] + " " + noise + " " + clean[at:], None, None, None))
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i for i, r in got.items() if not r.kept} == noisy and noisy
+
+
 def test_op10_noise_of_each_length_is_dropped(spark):
     rng = np.random.default_rng(5)
     noise = base64.b64encode(rng.bytes(40_000)).decode()
