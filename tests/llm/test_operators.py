@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -61,6 +62,24 @@ def test_likeness():
     assert 0.4 < likeness(mark(text), mark(text[: len(text) // 2])) < 0.6
 
 
+def test_likeness_against_true_extensions():
+    """Common prefix and suffix by comparing characters, over texts that repeat themselves, edited ones and unrelated ones."""
+    powers, rnd = Powers(), np.random.default_rng(31)
+    draw = lambda n, letters: "".join(rnd.choice(list(letters), n))
+    pairs = [("ab " * 1000, "ab " * 1500), ("", ""), ("", "a"), ("a" * 50, "a" * 49)]
+    for _ in range(200):
+        one = draw(int(rnd.integers(0, 300)), "ab" if rnd.random() < 0.3 else "abcdefgh")
+        at = int(rnd.integers(0, len(one) + 1))
+        pairs += [(one, one[:at] + draw(int(rnd.integers(0, 40)), "xyz") + one[at:]), (one, one[at:]), (one, draw(50, "abc"))]
+    for one, two in pairs:
+        ends = [sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(x, y))) for x, y in ((one, two), (one[::-1], two[::-1]))]
+        shared, longest = min(sum(ends), len(one), len(two)), max(len(one), len(two))
+        got = likeness(*(fingerprint(PrefixHashes.of(t, powers)) for t in (one, two)))
+        want = 1.0 if one == two else shared / longest
+        assert got == likeness(*(fingerprint(PrefixHashes.of(t, powers)) for t in (two, one)))
+        assert 0.8 * want <= got <= want + 1e-12
+
+
 def test_op1_against_brute_force(docs, rows, clashing, empty):
     order = sorted(((d, plain(t)) for d, t, *_ in rows), key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1]))
     want = Counter()

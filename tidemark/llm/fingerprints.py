@@ -15,6 +15,8 @@ PRIME = (1 << 31) - 1
 #: Two independent bases modulo the same prime give 62 bits.
 BASES = (1_103_515_245, 1_664_525_171)
 RUNG_HEX = 6
+#: Spreads both halves of a span hash over the bits that a rung keeps; the halves of a single code point are equal.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -97,8 +99,8 @@ def fingerprint(hashes: PrefixHashes) -> str:
     at = rungs(n)
     heads = hashes.span(np.zeros(len(at), dtype=np.int64), at)
     tails = hashes.span(n - at, np.full(len(at), n))
-    cut = np.uint64((1 << 4 * RUNG_HEX) - 1)
-    hexed = lambda x: "".join(f"{v:0{RUNG_HEX}x}" for v in ((x ^ (x >> np.uint64(31))) & cut).tolist())
+    kept = np.uint64(64 - 4 * RUNG_HEX)
+    hexed = lambda x: "".join(f"{v:0{RUNG_HEX}x}" for v in (x * SPREAD >> kept).tolist())
     return f"{n:x}-{int(hashes.span(0, n)):016x}-{hexed(heads)}-{hexed(tails)}"
 
 
@@ -106,13 +108,13 @@ def likeness(one: str, two: str) -> float:
     """Share of the longer text that the two have in common at their ends, from fingerprints alone, 0 to 1.
 
     The longest common prefix and suffix are located by binary search over the rungs, so each is a lower
-    bound within a fifth; equal fingerprints give 1.
+    bound within a fifth; together they are no longer than the shorter text. Equal fingerprints give 1.
     """
     if one == two:
         return 1.0
     (n, _, heads, tails), (m, _, other_heads, other_tails) = one.split("-"), two.split("-")
-    longest = max(int(n, 16), int(m, 16))
-    at = rungs(min(int(n, 16), int(m, 16))).tolist()
+    shortest, longest = sorted((int(n, 16), int(m, 16)))
+    at = rungs(shortest).tolist()
     shared = 0
     for a, b in ((heads, other_heads), (tails, other_tails)):
         lo, hi = 0, len(at)
@@ -123,7 +125,7 @@ def likeness(one: str, two: str) -> float:
             else:
                 hi = mid - 1
         shared += at[lo - 1] if lo else 0
-    return min(1.0, shared / longest) if longest else 0.0
+    return min(shared, shortest) / longest if longest else 0.0
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
