@@ -82,3 +82,12 @@ def test_selectors(spark):
     }
     got = {r.line: (r.kind, r.value, r.source_expr) for r in extract_selectors(spark.createDataFrame([(x,) for x in said], "line string")).withColumn("x", F.lit(1)).collect()}
     assert got == {line: fact for line, fact in said.items() if fact}
+
+
+def test_selectors_are_all_that_a_call_is_given(spark):
+    said = {
+        'var item = Driver.FindElement(By.Id("token = "abc" and so on"));': None, 'var a = By.Id("x" + tail);': None, 'var a = By.Id ( "x" );': ("Id", "x", "a"),
+        'a = By.Id("x = "y"); b = By.Id("z")': ("Id", "z", "b"), 'go((By.ID, "a"), 5)': ("Id", "a", "selector:Id:a"),
+    }
+    got = {r.line: (r.kind, r.value, r.source_expr) for r in extract_selectors(spark.createDataFrame([(x,) for x in said], "line string")).collect()}
+    assert got == {line: fact for line, fact in said.items() if fact}
