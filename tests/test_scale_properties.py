@@ -181,3 +181,13 @@ def test_identifiers_of_several_tokens(spark):
             if found:
                 want[k, i] = (len(found), text[: found[0].start()].count("\n") + 1)
     assert got == want
+
+
+def test_totals_on_a_half_round_up(spark, tmp_path):
+    """1000 tenths and a half are 100.5; added as doubles they stay below it."""
+    from tidemark.catalog import load
+
+    rows = [(i, 0.1, "1-URGENT") for i in range(1000)] + [(1000, 0.5, "1-URGENT")]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderpriority string").withColumn("o_orderdate", F.lit("1995-03-01").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = load()[0]["w12_run_trend"](spark, str(tmp_path)).collect()
+    assert [(r.month, r.orders, r.total) for r in got] == [("1995-03", 1001, 101)]
