@@ -191,3 +191,19 @@ def test_totals_on_a_half_round_up(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderpriority string").withColumn("o_orderdate", F.lit("1995-03-01").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     got = load()[0]["w12_run_trend"](spark, str(tmp_path)).collect()
     assert [(r.month, r.orders, r.total) for r in got] == [("1995-03", 1001, 101)]
+
+
+def test_items_are_searched_whole_and_in_part(spark, tmp_path):
+    """A text that holds only some words of an item is found beside one that holds it whole."""
+    from tidemark.catalog import load
+
+    item = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(i, f"{item} {i}") for i in (0, 2)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    said = [f"<{item} 0>", "<one two three>", "<two three or four >"]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(said)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(1, 1, "user", f"<{item} 0>"), (1, 2, "user", "<Three four five>"), (1, 3, "user", "three, four five")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: load()[0][name](spark, str(tmp_path)).collect()
+    assert {r.layer: (r.rules, r.matched) for r in run("a07_reuse_ratio")} == {"layer0": (2, 2), "layer2": (2, 1)}
+    assert {r.key: (r.n, r.hits) for r in run("c03_profile_match") if r.part == "layer"} == {"layer0": (2, 3), "layer2": (2, 1)}
+    assert sorted((r.target_id, r.turn) for r in run("c35_memory_recall")) == [(0, 1), (0, 2), (2, 1), (2, 2)]

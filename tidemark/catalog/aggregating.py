@@ -96,7 +96,9 @@ def a06(spark, sf):
     return A.is_parameterized(table(spark, sf, "lineitem"), ["l_partkey", "l_suppkey"], "l_quantity")
 
 
-REUSE_SQL = """rules AS (SELECT item_id AS rule_id, 'layer' || (item_id % 5) AS layer, text AS key FROM benchmark),
+# Two rules an item: its whole text and its first 2 to 8 words.
+REUSE_SQL = """rules AS (SELECT 'full-' || item_id AS rule_id, 'layer' || (item_id % 5) AS layer, text AS key FROM benchmark
+      UNION ALL SELECT 'part-' || item_id, 'layer' || (item_id % 5), array_to_string(string_split(text, ' ')[1:(2 + item_id % 7)], ' ') FROM benchmark),
     hits AS (SELECT DISTINCT rule_id FROM rules, documents WHERE contains(text, key)),
     agg AS (SELECT layer, count(*) AS rules, count(h.rule_id) AS matched FROM rules r LEFT JOIN hits h USING (rule_id) GROUP BY layer)"""
 
@@ -104,8 +106,10 @@ REUSE_SQL = """rules AS (SELECT item_id AS rule_id, 'layer' || (item_id % 5) AS
 def reuse_tables(spark, sf):
     from tidemark.operators.literals import literal_hits
 
-    b = table(spark, sf, "benchmark")
-    rules = b.select(F.col("item_id").alias("rule_id"), F.concat(F.lit("layer"), (F.col("item_id") % 5).cast("string")).alias("layer"), F.col("text").alias("key"))
+    b, k = table(spark, sf, "benchmark"), F.col("item_id")
+    words = F.array_join(F.slice(F.split("text", " ", -1), F.lit(1), (k % 7 + 2).cast("int")), " ")
+    rule = lambda kind, key: b.select(F.concat(F.lit(kind + "-"), k.cast("string")).alias("rule_id"), F.concat(F.lit("layer"), (k % 5).cast("string")).alias("layer"), key.alias("key"))
+    rules = rule("full", F.col("text")).unionAll(rule("part", words))
     return rules, literal_hits(table(spark, sf, "documents"), "doc_id", "text", rules, "rule_id", "key")
 
 

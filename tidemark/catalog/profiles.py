@@ -10,10 +10,12 @@ from tidemark.catalog.registry import query, table
 from tidemark.functions.predicates import signal_counts
 from tidemark.plans import portfolio, profiles as P
 
+# An item is one rule on its whole text and, unless it is a single identifier, one on some of its words.
 RX = lambda c: rf"regexp_replace({c}, '([\\.\[\]{{}}()*+?^$|#\-])', '\\\1', 'g')"
 PROFILE_SQL = EXPRESSION_SQL + rf""",
-rules AS (SELECT item_id AS rule_id, 'layer' || (item_id % 4) AS layer, CASE item_id % 3 WHEN 0 THEN 'UiTargets' WHEN 1 THEN 'TargetKnownIdentifiers' ELSE 'ParameterizedMethods' END AS section,
-   CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN regexp_extract(string_split(text, ' ')[4], '\w+', 0) ELSE array_to_string(string_split(text, ' ')[1:len(string_split(text, ' ')) - 2], ' ') || ' {{x}} ' || string_split(text, ' ')[-1] END AS key FROM benchmark),
+items AS (SELECT item_id, 'layer' || (item_id % 4) AS layer, CASE item_id % 3 WHEN 0 THEN 'UiTargets' WHEN 1 THEN 'TargetKnownIdentifiers' ELSE 'ParameterizedMethods' END AS section, string_split(text, ' ') AS w, text FROM benchmark),
+rules AS (SELECT 'full-' || item_id AS rule_id, layer, section, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN regexp_extract(w[4], '\w+', 0) ELSE array_to_string(w[1:len(w) - 2], ' ') || ' {{x}} ' || w[-1] END AS key FROM items
+   UNION ALL SELECT 'part-' || item_id, layer, section, CASE item_id % 3 WHEN 0 THEN array_to_string(w[1:(2 + item_id % 7)], ' ') ELSE w[2] || ' ' || w[3] || ' {{x}} ' || w[4] || ' ' END FROM items WHERE item_id % 3 <> 1),
 hit AS (
   SELECT rule_id, doc_id, ((length(text) - length(replace(text, key, ''))) // length(key))::BIGINT AS hits FROM documents, rules WHERE section = 'UiTargets' AND contains(text, key)
   UNION ALL SELECT rule_id, doc_id, len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda t: t = key)) FROM documents, rules WHERE section = 'TargetKnownIdentifiers' AND contains(text, key)
@@ -32,14 +34,16 @@ def c03(spark, sf):
     b = table(spark, sf, "benchmark").withColumn("w", F.split("text", " ", -1))
     k = F.col("item_id")
     w = lambda i: F.get("w", F.lit(i))
-    key = (
+    full = (
         F.when(k % 3 == 0, F.col("text")).when(k % 3 == 1, F.regexp_extract(w(3), r"\w+", 0))
         .otherwise(F.concat(F.array_join(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))), " "), F.lit(" {x} "), F.element_at("w", -1)))
     )
-    rules = b.select(
-        k.alias("rule_id"), F.concat(F.lit("layer"), (k % 4).cast("string")).alias("layer"),
+    part = F.when(k % 3 == 0, F.array_join(F.slice("w", F.lit(1), (k % 7 + 2).cast("int")), " ")).otherwise(F.concat(w(1), F.lit(" "), w(2), F.lit(" {x} "), w(3), F.lit(" ")))
+    rule = lambda items, kind, key: items.select(
+        F.concat(F.lit(kind + "-"), k.cast("string")).alias("rule_id"), F.concat(F.lit("layer"), (k % 4).cast("string")).alias("layer"),
         F.expr("CASE item_id % 3 WHEN 0 THEN 'UiTargets' WHEN 1 THEN 'TargetKnownIdentifiers' ELSE 'ParameterizedMethods' END").alias("section"), key.alias("key"),
     )
+    rules = rule(b, "full", full).unionAll(rule(b.where(k % 3 != 1), "part", part))
     m = P.profile_match(rules, table(spark, sf, "documents"), expression_lines(spark, sf), "doc_id", "text")
     layers = m["layers"].select(F.lit("layer").alias("part"), F.col("layer").alias("key"), F.col("rules").alias("n"), "score", "hits")
     gaps = m["gaps"].select(F.lit("gap").alias("part"), F.col("expression").alias("key"), "n", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("hits"))
