@@ -526,3 +526,16 @@ def test_op10_noise_of_each_length_is_dropped(spark):
     got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert not any(got[i].base_failed or got[i].kept for i in range(len(sizes)))
     assert all(got[100 + i].kept for i in range(len(sizes)))
+
+
+def test_encoders_of_earlier_stages_are_dropped():
+    """Language identification holds no encoder that packing left in the same Python worker."""
+    import weakref
+
+    from tidemark.llm.langid import drop_encoders
+    from tidemark.llm.tokens import encoder_of
+
+    left = weakref.ref(encoder_of(BYTES_JSON, " "))
+    assert left() is not None and encoder_of.cache_info().currsize == 1
+    drop_encoders()
+    assert left() is None and encoder_of.cache_info().currsize == 0

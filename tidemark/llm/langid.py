@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices
+from tidemark.llm.tokens import drop_encoders, give_back
 
 #: First code point of each script range of the Unicode standard that has a spelling of its own.
 SCRIPT_RANGES = (
@@ -133,6 +134,7 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, order_by, most: int = T
     picked = rows.where(F.pmod(F.xxhash64(order_by), F.lit(1_000_000)) < chance * 1_000_000)
 
     def count(batches):
+        drop_encoders()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             by = batch.column(0).to_pylist()
@@ -146,6 +148,7 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, order_by, most: int = T
                     own[:GRAM_BUCKETS] += np.bincount(bucket[letter_at[i] : letter_at[i + 1]], minlength=GRAM_BUCKETS)
                     words = slice(bounds[i], bounds[i + 1])
                     np.add.at(own, GRAM_BUCKETS + script[words].astype(np.int64), lengths[words])
+        give_back()
         for lang, own in sums.items():
             some = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(own[some])], ["lang", "bucket", "n"])
@@ -168,6 +171,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_cols: list[str], text_col
     fields = docs.select(*id_cols).schema
 
     def work(batches):
+        drop_encoders()
         own: LanguageModel = shipped.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
@@ -203,6 +207,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_cols: list[str], text_col
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_spans))), pa.int32()), cells))
                     labels.append("spans")
                 yield pa.RecordBatch.from_arrays(out, labels)
+        give_back()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double, n_spans long"] + ["spans array<struct<first_word: long, words: long, lang: string>>"] * spans)
     return docs.select(*id_cols, F.col(text_col).cast("string").alias("__text")).mapInArrow(work, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from array import array
 from functools import lru_cache
@@ -119,3 +121,20 @@ class PieceEncoder:
 def encoder_of(path: str, glue: str) -> PieceEncoder:
     """The encoder of a Python worker, whose tasks share its cache."""
     return PieceEncoder(path, glue)
+
+
+def drop_encoders() -> None:
+    """Frees what tasks of an earlier stage left in a Python worker: the encoders with their caches, and the heap they held."""
+    if encoder_of.cache_info().currsize:
+        encoder_of.cache_clear()
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Returns the freed memory of a Python worker to the system, which the allocators would keep for the next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
