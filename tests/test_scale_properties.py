@@ -207,3 +207,21 @@ def test_items_are_searched_whole_and_in_part(spark, tmp_path):
     assert {r.layer: (r.rules, r.matched) for r in run("a07_reuse_ratio")} == {"layer0": (2, 2), "layer2": (2, 1)}
     assert {r.key: (r.n, r.hits) for r in run("c03_profile_match") if r.part == "layer"} == {"layer0": (2, 3), "layer2": (2, 1)}
     assert sorted((r.target_id, r.turn) for r in run("c35_memory_recall")) == [(0, 1), (0, 2), (2, 1), (2, 2)]
+
+
+def test_contracts_are_parsed_once_and_in_many_tasks(spark):
+    from tidemark.catalog import load
+    from tidemark.plans.configs import validate_contracts
+
+    shape = {"$": (("id", "project"), ()), "$.project": (("files",), ()), "$.project.ms": ((), ("nullable",))}
+    good = '{"schemaVersion":"scenario/v1","id":"abc","source":{"migrationFiles":["a.cs"]},"project":{"files":["A.cs","x/../b.cs"],"ms":{"odd":1}}}'
+    rows = spark.createDataFrame([(1, good), (2, "[1]"), (3, None), (4, '{"id":"abc","project":7}')], "k long, doc string")
+    out = validate_contracts(rows, "doc", ["k"], shape)
+    want = {(1, "SCHEMA_PROPERTY_UNKNOWN", f"$.{n}") for n in ("schemaVersion", "source")} | {(1, "SCHEMA_PROPERTY_UNKNOWN", "$.project.ms"), (1, "SCHEMA_PROPERTY_UNKNOWN", "$.project.ms.odd")}
+    want |= {(2, "SCHEMA_TYPE_INVALID", "$"), (3, "SCHEMA_TYPE_INVALID", "$"), (4, "SCHEMA_TYPE_INVALID", "$.project")}
+    want |= {(4, c, "") for c in ("SCHEMA_VERSION_UNSUPPORTED", "PROJECT_FILES_MISSING", "MIGRATION_FILES_MISSING")}
+    assert {tuple(r) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object(_doc" not in plan and plan.count("json_tuple(doc") == 1
+    query = load()[0]["c23_validate_contracts"](spark, "/root/testdata/sf0.01")
+    assert query.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism

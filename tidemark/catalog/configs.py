@@ -52,7 +52,7 @@ SHAPE = {"$": (("schemaVersion", "id", "tags", "source", "project", "qualityBudg
     UNION ALL SELECT k, 'MIGRATION_FILES_MISSING', '' FROM e WHERE k % 101 <> 0 AND k % 43 = 0 AND k % 3 <> 0""",
 )
 def c23(spark, sf):
-    e = spread(table(spark, sf, "events"))
+    e = spread(table(spark, sf, "events"), tasks_a_core=4)
     k = F.col("event_id")
     part = lambda cond, text: F.when(cond, F.lit(text)).otherwise(F.lit(""))
     files = F.concat(

@@ -137,45 +137,55 @@ CONTRACT_SHAPE = {
 SCENARIO_ID = r"^[a-z0-9][a-z0-9-]{1,78}[a-z0-9]$"
 
 
-def _shape_issues(doc: Column, path: str, required: Sequence[str], optional: Sequence[str]) -> Column:
-    """Unknown and missing properties of one object; an absent object is its parent's issue."""
-    obj = doc if path == "$" else F.get_json_object(doc, path)
-    names = F.json_object_keys(obj)
+def _shape_issues(held: Column, names: Column, path: str, required: Sequence[str], optional: Sequence[str]) -> Column:
+    """Unknown and missing properties of one object by its names; an absent object is its parent's issue."""
     list_of = lambda values: F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
     label = lambda code: (lambda n: F.concat(F.lit(f"{code}:{path}."), n))
     wrong = F.array(F.lit(f"SCHEMA_TYPE_INVALID:{path}"))
-    unknown = F.transform(F.array_sort(F.array_except(names, list_of((*required, *optional)))), label("SCHEMA_PROPERTY_UNKNOWN"))
+    unknown = F.transform(F.sort_array(F.array_except(names, list_of((*required, *optional)))), label("SCHEMA_PROPERTY_UNKNOWN"))
     missing = F.transform(F.array_except(list_of(required), names), label("SCHEMA_PROPERTY_REQUIRED"))
-    absent = F.lit(False) if path == "$" else obj.isNull()
+    absent = F.lit(False) if path == "$" else ~held
     return F.when(absent, F.array().cast("array<string>")).when(names.isNull(), wrong).otherwise(F.concat(unknown, missing))
 
 
 def validate_contracts(contracts: DataFrame, json_col: str, keys: Sequence[str], shape=CONTRACT_SHAPE, version: str = "scenario/v1") -> DataFrame:
-    """Violations of JSON contracts as (code, detail): shape, version, id form, budgets, file lists and paths. Row-local, no shuffle."""
-    doc = F.col(json_col)
-    listed = lambda path: F.coalesce(F.from_json(F.get_json_object(doc, path), "array<string>"), F.array().cast("array<string>"))
-    budget = F.coalesce(F.map_values(F.from_json(F.get_json_object(doc, "$.qualityBudget"), "map<string,double>")), F.array().cast("array<double>"))
-    rows = contracts.select(*keys, doc.alias("_doc"), listed("$.project.files").alias("_files"), listed("$.source.migrationFiles").alias("_migration"), budget.alias("_budget"))
-    text = lambda p: F.get_json_object("_doc", p)
-    files, migration = F.col("_files"), F.col("_migration")
-    folded = lambda c: F.transform(c, F.lower)
-    is_object = F.json_object_keys("_doc").isNotNull()
-    unlisted = F.filter(migration, lambda m: ~F.array_contains(folded(files), F.lower(m)))
+    """Violations of JSON contracts as (code, detail): shape, version, id form, budgets, file lists and paths. Row-local, no shuffle.
+
+    A contract is parsed for its names and once more for the objects it holds; what the checks read is a column before they read it.
+    """
+    tops = list(dict.fromkeys(["schemaVersion", "id", "project", "source", "qualityBudget", *[p.split(".")[1] for p in shape if p != "$"]]))
+    top = contracts.select(*keys, F.col(json_col).alias("_doc"), F.json_tuple(json_col, *tops).alias(*[f"_{n}" for n in tops]))
+
+    def held(path: str) -> Column:
+        if path == "$":
+            return F.col("_doc")
+        name, *deeper = path.removeprefix("$.").split(".")
+        return F.get_json_object(f"_{name}", "$." + ".".join(deeper)) if deeper else F.col(f"_{name}")
+
+    listed = lambda path: F.coalesce(F.from_json(held(path), "array<string>"), F.array().cast("array<string>"))
+    budget = F.coalesce(F.map_values(F.from_json("_qualityBudget", "map<string,double>")), F.array().cast("array<double>"))
+    objects = {path: (F.col(f"_held{i}"), F.col(f"_names{i}")) for i, path in enumerate(shape)}
+    rows = top.select(
+        *keys, "_schemaVersion", "_id", F.json_object_keys("_doc").isNotNull().alias("_is_object"), listed("$.project.files").alias("_files"), listed("$.source.migrationFiles").alias("_migration"),
+        budget.alias("_budget"), *[held(p).isNotNull().alias(f"_held{i}") for i, p in enumerate(shape)], *[F.json_object_keys(held(p)).alias(f"_names{i}") for i, p in enumerate(shape)],
+    ).withColumn("_folded", F.transform("_files", F.lower))
+    files, migration, folded = F.col("_files"), F.col("_migration"), F.col("_folded")
+    unlisted = F.filter(migration, lambda m: ~F.array_contains(folded, F.lower(m)))
     checks = matching_labels(
         [
-            ("SCHEMA_VERSION_UNSUPPORTED:", ~F.coalesce(text("$.schemaVersion") == version, F.lit(False))),
-            ("SCENARIO_ID_INVALID:", ~F.coalesce(F.rlike(text("$.id"), F.lit(SCENARIO_ID)), F.lit(False))),
+            ("SCHEMA_VERSION_UNSUPPORTED:", ~F.coalesce(F.col("_schemaVersion") == version, F.lit(False))),
+            ("SCENARIO_ID_INVALID:", ~F.coalesce(F.rlike("_id", F.lit(SCENARIO_ID)), F.lit(False))),
             ("QUALITY_BUDGET_NEGATIVE:", F.exists("_budget", lambda x: x < 0)),
             ("PROJECT_FILES_MISSING:", F.size(files) == 0), ("MIGRATION_FILES_MISSING:", F.size(migration) == 0),
-            ("DUPLICATE_PROJECT_PATH:", F.size(F.array_distinct(folded(files))) < F.size(files)),
+            ("DUPLICATE_PROJECT_PATH:", F.size(F.array_distinct(folded)) < F.size(files)),
             ("PROJECT_PATH_EMPTY:", F.exists(files, lambda p: F.length(F.trim(p)) == 0)),
             ("PROJECT_PATH_ABSOLUTE:", F.exists(files, lambda p: F.rlike(p, F.lit(r"^(?:/|[A-Za-z]:)")))),
-            ("PROJECT_PATH_ESCAPES_SCENARIO:", F.exists(files, escapes)),
+            ("PROJECT_PATH_ESCAPES_SCENARIO:", F.exists(files, lambda p: F.contains(p, F.lit("..")) & escapes(p))),
         ]
     )
-    shapes = [_shape_issues(F.col("_doc"), path, required, optional) for path, (required, optional) in shape.items()]
+    shapes = [_shape_issues(*objects[path], path, required, optional) for path, (required, optional) in shape.items()]
     none = F.array().cast("array<string>")
-    extra = F.when(is_object, F.concat(checks, F.transform(unlisted, lambda m: F.concat(F.lit("MIGRATION_FILE_NOT_IN_PROJECT:"), m)))).otherwise(none)
+    extra = F.when(F.col("_is_object"), F.concat(checks, F.transform(unlisted, lambda m: F.concat(F.lit("MIGRATION_FILE_NOT_IN_PROJECT:"), m)))).otherwise(none)
     out = rows.select(*keys, F.explode(F.concat(*shapes, extra)).alias("_t"))
     cut = F.position(F.lit(":"), F.col("_t"))
     return out.select(*keys, F.substring_index("_t", ":", 1).alias("code"), F.substring(F.col("_t"), cut + 1, F.lit(2**31 - 1)).alias("detail"))
