@@ -235,3 +235,15 @@ def test_contracts_are_parsed_once_and_in_many_tasks(spark):
     assert "get_json_object(_doc" not in plan and plan.count("json_tuple(doc") == 1
     query = load()[0]["c23_validate_contracts"](spark, "/root/testdata/sf0.01")
     assert query.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_runs_are_dealt_to_more_tasks_where_there_are_more_rows(spark, monkeypatch):
+    """Stage rows are shuffled once, by their run, and no task is given more of them because the table is larger."""
+    from tidemark import session
+    from tidemark.catalog.comparing import status_runs
+
+    monkeypatch.setattr(session, "TASK_ROWS", 200)
+    runs = status_runs(spark, "/root/testdata/sf0.001")
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", plan)] == [-(-rows // 200)]
