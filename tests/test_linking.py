@@ -135,3 +135,13 @@ def test_malformed_action_trees_become_rows(spark):
 
 def test_stop_words():
     assert NO_TEST_TOKENS == ("failed", "passed", "test", "name", "error")
+
+
+def test_names_offer_their_own_parts(spark):
+    """Names are looked up by the words they may hold, first file of each, and never compared with the words of the tests."""
+    from tidemark.operators.linking import _first_by_token
+
+    rows = [(2, "LoginPage", "x"), (1, "9abcd é_Pages", None), (3, "LoginPage", "login"), (0, None, "pages")]
+    got = {r.token: (r.first.file, r.first.stage) for r in _first_by_token(spark.createDataFrame(rows, "file int, name string, text string")).collect()}
+    assert got["abcd"] == (1, "name") and got["_pages"] == (1, "name") and got["pages"] == (0, "token") and got["inpa"] == (2, "name") and got["login"] == (2, "name")
+    assert "9abcd" not in got and "log" not in got and len([t for t in got if t.startswith("l")]) == 6

@@ -73,14 +73,24 @@ def resolve_frames(frames: DataFrame, files: DataFrame, depth: int | None = None
     return hits.groupBy("frame").agg(F.min(F.struct((-F.col("n")).alias("less"), "file")).alias("b")).select("frame", F.col("b.file").alias("file"))
 
 
+def _first_by_token(generated: DataFrame) -> DataFrame:
+    """``(token, first)``: the first file whose name contains a word or whose text has it, with the stage.
+
+    Names offer all parts that may be a word of a test (quadratic in the length of one name, not in their number),
+    each different name once, so the words of the tests are never compared with names.
+    """
+    names = generated.where("name IS NOT NULL").groupBy(F.lower("name").alias("name")).agg(F.min("file").alias("file"))
+    runs = names.select("file", F.explode(F.array_distinct(F.regexp_extract_all("name", F.lit("[a-z0-9_]{4,}"), F.lit(0)))).alias("run"))
+    starts = runs.select("file", "run", F.explode(F.sequence(F.lit(1), F.length("run") - 3)).alias("at"))
+    spans = starts.select("file", "run", "at", F.explode(F.sequence(F.lit(4), F.length("run") - F.col("at") + 1)).alias("n"))
+    by_name = spans.select("file", F.substring("run", F.col("at"), F.col("n")).alias("token"), F.lit("name").alias("stage")).where(F.rlike("token", F.lit("^[a-z_]")))
+    by_text = test_tokens(generated, "file", "text").withColumn("stage", F.lit("token"))
+    return by_name.unionByName(by_text).groupBy("token").agg(F.min(F.struct("file", "stage")).alias("first"))
+
+
 def first_files(obs: DataFrame, generated: DataFrame) -> DataFrame:
     """``(obs, file, stage)``: the first generated file whose name contains a token of the test, or whose text has it as a word."""
-    tokens = test_tokens(obs, "obs", "words")
-    named = literal_hits(generated.select("file", F.lower("name").alias("name")), "file", "name", tokens.select("token").distinct().withColumn("key", F.col("token")), "token", "key")
-    by_name = named.groupBy("token").agg(F.min(F.struct("file", F.lit("name").alias("stage"))).alias("first"))
-    by_text = test_tokens(generated, "file", "text").groupBy("token").agg(F.min(F.struct("file", F.lit("token").alias("stage"))).alias("first"))
-    lookup = by_name.unionByName(by_text).groupBy("token").agg(F.min("first").alias("first"))
-    best = tokens.join(lookup, "token").groupBy("obs").agg(F.min("first").alias("first"))
+    best = test_tokens(obs, "obs", "words").join(_first_by_token(generated), "token").groupBy("obs").agg(F.min("first").alias("first"))
     return best.select("obs", "first.file", "first.stage")
 
 
@@ -125,18 +135,21 @@ def link_failures(obs: DataFrame, generated: DataFrame, reports: DataFrame, dept
     framed = framed.groupBy("obs").agg(F.min(F.struct("frame", F.col("line").cast("long").alias("line"))).alias("f")).select("obs", "f.frame", "f.line")
     known = resolve_frames(framed.select("frame").distinct(), generated.select("file", "path"), depth)
     by_frame = framed.join(known, "frame", "left").select("obs", "file", F.col("frame").alias("shown"), "line", F.lit("frame").alias("stage"))
-    rest = obs.join(framed.select("obs"), "obs", "left_anti")
-    by_word = first_files(rest, generated).select("obs", "file", F.lit(None).cast("string").alias("shown"), F.lit(None).cast("long").alias("line"), "stage")
+    # one look at the words of all tests: the first file and the first report of each word
+    sourced = report_sources(reports)
+    said = test_tokens(sourced, "report", "text").groupBy("token").agg(F.min("report").alias("report"))
+    lookup = _first_by_token(generated).join(said, "token", "full")
+    best = test_tokens(obs, "obs", "words").join(lookup, "token").groupBy("obs").agg(F.min("first").alias("first"), F.min("report").alias("report"))
+    rest = best.where("first IS NOT NULL").select("obs", "first.file", "first.stage").join(framed.select("obs"), "obs", "left_anti")
+    by_word = rest.select("obs", "file", F.lit(None).cast("string").alias("shown"), F.lit(None).cast("long").alias("line"), "stage")
     paths = generated.groupBy(F.col("file").alias("_file")).agg(F.min("path").alias("path"))
     found = by_frame.unionByName(by_word).join(paths, F.col("file") == F.col("_file"), "left").drop("_file").withColumn("generated_path", F.coalesce("path", "shown")).drop("path", "shown")
     base = found.withColumn("base", F.lower(F.substring_index(slashes("generated_path"), "/", -1)))
 
-    sourced = report_sources(reports)
     sources = sourced.groupBy("report").agg(F.min("source_file").alias("source_file"))
     mentions = literal_hits(sourced.select("report", F.lower("text").alias("text")), "report", "text", base.select("base").distinct().withColumn("key", F.col("base")), "base", "key")
     by_base = base.join(mentions.groupBy("base").agg(F.min("report").alias("report")), "base").select("obs", "report")
-    first_report = test_tokens(sourced, "report", "text").groupBy("token").agg(F.min("report").alias("report"))
-    by_token = test_tokens(obs, "obs", "words").join(first_report, "token").select("obs", "report")
+    by_token = best.where("report IS NOT NULL").select("obs", "report")
     picked = by_base.unionByName(by_token).groupBy("obs").agg(F.min("report").alias("report")).join(sources, "report")
     full = obs.select("obs").distinct().join(base.drop("base"), "obs", "left").join(picked, "obs", "left")
     wanted = full.where("report IS NULL AND file IS NOT NULL")
