@@ -247,3 +247,14 @@ def test_runs_are_dealt_to_more_tasks_where_there_are_more_rows(spark, monkeypat
     rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     plan = runs._jdf.queryExecution().executedPlan().toString()
     assert [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", plan)] == [-(-rows // 200)]
+
+
+def test_coverage_reads_expressions_once_when_it_runs(spark, monkeypatch):
+    """Building the plan looks at no expression: patterns offer all their anchors."""
+    from tidemark.operators import joins, literals
+
+    monkeypatch.setattr(literals, "_wanted", lambda anchored: pytest.fail("looked at the expressions"))
+    rules = spark.createDataFrame([("ParameterizedMethods", "x.page.Login.Row({a})"), ("UiTargets", "a.b")], "section string, key string")
+    expressions = spark.createDataFrame([("page.Login",), ("a.b",), ("a.c",), ("ge.Lo",)], "expression string")
+    got = {r.expression: r.covered_by for r in joins.coverage(expressions, rules).collect()}
+    assert got == {"page.Login": "ParameterizedMethods", "a.b": "UiTargets", "a.c": "", "ge.Lo": "ParameterizedMethods"}

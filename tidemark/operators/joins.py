@@ -111,7 +111,7 @@ def coverage(expressions: DataFrame, rules: DataFrame, expr_col: str = "expressi
     direct = own.select("_s", F.explode(texts).alias(expr_col))
     patterns = own.where(F.col("_s") == "ParameterizedMethods").select("_rule").distinct().withColumn("_pattern", F.col("_rule"))
     dotted = expressions.select(expr_col).distinct().where(F.col(expr_col).rlike(DOTTED)).withColumn("_expr", F.col(expr_col))
-    inside = literal_hits(patterns, "_rule", "_pattern", dotted, expr_col, "_expr").select(F.lit("ParameterizedMethods").alias("_s"), expr_col).distinct()
+    inside = literal_hits(patterns, "_rule", "_pattern", dotted, expr_col, "_expr", narrow=False).select(F.lit("ParameterizedMethods").alias("_s"), expr_col).distinct()
     lookup = direct.unionByName(inside).groupBy(expr_col).agg(F.min(F.struct(F.try_element_at(order, F.col("_s")).alias("o"), F.col("_s").alias("s"))).alias("_best"))
     return expressions.join(lookup, expr_col, "left").withColumn("covered_by", F.coalesce("_best.s", F.lit(""))).drop("_best")
 
