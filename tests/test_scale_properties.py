@@ -258,3 +258,16 @@ def test_coverage_reads_expressions_once_when_it_runs(spark, monkeypatch):
     expressions = spark.createDataFrame([("page.Login",), ("a.b",), ("a.c",), ("ge.Lo",)], "expression string")
     got = {r.expression: r.covered_by for r in joins.coverage(expressions, rules).collect()}
     assert got == {"page.Login": "ParameterizedMethods", "a.b": "UiTargets", "a.c": "", "ge.Lo": "ParameterizedMethods"}
+
+
+def test_target_inventory_derives_types_once(spark):
+    from tidemark.operators.facts import extract_types
+    from tidemark.plans.inventory import target_inventory
+
+    rows = [(1, 1, "namespace A;"), (1, 2, "class X : Base {"), (2, 1, "class Y : Base {"), (2, 2, "[Test]"), (3, 1, "class Z : Base")]
+    lines = spark.createDataFrame(rows, "doc_id long, line_no int, line string")
+    out = target_inventory(lines.select("doc_id", F.col("line").alias("text")), lines, ["doc_id"])
+    windows = lambda df: len(re.findall(r"\bWindow \[", df._jdf.queryExecution().optimizedPlan().toString()))
+    assert windows(out) == windows(extract_types(lines, ["doc_id"]).select("base_class", "namespace"))
+    got = {(r.kind, r.name): (r.n, r.confidence) for r in out.collect()}
+    assert got["base-class", "Base"] == (3, "High") and got["namespace", "A"] == (1, "-")
